@@ -6,15 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hairpin.llm import quality_rules
+from hairpin.llm import bpe, language_id, quality_classifier, quality_rules
 from hairpin.llm.batches import documents
 
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer files are installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "margin", "accepted")
+
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return quality_rules.annotate(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir), tokenizer_path(WORD_BPE))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality_classifier.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def _op6_sql() -> str:
     stop = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
     space = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -43,7 +67,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_quality_rules": op6_quality_rules}
+    return {
+        "op2_language_id": op2_language_id,
+        "op6_quality_rules": op6_quality_rules,
+        "op7_bpe": op7_bpe,
+        "op8_quality_classifier": op8_quality_classifier,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
