@@ -1,9 +1,9 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader updates.
 
 A document is a sparse vector: its lower-cased words and word pairs hashed to 2^BITS features with weight
-sqrt(count), scaled to length one, and a bias. The FTRL-proximal learner runs over a bounded sample of the labelled training rows in shards, one
-Spark task each; the weights of the shards are averaged after each pass and start the next one. Scores are sparse dot
-products with the averaged weights (2^BITS float32, the bounded size that is sent to the executors).
+sqrt(count), scaled to length one, and a bias. The updates follow one another, so one task makes them, over a sample of
+SAMPLE_ROWS labelled rows whatever the size of the corpus. Scores are sparse dot products with the weights (2^BITS
+float32, the bounded size that is sent to the executors) in every task.
 
 Defined results: a null or blank text has only the bias; very long texts count whole; repeated rows get equal scores; an empty
 table gives an empty table; without labelled rows every score is 0.5.
@@ -24,10 +24,10 @@ BITS = 18
 FOLDS, FOLD = 4, 2
 #: Labelled rows that are expected in the bounded training sample, by a hash of the text; all of them where there are fewer.
 SAMPLE_ROWS = 12_000
-SHARDS = 4
-PASSES = 2
+#: Updates that the learner makes at least, in 2 to 8 passes over the sample.
+UPDATES = 24_000
 #: FTRL-proximal: learning rate, its smoothing, and the two penalties.
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.01, 0.01
 THRESHOLD = 0.7
 _U = np.uint64
 
@@ -90,9 +90,8 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label") -> np.n
             rows = [(feature[a:b].astype(np.int32).tobytes(), value[a:b].astype(np.float32).tobytes()) for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("h"), part.column("label"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["h", "label", "f", "x"])
 
-    # the shard is a hash of text and label; copies of one text are one training row
+    # copies of one text are one training row
     rows = sample.withColumn("h", h).mapInArrow(compress, "h long, label double, f binary, x binary").groupBy("h", "label").agg(F.first("f").alias("f"), F.first("x").alias("x"))
-    rows = rows.withColumn("shard", F.pmod(F.col("h"), F.lit(SHARDS)).cast("int"))
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by([("h", "ascending"), ("label", "ascending")])
@@ -101,13 +100,12 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label") -> np.n
         first = np.concatenate([[0], np.cumsum([len(a) for a in f])])
         feature, value, y = np.concatenate(f), np.concatenate(x), table.column("label").to_numpy()
         z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-        for _ in range(PASSES):
+        for _ in range(min(8, max(2, round(UPDATES / len(y))))):
             _ftrl(first, feature, value, y, z, n)
-        return pa.table({"n": [len(y)], "w": pa.array([weights(z, n).tobytes()], pa.binary())})
+        return pa.table({"w": pa.array([weights(z, n).tobytes()], pa.binary())})
 
-    learned = rows.groupBy("shard").applyInArrow(learn, "n long, w binary").collect()
-    share = np.array([r["n"] for r in learned], float)
-    return np.average([np.frombuffer(r["w"], np.float32) for r in learned], axis=0, weights=share).astype(np.float32)
+    learned = rows.groupBy(F.lit(0).alias("g")).applyInArrow(learn, "w binary").first()
+    return np.frombuffer(learned["w"], np.float32) if learned else np.zeros(1 << BITS, np.float32)
 
 
 def score(docs: DataFrame, w: np.ndarray, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
