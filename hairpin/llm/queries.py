@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hairpin.llm import bpe, class_lm, jaccard_join, language_id, quality_classifier, quality_rules, suffix_dedup
+from hairpin.llm import bpe, class_lm, embedding_dedup, jaccard_join, language_id, quality_classifier, quality_rules, suffix_dedup
 from hairpin.llm.batches import documents
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -51,6 +51,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def _op6_sql() -> str:
     stop = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
     space = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": op6_quality_rules,
         "op7_bpe": op7_bpe,
         "op8_quality_classifier": op8_quality_classifier,
+        "op9_embedding_dedup": op9_embedding_dedup,
     }
 
 
