@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hairpin.llm import bpe, class_lm, embedding_dedup, jaccard_join, language_id, quality_classifier, quality_rules, suffix_dedup
+from hairpin.llm import bm25_packing, bpe, class_lm, embedding_dedup, jaccard_join, language_id, quality_classifier, quality_rules, suffix_dedup
 from hairpin.llm.batches import documents
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -37,6 +37,10 @@ def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(documents(spark, sf_dir))
 
 
+def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_packing.pack(documents(spark, sf_dir), tokenizer_path(BYTE_BPE))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(documents(spark, sf_dir))
 
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_jaccard_join": op1_jaccard_join,
         "op2_language_id": op2_language_id,
         "op3_class_lm": op3_class_lm,
+        "op4_bm25_packing": op4_bm25_packing,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op7_bpe": op7_bpe,
