@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a task turns into arrays at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Rows of an Arrow batch; long documents make larger rows, hence few of them.
 ROWS_PER_BATCH = 512
 

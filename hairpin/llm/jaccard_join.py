@@ -91,17 +91,22 @@ def _measure(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, waiting, size = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
         mask = _U((1 << SKETCH_BITS) - 1)
+
+        def count() -> None:
+            slot, n = np.unique(np.concatenate(waiting) & mask, return_counts=True)
+            total[slot.astype(np.int64)] += n.astype(np.uint32)
+
         for part, texts in slices(batches, text):
             sets = shingles(texts)
             waiting += sets
             size += sum(map(len, sets))
-            if size > 1 << SKETCH_BITS:
-                total += np.bincount((np.concatenate(waiting) & mask).astype(np.int64), minlength=len(total)).astype(np.uint32)
+            if size > 1 << 20:
+                count()
                 waiting, size = [], 0
             n = len(sets)
             yield pa.RecordBatch.from_arrays([part.column(doc_id).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["id", "n", "sig", "part", "counts"])
         if size:
-            total += np.bincount((np.concatenate(waiting) & mask).astype(np.int64), minlength=len(total)).astype(np.uint32)
+            count()
         if total.any():
             z = zstandard.ZstdCompressor(level=1)
             blobs = [z.compress(np.minimum(x, 65535).astype(np.uint16).tobytes()) for x in np.split(total, SKETCH_PARTS)]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hairpin.llm import bm25_packing, bpe, class_lm, embedding_dedup, jaccard_join, language_id, quality_classifier, quality_rules, suffix_dedup
+from hairpin.llm import bm25_packing, bpe, class_lm, embedding_dedup, jaccard_join, language_id, quality_classifier, quality_rules, range_coder, suffix_dedup
 from hairpin.llm.batches import documents
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -59,6 +59,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op10_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_coder.round_trip(documents(spark, sf_dir), tokenizer_path(WORD_BPE))
+
+
 def _op6_sql() -> str:
     stop = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
     space = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -97,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_bpe": op7_bpe,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_embedding_dedup": op9_embedding_dedup,
+        "op10_range_coder": op10_range_coder,
     }
 
 
