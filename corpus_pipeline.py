@@ -41,10 +41,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.remove(docs)
-    # a cut may fall within a character, whose other bytes then go as well
-    text = F.regexp_replace(F.decode("kept", "UTF-8"), "�", "")
-    changed = cut.withColumn("text", F.when(F.col("n_removed") > 0, text).otherwise(F.col("text")))
+    cut = suffix_dedup.remove(docs, as_text=True)
+    changed = cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
     return changed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -338,15 +338,18 @@ def spans(docs: DataFrame, text: str = "text", size_bytes: int | None = None) ->
     return store(whole.unionByName(fine))
 
 
-def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans and kept binary (the bytes that stay); these replace columns so named."""
+def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, n_spans and kept (the bytes that stay); these replace columns so named.
+
+    As text, kept is a string without the bytes of characters that a cut has parted.
+    """
     names = ("n_bytes", "n_removed", "n_spans", "kept")
     kept = docs.drop(*names, "ref", "removed_spans")
     columns = kept.columns
     docs = kept.withColumn("ref", F.xxhash64(doc_id, text))
     found = spans(docs.select("ref", text), text)
     bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(found))
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, n_bytes long, n_removed long, n_spans long, kept binary"
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, text):
@@ -359,10 +362,11 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                     keep.append(raw[at:a])
                     cut, at = cut + b - a, b
                 keep.append(raw[at:])
-                rows.append((len(raw), cut, len(merged), b"".join(keep)))
+                whole = b"".join(keep)
+                rows.append((len(raw), cut, len(merged), whole.decode("utf-8", "ignore") if as_text else whole))
             cols = list(zip(*rows, strict=True))
             same = [part.column(n) for n in columns]
-            yield pa.RecordBatch.from_arrays([*same, *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]], names=[*columns, *names])
+            yield pa.RecordBatch.from_arrays([*same, *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()), strict=True)]], names=[*columns, *names])
 
     lists = found.groupBy("ref").agg(F.collect_list(F.struct("a", "b")).alias("removed_spans"))
     touched = _only(docs, bits, True).join(lists, "ref", "left").mapInArrow(run, schema)
