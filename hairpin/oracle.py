@@ -176,7 +176,7 @@ TEXTS: dict[str, tuple[str, list[str]]] = {
         "SELECT request_id, route_idx, round(d / 1000, 3) AS km, CAST(duration / 60 AS DOUBLE) AS minutes, row_number() OVER (PARTITION BY request_id ORDER BY duration, route_idx) = 1 AS selected FROM rstat JOIN dur USING (request_id, route_idx)",
         ["rstat", "dur"],
     ),
-    "route_boxes": ("SELECT request_id, round(min(lat) - 0.01, 5) AS south, round(min(lon) - 0.01, 5) AS west, round(max(lat) + 0.01, 5) AS north, round(max(lon) + 0.01, 5) AS east FROM rp GROUP BY request_id", ["rp"]),
+    "route_boxes": ("SELECT request_id, round(min(lat) - 0.01, 7) AS south, round(min(lon) - 0.01, 7) AS west, round(max(lat) + 0.01, 7) AS north, round(max(lon) + 0.01, 7) AS east FROM rp GROUP BY request_id", ["rp"]),
     "tile_features": ("SELECT tier, count(*) AS n, round(sum(length), 1) AS length FROM seg JOIN kept USING (way_id) GROUP BY tier", ["seg", "kept"]),
 }
 

@@ -339,7 +339,7 @@ def route_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 
 def route_boxes(spark: SparkSession, d: str) -> DataFrame:
-    return routes.bounding_box(adapter.route_points(spark, d), "request_id", buffer=0.01).select("request_id", *[_r(c, 5).alias(c) for c in ("south", "west", "north", "east")])
+    return routes.bounding_box(adapter.route_points(spark, d), "request_id", buffer=0.01).select("request_id", *[_r(c, 7).alias(c) for c in ("south", "west", "north", "east")])
 
 
 def corridor_segments(spark: SparkSession, d: str) -> DataFrame:
