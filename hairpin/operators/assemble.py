@@ -124,11 +124,11 @@ def with_gaps(chained: DataFrame, key: str = "group_key", gap_m: float = NEAR_M)
 
 def flattened(chunks: DataFrame, key: str = "group_key") -> DataFrame:
     """The segments of each chunk in one sequence idx, 0-based; those of reversed ways run backwards."""
-    s = chunks.select(key, "component", "chunk", "pos", "reversed", "way_id", "highway", "maxspeed", F.explode("segments").alias("s"))
+    s = chunks.select(key, "component", "chunk", "pos", "reversed", "way_id", "highway", "maxspeed", F.inline("segments"))
     s = s.select(
-        key, "component", "chunk", "pos", "way_id", "highway", "maxspeed", F.col("s.seg_idx"),
-        F.when(F.col("reversed"), F.col("s.end")).otherwise(F.col("s.start")).alias("start"), F.when(F.col("reversed"), F.col("s.start")).otherwise(F.col("s.end")).alias("end"),
-        "s.radius", "s.tier", "s.weight", "s.length", "s.score", F.when(F.col("reversed"), -F.col("s.seg_idx")).otherwise(F.col("s.seg_idx")).alias("_o"),
+        key, "component", "chunk", "pos", "way_id", "highway", "maxspeed", "seg_idx",
+        F.when(F.col("reversed"), F.col("end")).otherwise(F.col("start")).alias("start"), F.when(F.col("reversed"), F.col("start")).otherwise(F.col("end")).alias("end"),
+        "radius", "tier", "weight", "length", "score", F.when(F.col("reversed"), -F.col("seg_idx")).otherwise(F.col("seg_idx")).alias("_o"),
     )
     return s.withColumn("idx", F.row_number().over(Window.partitionBy(key, "component", "chunk").orderBy("pos", "_o")) - 1).drop("_o")
 

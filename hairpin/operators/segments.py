@@ -34,7 +34,8 @@ def score_ways(ways: DataFrame) -> DataFrame:
 
 def exploded(scored: DataFrame, *keep: str) -> DataFrame:
     """One row for each segment, with the way's columns ``keep``."""
-    return scored.select("way_id", *keep, F.explode("segments").alias("s")).select("way_id", *keep, "s.*")
+    # inline, not explode: fields that are picked from an exploded struct would each work out the array again
+    return scored.select("way_id", *keep, F.inline("segments"))
 
 
 def way_ends(scored: DataFrame) -> DataFrame:
