@@ -124,7 +124,7 @@ def with_gaps(chained: DataFrame, key: str = "group_key", gap_m: float = NEAR_M)
 
 def flattened(chunks: DataFrame, key: str = "group_key") -> DataFrame:
     """The segments of each chunk in one sequence idx, 0-based; those of reversed ways run backwards."""
-    s = chunks.select(key, "component", "chunk", "pos", "reversed", "way_id", "highway", "maxspeed", F.inline("segments"))
+    s = chunks.select(key, "component", "chunk", "pos", "reversed", "way_id", "highway", "maxspeed", F.inline_outer("segments")).where("seg_idx IS NOT NULL")
     s = s.select(
         key, "component", "chunk", "pos", "way_id", "highway", "maxspeed", "seg_idx",
         F.when(F.col("reversed"), F.col("end")).otherwise(F.col("start")).alias("start"), F.when(F.col("reversed"), F.col("start")).otherwise(F.col("end")).alias("end"),

@@ -21,7 +21,7 @@ def escaped(text: Column) -> Column:
 
 def segment_features(roads: DataFrame, ways: DataFrame) -> DataFrame:
     """(way_id, feature): a LineString for each segment of each road, with its way's class and speed where it has them."""
-    rows = roads.select(display_name().alias("road_name"), F.explode("segments").alias("s")).withColumn("way_id", F.col("s.way_id"))
+    rows = roads.select(display_name().alias("road_name"), F.explode_outer("segments").alias("s")).where("s IS NOT NULL").withColumn("way_id", F.col("s.way_id"))
     known = ways.select("way_id", F.nullif("highway", F.lit("")).alias("highway"), F.nullif("maxspeed", F.lit("")).alias("maxspeed"))
     rows = rows.join(known, "way_id", "left")
     shape = F.struct(F.lit("LineString").alias("type"), F.array(_pair(F.col("s.start")), _pair(F.col("s.end"))).alias("coordinates"))

@@ -34,8 +34,9 @@ def score_ways(ways: DataFrame) -> DataFrame:
 
 def exploded(scored: DataFrame, *keep: str) -> DataFrame:
     """One row for each segment, with the way's columns ``keep``."""
-    # inline, not explode: fields that are picked from an exploded struct would each work out the array again
-    return scored.select("way_id", *keep, F.inline("segments"))
+    # inline, not explode: fields that are picked from an exploded struct would each work out the array again; outer, as
+    # the optimizer else filters by the array's size first, and works it out once more for that
+    return scored.select("way_id", *keep, F.inline_outer("segments")).where("seg_idx IS NOT NULL")
 
 
 def way_ends(scored: DataFrame) -> DataFrame:
