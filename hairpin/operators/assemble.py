@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from hairpin.functions import geo, tags
 from hairpin.operators.components import connected_components
-from hairpin.operators.segments import way_ends
 
 NEAR_M = 100.0
 STRAIGHT_M = 2414.0
@@ -203,9 +202,3 @@ def penalised(roads: DataFrame) -> DataFrame:
 
 def display_name(key: str = "group_key"):
     return F.when(F.col("sub_index") > 0, F.format_string("%s (%d)", F.col(key), F.col("sub_index") + 1)).otherwise(F.col(key))
-
-
-def ends_of(grouped_scored: DataFrame) -> DataFrame:
-    """Way ends with the bearings of the reversed way as well."""
-    first, last = F.get("segments", F.lit(0)), F.try_element_at("segments", F.lit(-1))
-    return way_ends(grouped_scored).withColumns({"back_entry": geo.bearing(last.end, last.start), "back_exit": geo.bearing(first.end, first.start)})

@@ -39,10 +39,14 @@ def exploded(scored: DataFrame, *keep: str) -> DataFrame:
     return scored.select("way_id", *keep, F.inline_outer("segments")).where("seg_idx IS NOT NULL")
 
 
-def way_ends(scored: DataFrame) -> DataFrame:
-    """``scored`` with first, last (points) and entry, exit (bearings); null where a way has no segment."""
-    first, last = F.get("segments", F.lit(0)), F.try_element_at("segments", F.lit(-1))
-    return scored.withColumns({"first": first.start, "last": last.end, "entry": geo.bearing(first.start, first.end), "exit": geo.bearing(last.start, last.end)})
+def way_ends(ways: DataFrame) -> DataFrame:
+    """``ways`` with first, last (points), the bearings entry and exit, and those of the way run backwards, back_entry and back_exit; null
+    where a way has no segment. Read from the geometry, so that no filter on them works out the segments."""
+    g = F.col("geometry")
+    some = F.size(g) >= 2
+    p, q, r, s = F.get(g, F.lit(0)), F.get(g, F.lit(1)), F.try_element_at(g, F.lit(-2)), F.try_element_at(g, F.lit(-1))
+    values = {"first": p, "last": s, "entry": geo.bearing(p, q), "exit": geo.bearing(r, s), "back_entry": geo.bearing(s, r), "back_exit": geo.bearing(q, p)}
+    return ways.withColumns({k: F.when(some, v) for k, v in values.items()})
 
 
 def way_totals(scored: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from hairpin.plans.lineage import cut
 
 def scored_groups(ways: DataFrame, with_refs: bool = True) -> DataFrame:
     """Kept ways, scored, once for each of their groups, with their ends."""
-    return assemble.ends_of(grouped(segments.score_ways(hard_filter(ways)), with_refs))
+    return segments.way_ends(grouped(segments.score_ways(hard_filter(ways)), with_refs))
 
 
 def chunks(ways: DataFrame, with_refs: bool = True) -> DataFrame:
