@@ -6,6 +6,8 @@ partition (``SLICE_BYTES`` of text or one longer document), never the partition
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -119,6 +121,13 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(data, offsets - offsets[0])
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are used again, and hold what they once needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Parts of each batch with at most ``limit`` bytes of text, or one row."""
     for batch in batches:
@@ -132,6 +141,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             off = whole.offsets[at : to + 1]
             yield batch.slice(at, to - at), Texts(whole.data[off[0] : off[-1]], off - off[0])
             at = to
+    give_back()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

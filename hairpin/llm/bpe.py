@@ -28,7 +28,7 @@ from hairpin.llm.batches import Texts, arrow_rows, prefix_hash, range_hash, slic
 #: Tree entries that are merged at once.
 TREE_ENTRIES = 1 << 20
 #: Words that a worker remembers; beyond them it starts anew.
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 1_000_000
 _NONE = np.int64(1) << 62
 
 
