@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hairpin.llm.batches import Texts, arrow_rows, mix, prefix_hash, range_hash, slices
@@ -147,7 +147,7 @@ def choose_matches(frequency: np.ndarray, n: int) -> int:
 
 
 def _postings(docs: DataFrame, text: str, levels, noise: float, buckets: int) -> DataFrame:
-    """Rows (bucket, token, at, n, m, sig blobs) of the prefixes of a slice's classes; bucket -1 has heavy tokens."""
+    """Rows (bucket, token, at, n, m, sig blobs) of the prefixes of a slice's classes; heavy tokens are dealt out by class, to negative buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
@@ -172,10 +172,11 @@ def _postings(docs: DataFrame, text: str, levels, noise: float, buckets: int) ->
                 continue
             token, owner, at = map(np.concatenate, (token, owner, at))
             heavy = frequency[(token >> _U(56)).astype(np.int64)] > HEAVY
-            bucket = np.where(heavy, -1, (mix(token) % _U(buckets)).astype(np.int64))
+            sig, n, m = (np.array(x) for x in zip(*info, strict=True))
+            by_class = (mix(sig.view(_U)) % _U(buckets)).astype(np.int64)[owner]
+            bucket = np.where(heavy, -1 - by_class, (mix(token) % _U(buckets)).astype(np.int64))
             order = np.argsort(bucket, kind="stable")
             names, cuts = np.unique(bucket[order], return_index=True)
-            sig, n, m = (np.array(x) for x in zip(*info, strict=True))
             rows = []
             for part in np.split(order, cuts[1:]):
                 used, local = np.unique(owner[part], return_inverse=True)
@@ -202,13 +203,8 @@ def _unpack(table) -> tuple[np.ndarray, ...]:
     return tuple(map(np.concatenate, (token, sig, size, at)))
 
 
-def _rows(token: np.ndarray, sig: np.ndarray, size: np.ndarray, at: np.ndarray) -> list[pa.Array]:
-    return [pa.array(token.view(np.int64)), pa.array(sig), pa.array((size >> 8).astype(np.int32)), pa.array((size & 255).astype(np.int32)), pa.array(at)]
-
-
 def _shared(packed: DataFrame) -> DataFrame:
-    """Postings (token, sig, n, m, at) of the tokens that more than one class has."""
-    names = ["token", "sig", "n", "m", "at"]
+    """Postings (token, sig, n, m, at), each once: those of the tokens that more than one class has, and all of heavy tokens."""
 
     def gather(table: pa.Table) -> pa.Table:
         token, sig, size, at = _unpack(table)
@@ -217,18 +213,24 @@ def _shared(packed: DataFrame) -> DataFrame:
         keep = np.ones(len(token), bool)
         keep[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
         token, sig, size, at = token[keep], sig[keep], size[keep], at[keep]
-        same = token[1:] == token[:-1]
-        many = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        return pa.table(_rows(token[many], sig[many], size[many], at[many]), names=names)
+        if table.column("bucket")[0].as_py() >= 0:
+            same = token[1:] == token[:-1]
+            many = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            token, sig, size, at = token[many], sig[many], size[many], at[many]
+        return pa.table([pa.array(token.view(np.int64)), pa.array(sig), pa.array((size >> 8).astype(np.int32)), pa.array((size & 255).astype(np.int32)), pa.array(at)], names=["token", "sig", "n", "m", "at"])
+
+    return packed.groupBy("bucket").applyInArrow(gather, _POSTING)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays(_rows(*_unpack(batch)), names=names)
 
-    light = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(gather, _POSTING)
-    heavy = packed.where("bucket < 0").mapInArrow(spread, _POSTING).groupBy("token", "sig").agg(*[F.min(c).alias(c) for c in ("n", "m", "at")])
-    return light.unionByName(heavy)
+def _need(x: str, y: str):
+    return F.ceil((NUMERATOR * (F.col(f"{x}.n") + F.col(f"{y}.n"))) / (NUMERATOR + DENOMINATOR))
+
+
+def _may_link(x: str, y: str):
+    """Sizes that allow a link, and a shared token within the prefixes in which the pair has one match at least."""
+    need = _need(x, y)
+    small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
+    return (DENOMINATOR * small >= NUMERATOR * large) & (F.col(f"{x}.at") < F.col(f"{x}.n") - need + 1) & (F.col(f"{y}.at") < F.col(f"{y}.n") - need + 1)
 
 
 def _verified(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
@@ -275,6 +277,16 @@ def _verified(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
 
 
+def _with_matches(pairs: DataFrame, postings: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prefixes for m = the smaller m of the two share m tokens or more."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    lists = postings.join(ids, "sig", "left_semi").groupBy("sig").agg(F.collect_list(F.struct("token", "at")).alias("t"))
+    both = pairs.join(lists.select(F.col("sig").alias("a"), F.col("t").alias("s")), "a").join(lists.select(F.col("sig").alias("b"), F.col("t").alias("t")), "b")
+    m = F.least("x.m", "y.m")
+    prefix = lambda c, n: F.transform(F.filter(c, lambda p: p["at"] < n - _need("x", "y") + m), lambda p: p["token"])
+    return both.where(F.size(F.array_intersect(prefix("s", F.col("x.n")), prefix("t", F.col("y.n")))) >= m).select("a", "b")
+
+
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``."""
     spark = docs.sparkSession
@@ -291,27 +303,26 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     postings = store(_shared(_postings(docs, text, levels, total / (1 << SKETCH_BITS), buckets)))
 
     # each class against the pivot that it shares most tokens with
-    pivot = postings.groupBy("token").agg(F.min(F.struct("at", "sig")).alias("p")).select("token", F.col("p.sig").alias("b"))
-    star = postings.join(pivot, "token").where("sig <> b").groupBy("sig", "b").agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "b")).alias("best"))
+    pivot = postings.groupBy("token").agg(F.min(F.struct("at", "sig", "n", "m")).alias("p"))
+    star = postings.alias("x").join(pivot, "token").select("x.*", "p").where((F.col("sig") != F.col("p.sig")) & _may_link("x", "p"))
+    star = star.groupBy("sig", F.col("p.sig").alias("b")).agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "b")).alias("best"))
     linked = cut(_verified(docs, text, cut(star.select(F.col("sig").alias("a"), F.col("best.b").alias("b")))).unionByName(several))
     joined = connected_components(linked, "a", "b")
 
-    # pairs of classes that aren't joined yet
+    # pairs of classes that aren't joined yet; first has the places of a class's first shared tokens, without m of which in
+    # a prefix it can't have m matches
+    of_class = Window.partitionBy("sig")
     known = postings.join(joined, F.col("sig") == F.col("id"), "left").select("token", "sig", "n", "m", "at", F.coalesce("component", "sig").alias("c"))
-    known = store(known)
+    known = known.withColumn("k", F.row_number().over(of_class.orderBy("at")))
+    known = store(known.withColumn("first", F.array(*[F.max(F.when(F.col("k") == j, F.col("at"))).over(of_class) for j in range(1, MOST_MATCHES + 1)])).drop("k"))
     mixed = known.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("token")
     left = known.join(mixed, "token", "left_semi")
     x, y = left.alias("x"), left.alias("y")
-    need = F.ceil((NUMERATOR * (F.col("x.n") + F.col("y.n"))) / (NUMERATOR + DENOMINATOR))
     m = F.least("x.m", "y.m")
-    ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.sig") < F.col("y.sig")))
-    met = x.join(
-        y,
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & ordered & (DENOMINATOR * F.col("x.n") >= NUMERATOR * F.col("y.n"))
-        & (F.col("x.at") < F.col("x.n") - need + m) & (F.col("y.at") < F.col("y.n") - need + m),
-    )
-    pairs = met.groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).agg(F.count("*").alias("k"), F.min(m).alias("m")).where("k >= m").select("a", "b")
-    more = _verified(docs, text, cut(pairs))
+    enough = lambda s: F.coalesce(F.get(f"{s}.first", m - 1) < F.col(f"{s}.n") - _need("x", "y") + m, F.lit(False))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.sig") < F.col("y.sig")) & _may_link("x", "y") & enough("x") & enough("y"))
+    pairs = cut(met.groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).agg(F.first(F.struct("x.n", "x.m")).alias("x"), F.first(F.struct("y.n", "y.m")).alias("y")))
+    more = _verified(docs, text, cut(_with_matches(pairs, left)))
     final = connected_components(linked.unionByName(more), "a", "b")
 
     # classes to the least document of their component, and documents to their class
