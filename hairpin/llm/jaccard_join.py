@@ -279,8 +279,7 @@ def _verified(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
 
 def _with_matches(pairs: DataFrame, postings: DataFrame) -> DataFrame:
     """The pairs (a, b) whose prefixes for m = the smaller m of the two share m tokens or more."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    lists = postings.join(ids, "sig", "left_semi").groupBy("sig").agg(F.collect_list(F.struct("token", "at")).alias("t"))
+    lists = postings.groupBy("sig").agg(F.collect_list(F.struct("token", "at")).alias("t"))
     both = pairs.join(lists.select(F.col("sig").alias("a"), F.col("t").alias("s")), "a").join(lists.select(F.col("sig").alias("b"), F.col("t").alias("t")), "b")
     m = F.least("x.m", "y.m")
     prefix = lambda c, n: F.transform(F.filter(c, lambda p: p["at"] < n - _need("x", "y") + m), lambda p: p["token"])
