@@ -25,7 +25,7 @@ from hairpin.llm.batches import arrow_rows, held_out, slices
 #: Bytes of each language's dictionary, and of one training text that go into it at most.
 DICTIONARY_BYTES = 32 << 10
 SHARE_CHARS = 1024
-#: Distinct training texts of a language that are expected in the bounded sample, picked by a hash of the text.
+#: Distinct training texts of a language in the bounded sample: those with the lowest hashes, or all.
 SAMPLE_TEXTS = 200
 #: Bytes encoded at once, so that what a text says of itself doesn't outweigh the dictionaries.
 BLOCK_BYTES = 1024
@@ -45,19 +45,34 @@ def _plain(text: str) -> str:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Dictionaries of each language, the commonest first, from a bounded sample of ``docs``."""
-    usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not counts:
-        return {}
-    h = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, SAMPLE_TEXTS / n)]), F.col("lang"))
+    # a text without a letter has nothing to learn from
+    usable = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    usable = usable.withColumn("h", F.xxhash64("text"))
     # copies of one text meet before the shuffle and count once
-    sample = usable.withColumn("h", h).where(F.col("h") <= share).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SHARE_CHARS)).alias("text")).collect()
+    sizes = usable.groupBy("lang", "h").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()
+    counts, distinct = {r["lang"]: r["n"] for r in sizes}, {r["lang"]: r["texts"] for r in sizes}
+    plain = F.trim(F.regexp_replace("text", r"[^\p{L}]+", " "))
+    # texts can share their head, so a passage is cut from a hashed place
+    start = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length(plain) - SHARE_CHARS, F.lit(0)) + 1) + 1
+    passage = plain.substr(start.cast("int"), F.lit(SHARE_CHARS))
+    found: dict[str, list[str]] = {}
+    # a share of somewhat more than the wanted texts, and a larger one where too few hashes fell under it
+    wanted = SAMPLE_TEXTS * 3 // 2
+    while missing := [k for k in distinct if k not in found]:
+        bound = {k: min((1 << 63) - 1, (wanted << 64) // distinct[k] - (1 << 63)) for k in missing}
+        limit = F.element_at(F.create_map(*[F.lit(x) for kv in bound.items() for x in kv]), F.col("lang"))
+        rows = usable.where(F.col("h") <= limit).groupBy("lang", "h").agg(F.min(passage).alias("text")).collect()
+        for k in missing:
+            texts = sorted((r["h"], r["text"]) for r in rows if r["lang"] == k)[:SAMPLE_TEXTS]
+            if len(texts) >= min(SAMPLE_TEXTS, distinct[k]):
+                found[k] = [t for _, t in texts]
+        wanted *= 2
     out = {}
-    for lang in sorted(counts, key=lambda k: (-counts[k], k)):
-        texts = [_plain(r["text"]) for r in sorted(sample, key=lambda r: r["h"]) if r["lang"] == lang]
-        out[lang] = " ".join(t for t in texts if t).encode()[-DICTIONARY_BYTES:]
-    return {k: v for k, v in out.items() if len(v) >= 8}
+    for k in sorted(counts, key=lambda k: (-counts[k], k)):
+        raw = " ".join(t for t in map(_plain, found[k]) if t).encode()[-DICTIONARY_BYTES:]
+        # the least size of a dictionary
+        out[k] = raw if len(raw) >= 8 else (raw + b" ") * 8
+    return out
 
 
 class Encoder:

@@ -296,6 +296,24 @@ def test_language_id(spark, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def test_copies_and_shared_heads_leave_no_language_unlearned(spark):
+    head = "same head of all pages " * 60
+    rows = [("aa", "abc abd acd " * 20 + "bcd"), ("aa", "dab cab bad " * 20)] * 3000 + [("bb", head + f"xyz zyx {'xz' * k} yxz zzy " * 50) for k in range(1, 9)] + [("cc", "né"), ("cc", "12 34")]
+    df = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(rows)], "doc_id long, lang string, text string")
+    learned = language_id.train(df)
+    assert list(learned) == ["aa", "bb", "cc"]
+    assert b"abc abd" in learned["aa"] and b"dab cab" in learned["aa"] and b"zyx" in learned["bb"]
+    assert language_id.Encoder(learned).predict("xyz zyx yxz zzy xyz zyx yxz")[0] == "bb"
+
+
+@pytest.mark.parametrize("n", [200, 900])
+def test_the_sample_is_the_texts_with_the_lowest_hashes(spark, monkeypatch, n):
+    monkeypatch.setattr(language_id, "DICTIONARY_BYTES", 1 << 20)
+    df = spark.createDataFrame([(i, "aa", "q" * (i % n + 1)) for i in range(3 * n)], "doc_id long, lang string, text string")
+    kept = language_id.train(df)["aa"].decode().split()
+    assert len(set(kept)) == len(kept) == 200
+
+
 def test_quality_classifier(spark, empty):
     good, bad = _speech(3, ["an", "de", "ro"], 150), [t.replace(" ", " $$ zap ") for t in _speech(4, ["an", "de", "ro"], 150)]
     rows = [(i, t, "clash") for i, t in enumerate([*good, *bad, None, "", "  "])]
