@@ -256,3 +256,21 @@ def test_waypoints_are_repeatable_and_spaced(spark):
     req = spark.createDataFrame([(1, 42.0, -72.0, 20.0, 1, 5), (2, 0.0, 0.0, 20.0, 3, 5)], "request_id long, lat double, lon double, radius_km double, n int, seed long")
     a, b = (waypoints.sampled(req, table).collect() for _ in range(2))
     assert a == b and len(a) == 1
+
+
+def test_each_customer_asks_for_waypoints_near_it(spark):
+    req = waypoints.requests_of(spark.range(1, 121).withColumnRenamed("id", "c_custkey"))
+    places = {r.request_id: (r.lat, r.lon) for r in req.collect()}
+    assert set(places) == set(range(1, 121)) and len({round(lat, 3) for lat, _ in places.values()}) == 50
+    table = roads.road_table(spark.createDataFrame([way(k, _winding(35.0 + k % 50 * 0.2, -85.0 + k // 50 * 0.2, 24), name=f"Road {k}") for k in range(1, 121, 4)], WAY)).cache()
+    mids = {(r.group_key, r.sub_index): (r.mid, r.penalized_score) for r in table.where(f"penalized_score > 0 AND total_length >= {waypoints.MIN_ROAD_M}").select("group_key", "sub_index", "penalized_score", waypoints.road_midpoint().alias("mid")).collect()}
+    near = {(q, k): hav(at, mid) for q, at in places.items() for k, (mid, _) in mids.items() if hav(at, mid) <= 30_000}
+    assert {(r.request_id, (r.group_key, r.sub_index)) for r in waypoints.eligible(req, table).collect()} == set(near)
+    draws = spark.createDataFrame([(q, q * 31, *k) for q, k in near], "request_id long, seed long, group_key string, sub_index " + table.schema["sub_index"].dataType.simpleString())
+    u = {(r.request_id, (r.group_key, r.sub_index)): (r.h + 1) / ((1 << 40) + 1) for r in draws.withColumn("h", F.pmod(F.xxhash64("seed", "group_key", "sub_index"), F.lit(1 << 40))).collect()}
+    want = set()
+    for q, at in places.items():
+        drawn = sorted((k for p, k in near if p == q), key=lambda k: -math.log(u[q, k]) / mids[k][1])[:4]
+        want |= {(q, stop, *k) for stop, k in enumerate(sorted(drawn, key=lambda k: brg(at, mids[k][0])), 1)}
+    assert {(r.request_id, r.stop, r.group_key, r.sub_index) for r in waypoints.sampled(req, table).collect()} == want
+    assert len({q for q, *_ in want}) > 100
