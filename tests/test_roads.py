@@ -6,11 +6,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from hairpin import queries
 from hairpin.functions import geo, tags
 from hairpin.operators import assemble, export, routes, segments, waypoints
 from hairpin.operators import ways as way_ops
 from hairpin.operators.components import connected_components
-from hairpin.plans import roads
+from hairpin.plans import adapter, roads
 from hairpin.sources import tiles
 
 TAGS = "name string, ref string, highway string, maxspeed string, oneway string, surface string, access string, motor_vehicle string"
@@ -274,3 +275,24 @@ def test_each_customer_asks_for_waypoints_near_it(spark):
         want |= {(q, stop, *k) for stop, k in enumerate(sorted(drawn, key=lambda k: brg(at, mids[k][0])), 1)}
     assert {(r.request_id, r.stop, r.group_key, r.sub_index) for r in waypoints.sampled(req, table).collect()} == want
     assert len({q for q, *_ in want}) > 100
+
+
+def test_corridor_takes_all_routes(spark, tmp_path):
+    rng = random.Random(3)
+    orders = [(k, 1 + k % 3, "2-HIGH") for k in range(1, 13)]
+    lines = [(k, n, rng.randrange(200), rng.randrange(50), float(rng.randint(1, 50)), 1.0) for k, _, _ in orders for n in range(1, 5)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    legs = [(a, b) for r in adapter.routes(spark, str(tmp_path)).collect() for a, b in zip(r.points, r.points[1:])]
+
+    def away(m):
+        best = math.inf
+        for a, b in legs:
+            dx, dy = b.lon - a.lon, b.lat - a.lat
+            t = max(0.0, min(1.0, ((m.lon - a.lon) * dx + (m.lat - a.lat) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+            best = min(best, hav(m, (a.lat + t * dy, a.lon + t * dx)))
+        return best
+
+    found = segments.exploded(segments.score_ways(adapter.ways(spark, str(tmp_path)))).select("way_id", "seg_idx", geo.midpoint(F.col("start"), F.col("end")).alias("mid")).collect()
+    want = sorted((r.way_id, r.seg_idx) for r in found if away(r.mid) <= routes.CORRIDOR_M)
+    assert want and sorted((r.way_id, r.seg_idx) for r in queries.corridor_segments(spark, str(tmp_path)).collect()) == want
