@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that a task turns into arrays at once.
-SLICE_BYTES = 2 << 20
+#: Text bytes that a task turns into arrays at once; arrays of a word a byte then stay within a processor's cache.
+SLICE_BYTES = 512 << 10
 #: Rows of an Arrow batch; long documents make larger rows, hence few of them.
 ROWS_PER_BATCH = 512
 
@@ -53,16 +53,22 @@ _INVERSE = _U(pow(int(_MULT), -1, 1 << 64))
 
 
 class _Powers:
-    """Powers of the hash base and of its inverse, grown to the longest slice that a worker has seen."""
+    """Powers of the hash base and of its inverse; those that a longer document asked for are given back with the task's memory."""
 
-    up = _powers(int(_MULT), 1 << 16)
-    down = _powers(int(_INVERSE), 1 << 16)
+    kept = SLICE_BYTES + 1
+    up = _powers(int(_MULT), kept)
+    down = _powers(int(_INVERSE), kept)
 
     @classmethod
     def at_least(cls, n: int) -> None:
         if len(cls.up) < n:
             cls.up, cls.down = _powers(int(_MULT), n), _powers(int(_INVERSE), n)
 
+    @classmethod
+    def shrink(cls) -> None:
+        if len(cls.up) > cls.kept:
+            cls.up, cls.down = cls.up[: cls.kept].copy(), cls.down[: cls.kept].copy()
+
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """P with len(data) + 1 entries; see :func:`range_hash`."""
@@ -123,6 +129,7 @@ def texts_of(column: pa.Array) -> Texts:
 
 def give_back() -> None:
     """Returns freed memory to the system: workers are used again, and hold what they once needed."""
+    _Powers.shrink()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -156,9 +163,3 @@ def arrow_rows(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
 def held_out(doc_id: str, folds: int, fold: int = 0):
     """True where crc32(doc_id as text) mod folds is fold; a null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(True))
-
-
-def run_blobs(values: np.ndarray, cuts: np.ndarray) -> list[bytes]:
-    """The bytes of values[cuts[i]:cuts[i+1]] for each i."""
-    raw, width = np.ascontiguousarray(values).tobytes(), values.itemsize
-    return [raw[a * width : b * width] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]

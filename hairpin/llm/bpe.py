@@ -100,22 +100,25 @@ class Vocabulary:
         return out
 
 
-def merge(vocabulary: Vocabulary, pieces: list[bytes]) -> list[np.ndarray]:
-    """The ids of each piece (a whole word: its last byte carries the vocabulary's end-of-word suffix)."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
-    lengths = np.array([len(p) for p in pieces])
+def merge(vocabulary: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, begin, count): the ids of piece i (a whole word: its last byte carries the vocabulary's end-of-word suffix) are
+    ids[begin[i]:begin[i] + count[i]]."""
+    lengths = np.array([len(p) for p in pieces], np.int64)
+    begin, count, found, used = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [np.zeros(0, np.int64)], 0
     for bits in range(int(lengths.max(initial=0)).bit_length() + 1):
         width = 1 << bits
         of = np.flatnonzero((lengths <= width) & (lengths > width // 2))
         step = max(1, TREE_ENTRIES // (2 * width))
         for a in range(0, len(of), step):
             part = of[a : a + step]
-            for i, ids in zip(part.tolist(), _merge(vocabulary, [pieces[k] for k in part.tolist()], lengths[part], bits), strict=True):
-                out[i] = ids
-    return out
+            ids, count[part] = _merge(vocabulary, [pieces[k] for k in part.tolist()], lengths[part], bits)
+            begin[part] = used + np.cumsum(count[part]) - count[part]
+            found.append(ids)
+            used += len(ids)
+    return np.concatenate(found), begin, count
 
 
-def _merge(v: Vocabulary, pieces: list[bytes], lengths: np.ndarray, bits: int) -> list[np.ndarray]:
+def _merge(v: Vocabulary, pieces: list[bytes], lengths: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     n, width = len(pieces), 1 << bits
     row = np.arange(n)
     raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
@@ -166,12 +169,11 @@ def _merge(v: Vocabulary, pieces: list[bytes], lengths: np.ndarray, bits: int) -
                 tree[rows3, node] = np.minimum(tree[rows3, 2 * node], tree[rows3, 2 * node + 1])
             del m
     alive = symbol >= 0
-    counts = alive.sum(1)
-    return np.split(symbol[alive], np.cumsum(counts)[:-1])
+    return symbol[alive], alive.sum(1)
 
 
 #: The split pattern and the normalisation that the word-end vocabulary's file states.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+|\n")
 
 
 def normalised(text: str) -> str:
@@ -181,85 +183,113 @@ def normalised(text: str) -> str:
     return text.replace("Σ", "σ").lower()
 
 
+class Memo:
+    """Ids of up to ``limit`` words by hash, in an open table."""
+
+    def __init__(self, limit: int):
+        self.limit, self._mask = limit, (1 << (2 * limit - 1).bit_length()) - 1
+        self.size = self.used = 0
+        self._key, self._word = np.zeros(self._mask + 1, np.uint64), np.zeros(self._mask + 1, np.int32)
+        self.begin, self.count, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.int32)
+
+    def _at(self, h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64(self._mask)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each word, or -1; hashes aren't 0."""
+        out, todo, at = np.full(len(h), -1, np.int64), np.arange(len(h)), self._at(h)
+        while len(todo):
+            there = self._key[at]
+            hit = there == h[todo]
+            out[todo[hit]] = self._word[at[hit]]
+            on = ~hit & (there != 0)
+            todo, at = todo[on], (at[on] + 1) & self._mask
+        return out
+
+    def add(self, h: np.ndarray, flat: np.ndarray, count: np.ndarray) -> None:
+        """Distinct new words with their ids, one word's after the other's; no more than there is room for."""
+        n, m = self.size + len(h), self.used + len(flat)
+        self.begin, self.count, self.flat = _room(self.begin, n), _room(self.count, n), _room(self.flat, m)
+        self.begin[self.size : n], self.count[self.size : n], self.flat[self.used : m] = self.used + np.cumsum(count) - count, count, flat
+        todo, at = np.arange(len(h)), self._at(h)
+        while len(todo):
+            free = np.flatnonzero(self._key[at] == 0)
+            slot, pick = np.unique(at[free], return_index=True)
+            own = todo[free[pick]]
+            self._key[slot], self._word[slot] = h[own], self.size + own
+            on = np.ones(len(todo), bool)
+            on[free[pick]] = False
+            todo, at = todo[on], (at[on] + 1) & self._mask
+        self.size, self.used = n, m
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if len(x) >= n else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+
 class WordCoder:
-    """Encodes whole texts; remembers the ids of the words that it has met, up to MEMO_WORDS."""
+    """Encodes whole texts; remembers the ids of the words that it has met, up to a slice's words or MEMO_WORDS."""
 
     def __init__(self, vocabulary: Vocabulary, memo_words: int = MEMO_WORDS):
-        self.vocabulary, self.memo_words = vocabulary, memo_words
+        self.vocabulary, self.memo_words, self.memo = vocabulary, memo_words, Memo(memo_words)
         self._special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
-        self._clear()
-
-    def _clear(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.first = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.int32)
 
     def spans(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, first) of the parts that are encoded each by itself: words between ASCII white space."""
         return texts.words()
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of words without ASCII white space."""
+    def encode_parts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one part after the other, the number of each) of words without ASCII white space."""
         v = self.vocabulary
-        plan: list[list[int | bytes]] = []
-        distinct: dict[bytes, int] = {}
-        for word in words:
-            parts = self._special.split(word) if self._special and "<|" in word else (word,)
-            row: list[int | bytes] = []
-            for part in parts:
-                if part in v.special:
-                    row.append(v.special[part])
-                elif part:
-                    for piece in _PIECES.findall(normalised(part)):
-                        row.append(p := piece.encode())
-                        distinct.setdefault(p, len(distinct))
-            plan.append(row)
-        ids = merge(v, list(distinct))
-        none = np.zeros(0, np.int64)
-        return [
-            (ids[distinct[row[0]]] if len(row) == 1 and isinstance(row[0], bytes) else np.concatenate([np.array([x]) if isinstance(x, int) else ids[distinct[x]] for x in row]) if row else none)
-            for row in plan
-        ]
+        index: dict[str | int, int] = {"\n": 0}
+        # all words as lines of one text; the special tokens in them are parted from it first
+        size = end - start + 1
+        total = np.cumsum(size)
+        lines = data[np.minimum(np.arange(total[-1]) + np.repeat(start - (total - size), size), len(data) - 1)]
+        lines[total - 1] = 10
+        text = lines.tobytes().decode("utf-8", "replace")
+        codes: list[int] = []
+        for part in self._special.split(text) if self._special and "<|" in text else [text]:
+            if part in v.special:
+                codes.append(index.setdefault(v.special[part], len(index)))
+            else:
+                codes += [index.setdefault(p, len(index)) for p in _PIECES.findall(normalised(part))]
+        keys = list(index)
+        words = [i for i, x in enumerate(keys) if i and isinstance(x, str)]
+        ids, begin, count = merge(v, [keys[i].encode() for i in words])
+        own = np.array([i for i, x in enumerate(keys) if not isinstance(x, str)], np.int64)
+        first, many = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        first[words], many[words] = begin, count
+        first[own], many[own] = len(ids) + np.arange(len(own)), 1
+        ids = np.concatenate([ids, np.array([keys[i] for i in own.tolist()], np.int64)])
+        code = np.array(codes, np.int64)
+        n = many[code]
+        before = np.concatenate([[0], np.cumsum(n)])
+        flat = ids[np.repeat(first[code] - before[:-1], n) + np.arange(before[-1])]
+        return flat.astype(np.int32), np.diff(before[np.concatenate([[0], np.flatnonzero(code == 0) + 1])])
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): document i's ids are ids[first[i]:first[i + 1]]."""
         start, end, first = self.spans(texts)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        h = range_hash(prefix_hash(texts.data), start, end)
-        order = np.argsort(h)
-        ordered = h[order]
-        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        inverse = np.empty(len(h), np.int64)
-        inverse[order] = np.cumsum(new) - 1
-        uniq, sample = ordered[new], order[new]
-        if len(self.hashes) + len(uniq) > self.memo_words:
-            self._clear()
-        at = np.minimum(np.searchsorted(self.hashes, uniq), max(0, len(self.hashes) - 1))
-        missing = np.flatnonzero(self.hashes[at] != uniq) if len(self.hashes) else np.arange(len(uniq))
+        h = np.maximum(range_hash(prefix_hash(texts.data), start, end), np.uint64(1))
+        memo, of = self.memo, self.memo.find(h)
+        missing = np.flatnonzero(of < 0)
         if len(missing):
-            a, b = start[sample[missing]].tolist(), end[sample[missing]].tolist()
-            raw = texts.data.tobytes()
-            found = self.encode_words([raw[x:y].decode("utf-8", "replace") for x, y in zip(a, b, strict=True)])
-            self._remember(uniq[missing], found)
-            at = np.searchsorted(self.hashes, uniq)
-        of = at[inverse]
-        begin, count = self.first[of], self.first[of + 1] - self.first[of]
+            new, sample = np.unique(h[missing], return_index=True)
+            if memo.size + len(new) > memo.limit:
+                # a slice needs the ids of all its words at once
+                new, sample = np.unique(h, return_index=True)
+                missing, memo = np.arange(len(h)), Memo(max(self.memo_words, len(new)))
+                self.memo = memo
+            memo.add(new, *self.encode_parts(texts.data, start[missing[sample]], end[missing[sample]]))
+            of = memo.find(h)
+        begin, count = memo.begin[of], memo.count[of]
         total = np.concatenate([[0], np.cumsum(count)])
-        ids = self.flat[np.repeat(begin - total[:-1], count) + np.arange(total[-1])]
+        ids = memo.flat[np.repeat(begin - total[:-1], count) + np.arange(total[-1])]
         return ids, total[first]
 
-    def _remember(self, hashes: np.ndarray, found: list[np.ndarray]) -> None:
-        count = np.array([len(x) for x in found])
-        all_hash = np.concatenate([self.hashes, hashes])
-        all_count = np.concatenate([np.diff(self.first), count])
-        all_begin = np.concatenate([self.first[:-1], len(self.flat) + np.cumsum(count) - count])
-        flat = np.concatenate([self.flat, np.concatenate(found).astype(np.int32)])
-        order = np.argsort(all_hash)
-        self.hashes, count, begin = all_hash[order], all_count[order], all_begin[order]
-        self.first = np.concatenate([[0], np.cumsum(count)])
-        self.flat = flat[np.repeat(begin - self.first[:-1], count) + np.arange(self.first[-1])]
-
 
 #: One coder for each file and worker; tasks that share a worker share what it has learned.
 _CODERS: dict[tuple[str, type], WordCoder] = {}

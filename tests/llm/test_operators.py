@@ -90,7 +90,9 @@ def test_merges_take_the_leftmost_lowest_rank():
     v = bpe.Vocabulary(WORD)
     rng = random.Random(2)
     pieces = ["".join(rng.choice("abcehinotr") for _ in range(rng.randint(1, 70))).encode() for _ in range(300)] + [b"a" * 1000]
-    for piece, ids in zip(pieces, bpe.merge(v, pieces), strict=True):
+    flat, begin, count = bpe.merge(v, pieces)
+    for piece, a, n in zip(pieces, begin.tolist(), count.tolist(), strict=True):
+        ids = flat[a : a + n]
         s = [*v.base[np.frombuffer(piece, np.uint8)].tolist()]
         s[-1] = int(v.last[piece[-1]])
         while len(s) > 1:
@@ -234,12 +236,71 @@ def test_packing(docs, empty, corpus):
     assert bm25_packing.pack(empty, BYTE).count() == 0
 
 
-def test_a_seed_retrieves_what_shares_its_rare_terms():
-    docs = [[5] * 3 + [101, 102, 103], [5] * 3 + [7, 8], [5, 9, 101, 103, 102], [5, 10, 11]]
+def plain_order(docs, window):
+    """Greedy packing by BM25 over dictionaries: the order of the documents."""
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    terms = [Counter(d[:-1]) for d in docs]
+    df = Counter(t for c in terms for t in c)
+    idf = {t: math.log(1 + (n - k + 0.5) / (k + 0.5)) for t, k in df.items()}
+
+    def score(seed, d):
+        k1, b = bm25_packing.K1, bm25_packing.B
+        return sum(idf[t] * terms[d][t] * (k1 + 1) / (terms[d][t] + k1 * (1 - b + b * len(docs[d]) / mean)) for t in terms[seed] if t in terms[d])
+
+    left, order, fill, seed = list(range(n)), [], 0, None
+    while left:
+        best = max(left, key=lambda d: (score(seed, d), -d)) if seed is not None else left[0]
+        if seed is not None and score(seed, best) <= 0:
+            best = left[0]
+        left.remove(best)
+        order.append(best)
+        fill += len(docs[best])
+        if fill >= window or seed is None:
+            fill, seed = fill % window, best
+    return order
+
+
+@pytest.mark.parametrize("n", [1, 7, 150])
+def test_windows_are_filled_as_plain_bm25_fills_them(n):
+    rng = np.random.default_rng(n)
+    docs = [[*(rng.zipf(1.3, rng.integers(0, 60)) % 3000 + 20 * rng.integers(1, 40)).tolist(), 0] for _ in range(n)]
     first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-    index = bm25_packing.Index(np.concatenate(docs), first)
-    index.unused[0] = False
-    assert index.neighbours(0)[0] == 2
+    ids = np.concatenate([np.array(d) for d in docs])
+    term = bm25_packing.postings(ids, first)[1]
+    corpus = bm25_packing.Statistics(np.bincount(term, minlength=5000), n, np.diff(first).mean())
+    pieces = bm25_packing.pack_shard(ids, first, corpus, window=64)
+    assert list(dict.fromkeys(pieces[:, 0].tolist())) == plain_order(docs, 64)
+
+
+def test_equal_scores_go_to_the_first_and_copies_stand_together_across_partitions(spark):
+    first = np.arange(0, 13, 3)
+    ids = np.array([5, 6, 0, 5, 7, 0, 5, 7, 0, 8, 9, 0])
+    corpus = bm25_packing.Statistics(np.array([0] * 5 + [3, 1, 2, 1, 1]), 4, 3.0)
+    assert list(dict.fromkeys(bm25_packing.pack_shard(ids, first, corpus, window=4)[:, 0].tolist())) == [0, 1, 2, 3]
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(60)]
+    df = spark.createDataFrame([(i, texts[i % 60], 1, 2) for i in range(240)] + [(None, "a b", 1, 2)], "doc_id long, text string, t1 int, part int").repartition(6)
+    rows = bm25_packing.pack(df, BYTE, shard_tokens=2000).collect()
+    where = defaultdict(set)
+    for r in rows:
+        if r.doc_id is not None:
+            where[r.doc_id % 60].add(r.sequence_id >> 36)
+    assert len(rows) >= 241 and np.mean([len(x) for x in where.values()]) < 2 and any(r.doc_id is None for r in rows)
+
+
+def test_parts_of_texts_are_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    whole, fast = Tokenizer.from_file(BYTE), bm25_packing.byte_coder(str(BYTE))
+    rng = random.Random(11)
+    letters = ["a", "B", "'s", "'", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "é", "ß", "漢", "🙂", "12", "<|", "|>", "<|endoftext|>", "--", "word", "words"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    ids, first = fast.encode(texts_of(pa.array(texts)))
+    for i, t in enumerate(texts):
+        assert ids[first[i] : first[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+    memo = bpe.Memo(100)
+    memo.add(np.arange(1, 51, dtype=np.uint64) << np.uint64(40), np.arange(100, dtype=np.int32), np.full(50, 2))
+    assert memo.find(np.array([1 << 40, 50 << 40, 51 << 40], np.uint64)).tolist() == [0, 49, -1] and memo.flat[memo.begin[49]] == 98
 
 
 def test_range_coder_round_trip(spark, docs, empty, corpus):
@@ -254,21 +315,43 @@ def test_range_coder_round_trip(spark, docs, empty, corpus):
     assert range_coder.round_trip(empty, WORD).count() == 0
 
 
-@pytest.mark.parametrize("kind", ["uniform", "skewed", "constant", "edge"])
+@pytest.mark.parametrize("kind", ["uniform", "skewed", "constant", "edge", "wide"])
 def test_blocks_decode_to_what_was_encoded(kind):
     rng = np.random.default_rng(4)
-    ids = {"uniform": rng.integers(0, 49408, 5000), "skewed": rng.zipf(1.2, 5000) % 49408, "constant": np.full(5000, 49407), "edge": rng.choice([0, 255, 256, 49407], 5000)}[kind].astype(np.int32)
+    ids = {"uniform": rng.integers(0, 49408, 5000), "skewed": rng.zipf(1.2, 5000) % 49408, "constant": np.full(5000, 49407), "edge": rng.choice([0, 255, 256, 49407], 5000), "wide": rng.choice([0, 65535, 65536, 99999], 5000)}[kind].astype(np.int32)
+    size = 100_000 if kind == "wide" else 49408
     lengths = np.array([1024, 1024, 1024, 1024, 904])
-    coded, counts = range_coder.encode_blocks(ids, lengths)
-    assert (range_coder.decode_blocks(coded, counts, lengths) == ids).all()
+    coded, counts = range_coder.encode_blocks(ids, lengths, size)
+    assert (range_coder.decode_blocks(coded, counts, lengths, size) == ids).all()
     if kind in ("constant", "skewed"):
-        assert 2 * len(coded) < (200 if kind == "constant" else 1.8 * len(ids))
+        assert 4 * len(coded) < (600 if kind == "constant" else 1.8 * len(ids))
     # a block is read without the others
     at = np.cumsum(counts) - counts
-    one = range_coder.decode_blocks(coded[at[2] : at[2] + counts[2]], counts[2:3], lengths[2:3])
+    one = range_coder.decode_blocks(coded[at[2] : at[2] + counts[2]], counts[2:3], lengths[2:3], size)
     assert (one == ids[2048:3072]).all()
 
 
+def test_the_mixture_is_a_distribution():
+    """The intervals of all ids lie one after the other below the total, and each id is found from both its ends."""
+    rng = np.random.default_rng(5)
+    n, size = 3, 900
+    model = range_coder.Model(n, size)
+    for t in range(70):
+        model.predict(t, n)
+        now = (rng.zipf(1.3, n) % size) if t % 3 else np.array([7, 7, 9])
+        model.interval(n, now)
+        model.learn(n, now)
+    model.predict(70, n)
+    end = np.zeros(n, np.int64)
+    for i in range(size):
+        ids = np.full(n, i)
+        start, width = model.interval(n, ids)
+        assert (start == end).all() and (width > 0).all()
+        assert (model.find(n, start) == i).all() and (model.find(n, start + width - 1) == i).all()
+        end = start + width
+    assert (end <= 1 << 31).all() and (end > 0.97 * (1 << 31)).all()
+
+
 def test_damage_is_found(spark, docs, tmp_path):
     from pyspark.sql import functions as F
 
