@@ -3,17 +3,18 @@
 A block is BLOCK ids. Its models begin empty, so a block is read without any other; its CRC-32 tells whether it was read right. The
 blocks of a segment are coded in step, one numpy lane each.
 
-An id is first held against the one that last followed the same two ids (order 2) and the one that last followed the same id (order
-1). How likely a hit is, is a mix of three adaptive estimates: by order 2's run of hits, by order 1's and its agreement, and by
-the block's hits so far (order 0); the weights follow how well each did. An id that neither has is coded by adaptive
-order-0 counts of its high byte and of its low byte under the high one's last four bits. All arithmetic is on integers, so the
-reader repeats the writer's steps exactly.
+Three models give each id a probability. Order 0 counts classes of ids (class k has the ids from k^2 to (k+1)^2 - 1, as ids of low
+number are frequent), whose shares are worked out anew from time to time. Order 1 and order 2 guess the id that last followed
+the same one or two ids, with a probability that adapts to how often guesses of that standing were right, and leave the rest to order
+0. The id is coded once, by the mixture of the three probabilities; a model's weight is multiplied by the probability that it gave to what
+came, against that of the mixture, and a small share of all weights is dealt out evenly. Sums and products of single
+floating-point numbers and integers are the same everywhere, so the reader repeats the writer's steps exactly.
 
 Files are Parquet tables of segments, written and read by Spark: one row has the document ids and lengths, the blocks' sizes and check
 sums and the coded words. Rows are in ascending order of doc_id over the parts, as (part, segment) tell.
 
 Defined results: a null or empty text is one id, the end; long documents cross blocks; repeated rows are written each; null doc_ids come first;
-an empty table makes an empty table; other columns aren't written. A damaged block raises ValueError.
+an empty table makes an empty table; other columns aren't written. Ids are below 2^20. A damaged block raises ValueError.
 """
 
 from __future__ import annotations
@@ -38,248 +39,227 @@ BLOCK = 4096
 LANES = 2048
 #: The id that ends a document.
 END = 1
+#: Contexts that an order remembers in a block.
 SLOTS = 1024
-_U, _I = np.uint64, np.int64
-_WORD, _TOP, _MASK = _U(16), _U(1 << 32), _U((1 << 48) - 1)
-_NOBODY = 1 << 20
+#: Counts of order 0: of a class at first, and what each id adds; its shares are worked out after these many ids, and after each AGAIN.
+FIRST_COUNT, RAISE, EARLY, AGAIN = 1, 8, (16, 32, 64), 128
+#: Steps of a guess's probability and of the weights towards what came, and the most that a guess is given.
+RATE, SHARE, MOST = np.float32(1 / 16), np.float32(1 / 50), np.float32(0.96)
+_U, _I, _F = np.uint64, np.int64, np.float32
+#: Bits of the mixture's total, and of a word of the code.
+_TOTAL, _WORD = 31, _U(32)
+_CELL = _U(1 << 32)
+_LOW = _CELL - _U(1)
+#: A guess's standing after a miss (first half) and after a hit; from a standing of 4 on a guess survives a miss.
+_STANDING = np.array([*(c >> 1 for c in range(16)), *(min(c + 1, 15) for c in range(16))], np.int32)
+_SURVIVES = 4
 
 
-class Model:
-    """Predictions and their updates for n blocks in step."""
+def classes_of(ids: int) -> np.ndarray:
+    """The class of each id below ``ids``: the whole part of its square root."""
+    return np.sqrt(np.arange(ids)).astype(_I)
+
+
+class Order:
+    """Guesses by a hash of the last ids, with the probability that one of its standing is right."""
 
     def __init__(self, n: int):
-        self.base = np.arange(n) * SLOTS
-        self.next2, self.next1 = np.full(n * SLOTS, _NOBODY, np.int32), np.full(n * SLOTS, _NOBODY, np.int32)
-        self.run2, self.run1 = np.zeros(n * SLOTS, np.int8), np.zeros(n * SLOTS, np.int8)
-        # probabilities of a hit in 1/65536
-        self.p2, self.p1, self.p0, self.pb = np.full(n * 16, 20000, _I), np.full(n * 32, 20000, _I), np.full(n, 10000, _I), np.full(n * 16, 16000, _I)
-        self.weight = np.full((3, n), 1 << 12, _I)
+        # a guess, and its standing in the last four bits
+        self.table, self.chance = np.zeros(n * SLOTS, np.int32), np.full(n * 16, 0.3, _F)
+        self.slots, self.cells = np.arange(n) * SLOTS, np.arange(n) * 16
+
+    def look(self, m: int, context: np.ndarray) -> None:
+        self.slot = self.slots[:m] + (context & (SLOTS - 1))
+        entry = self.table.take(self.slot, mode="clip")
+        self.guess, self.standing = entry >> 4, entry & 15
+        self.cell = self.cells[:m] + self.standing
+        self.p = self.chance.take(self.cell, mode="clip")
+
+    def learn(self, hit: np.ndarray, ids: np.ndarray) -> None:
+        self.chance[self.cell] = self.p + (hit * MOST - self.p) * RATE
+        kept = np.where(hit | (self.standing >= _SURVIVES), self.guess, ids)
+        self.table[self.slot] = (kept << 4) | _STANDING.take(self.standing + (hit << 4), mode="clip")
+
+
+class Model:
+    """Predictions and their updates for n blocks in step; ids are below ``size``."""
+
+    def __init__(self, n: int, size: int):
+        self.of = classes_of(size)
+        self.classes = int(self.of[-1]) + 1
+        self.one, self.two = Order(n), Order(n)
+        self.count = np.full((n, self.classes), FIRST_COUNT, np.int32)
+        self.width, self.row = 2 * np.arange(self.classes, dtype=np.int32) + 1, np.arange(n) * self.classes
+        self.weight = [np.full(n, 1 / 3, _F) for _ in range(3)]
         self.last1, self.last2 = np.zeros(n, _I), np.zeros(n, _I)
-        self.lane = np.arange(n)
-        self.high = (np.full((n, 16), 16, np.int32), np.full((n * 16, 16), 1, np.int32))
-        self.low = (np.full((n * 16, 16), 16, np.int32), np.full((n * 256, 16), 1, np.int32))
-
-    def look(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The two guesses for the next id of the first n lanes."""
-        a, b = self.last1[:n], self.last2[:n]
-        self.slot1 = self.base[:n] + ((a * 40503 >> 4) & (SLOTS - 1))
-        self.slot2 = self.base[:n] + ((a * 40503 + b * 30011 >> 5) & (SLOTS - 1))
-        return self.next2[self.slot2], self.next1[self.slot1]
-
-    def chance(self, n: int, agree: np.ndarray) -> np.ndarray:
-        """The mixed probability that order 2's guess is right."""
-        self.c2 = self.lane[:n] * 16 + self.run2[self.slot2]
-        self.c1 = self.lane[:n] * 32 + self.run1[self.slot1] + 16 * agree
-        q = self.q = np.stack([self.p2[self.c2], self.p1[self.c1], self.p0[:n]])
-        w = self.weight[:, :n]
-        return np.clip((w * q).sum(0) // w.sum(0), 64, 65472)
-
-    def learn(self, n: int, hit: np.ndarray) -> None:
-        goal = np.where(hit, 65535, 0)
-        self.p2[self.c2] += (goal - self.q[0]) >> 4
-        self.p1[self.c1] += (goal - self.q[1]) >> 4
-        self.p0[:n] += (goal - self.q[2]) >> 6
-        # weights decay and grow by the probability that each gave to what came
-        gave = np.where(hit, self.q, 65536 - self.q)
-        w = self.weight[:, :n]
-        w -= w >> 5
-        w += gave >> 8
-
-    def remember(self, n: int, ids: np.ndarray, guess2: np.ndarray, guess1: np.ndarray) -> None:
-        for table, run, slot, guess in ((self.next2, self.run2, self.slot2, guess2), (self.next1, self.run1, self.slot1, guess1)):
-            right = guess == ids
-            r = run[slot]
-            # a guess with a run of hits survives its first miss
-            table[slot] = np.where(right | (r > 3), guess, ids)
-            run[slot] = np.where(right, np.minimum(r + 1, 15), r >> 2)
-        self.last2[:n] = self.last1[:n]
-        self.last1[:n] = ids
-
-    @staticmethod
-    def counted(tables: tuple[np.ndarray, np.ndarray], row: np.ndarray) -> np.ndarray:
-        return np.cumsum(tables[0][row], axis=1)
-
-    @staticmethod
-    def raise_count(tables: tuple[np.ndarray, np.ndarray], row: np.ndarray, symbol: np.ndarray) -> None:
-        coarse, fine = tables
-        hi, lo = symbol >> 4, symbol & 15
-        fine[row * 16 + hi, lo] += 24
-        coarse[row, hi] += 24
-        full = np.flatnonzero(coarse[row].sum(1) > 8192) if len(row) else row
-        for r in row[full].tolist():
-            own = fine[r * 16 : r * 16 + 16]
-            own += 1
-            own >>= 1
-            coarse[r] = own.sum(1)
+        self._share()
+
+    def _share(self) -> None:
+        """Order 0's share of each id of a class, and of all ids below the class."""
+        scale = (1 << 20) / self.count.sum(1)
+        unit = (self.count * scale[:, None] / self.width).astype(np.int32) + 1
+        own = unit * self.width
+        ends = np.cumsum(own, axis=1, dtype=np.int32)
+        self.total = ends[:, -1].astype(np.float64)
+        # what is below in the upper half of a number, the share in the lower
+        self.shares, self.counted = ((ends - own).astype(_I) << 32 | unit).ravel(), self.count.ravel()
+
+    def _shares(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = self.shares.take(at, mode="clip")
+        return both >> 32, both & 0xFFFFFFFF
+
+    def predict(self, t: int, m: int) -> None:
+        """The mixture for the next id of the first m lanes: the masses of the two guesses and of a unit of order 0."""
+        if t in EARLY or (t and t % AGAIN == 0):
+            self._share()
+        mixed = self.last1[:m] * 40503
+        self.one.look(m, mixed >> 4)
+        self.two.look(m, (mixed + self.last2[:m] * 30011) >> 5)
+        whole = _F(1 << _TOTAL)
+        self.mass1, self.mass2 = (self.weight[1][:m] * self.one.p * whole).astype(_I), (self.weight[2][:m] * self.two.p * whole).astype(_I)
+        self.each = (((1 << _TOTAL) - self.mass1 - self.mass2) / self.total[:m]).astype(_I)
+
+    def interval(self, m: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of ids in the mixture."""
+        of = self.of.take(ids, mode="clip")
+        self.at = self.row[:m] + of
+        below, self.own = self._shares(self.at)
+        self.hit1, self.hit2 = self.one.guess == ids, self.two.guess == ids
+        start = self.each * (below + (ids - of * of) * self.own) + self.mass1 * (self.one.guess < ids) + self.mass2 * (self.two.guess < ids)
+        return start, self.each * self.own + self.mass1 * self.hit1 + self.mass2 * self.hit2
+
+    def find(self, m: int, value: np.ndarray) -> np.ndarray:
+        """The ids whose intervals hold these values."""
+        one, two = self.one.guess, self.two.guess
+
+        def bounds(guess: np.ndarray, mass: np.ndarray, other: np.ndarray, other_mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            of = self.of.take(guess, mode="clip")
+            below, unit = self._shares(self.row[:m] + of)
+            start = self.each * (below + (guess - of * of) * unit) + other_mass * (other < guess)
+            return start, start + self.each * unit + mass + other_mass * (other == guess)
+
+        start1, end1 = bounds(one, self.mass1, two, self.mass2)
+        start2, end2 = bounds(two, self.mass2, one, self.mass1)
+        in1, above1, above2 = (value >= start1) & (value < end1), value >= end1, value >= end2
+        ids = np.where(in1, one, two).astype(_I)
+        rest = np.flatnonzero(~(in1 | ((value >= start2) & ~above2)))
+        if len(rest):
+            # without the masses of the guesses below, order 0 alone tells the class, by bisection
+            left = value[rest] - self.mass1[rest] * above1[rest] - self.mass2[rest] * above2[rest]
+            place = np.minimum(left / self.each[rest], self.total[rest] - 1).astype(_I)
+            row, of, key = self.row[rest], np.zeros(len(rest), _I), place << 32 | 0xFFFFFFFF
+            for bit in reversed(range(self.classes.bit_length())):
+                on = of + (1 << bit)
+                fits = (on < self.classes) & (self.shares.take(row + on, mode="clip") <= key)
+                of = np.where(fits, on, of)
+            below, unit = self._shares(row + of)
+            ids[rest] = np.minimum(of * of + ((place - below) / unit).astype(_I), len(self.of) - 1)
+        return ids
+
+    def learn(self, m: int, ids: np.ndarray) -> None:
+        """Takes in what came; :meth:`interval` has placed it."""
+        zero = (self.own / self.total[:m]).astype(_F)
+        w0, w1, w2 = (w[:m] for w in self.weight)
+        p1, p2 = self.one.p, self.two.p
+        g0, g1, g2 = w0 * zero, w1 * (p1 * self.hit1 + (1 - p1) * zero), w2 * (p2 * self.hit2 + (1 - p2) * zero)
+        rest, even = (1 - SHARE) / (g0 + g1 + g2), SHARE / _F(3)
+        w0[:], w1[:], w2[:] = g0 * rest + even, g1 * rest + even, g2 * rest + even
+        self.one.learn(self.hit1, ids)
+        self.two.learn(self.hit2, ids)
+        self.counted[self.at] += RAISE
+        self.last2[:m] = self.last1[:m]
+        self.last1[:m] = ids
 
 
 class Writer:
+    """Range coders in step. The code of a lane is below ``low + range``; when the range is under a word's, the word above it is settled."""
+
     def __init__(self, n: int):
-        self.low, self.range = np.zeros(n, _U), np.full(n, (1 << 48) - 1, _U)
+        self.low, self.range = np.zeros(n, _U), np.full(n, (1 << 64) - 1, _U)
         self.lanes: list[np.ndarray] = []
         self.words: list[np.ndarray] = []
 
-    def _settle(self, at: np.ndarray) -> None:
-        while len(at):
-            low, span = self.low[at], self.range[at]
-            same = (low ^ (low + span)) >> _U(32) == 0
-            small = span < _TOP
-            go = same | small
-            at, low, span, same = at[go], low[go], span[go], same[go]
-            if not len(at):
-                return
-            span = np.where(same, span, (_TOP - (low & (_TOP - _U(1)))) & (_TOP - _U(1)))
-            self.lanes.append(at)
-            self.words.append((low >> _U(32)).astype(np.uint16))
-            self.low[at], self.range[at] = (low << _WORD) & _MASK, (span << _WORD) & _MASK
-
-    def put(self, at: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray | int) -> None:
-        unit = self.range[at] // (total if isinstance(total, int) else total.astype(_U)) if not isinstance(total, int) else self.range[at] >> _U(16)
-        self.low[at] += start.astype(_U) * unit
-        self.range[at] = size.astype(_U) * unit
-        self._settle(at)
+    def put(self, m: int, start: np.ndarray, size: np.ndarray) -> None:
+        low, span = self.low[:m], self.range[:m]
+        unit = span >> _U(_TOTAL)
+        low += start.astype(_U) * unit
+        np.multiply(size.astype(_U), unit, out=span)
+        at = np.flatnonzero(span < _CELL)
+        if len(at):
+            old = low[at]
+            self.lanes.append(at.astype(np.int32))
+            self.words.append((old >> _WORD).astype(np.uint32))
+            # a range that would reach into the next word is cut off there
+            span[at] = np.minimum(span[at], _CELL - (old & _LOW)) << _WORD
+            low[at] = old << _WORD
 
     def end(self) -> tuple[np.ndarray, np.ndarray]:
         """(words of all lanes, one lane after the other; the number of each)."""
         n = len(self.low)
-        for shift in (32, 16, 0):
-            self.lanes.append(np.arange(n))
-            self.words.append((self.low >> _U(shift)).astype(np.uint16))
+        for shift in (32, 0):
+            self.lanes.append(np.arange(n, dtype=np.int32))
+            self.words.append((self.low >> _U(shift) & _LOW).astype(np.uint32))
         lane, word = np.concatenate(self.lanes), np.concatenate(self.words)
-        return word[np.argsort(lane, kind="stable")], np.bincount(lane, minlength=n)
+        return word[np.argsort(lane.astype(np.uint16) if n <= 1 << 16 else lane, kind="stable")], np.bincount(lane, minlength=n)
 
 
 class Reader:
     def __init__(self, words: np.ndarray, counts: np.ndarray):
         n = len(counts)
-        self.words = np.concatenate([words, np.zeros(4, np.uint16)]).astype(_U)
+        self.words = np.concatenate([words, np.zeros(2, np.uint32)]).astype(_U)
         self.at = np.cumsum(counts) - counts
-        self.low, self.range, self.code = np.zeros(n, _U), np.full(n, (1 << 48) - 1, _U), np.zeros(n, _U)
-        for _ in range(3):
-            self.code = self.code << _WORD | self.words[self.at]
-            self.at += 1
-
-    def _settle(self, at: np.ndarray) -> None:
-        while len(at):
-            low, span = self.low[at], self.range[at]
-            same = (low ^ (low + span)) >> _U(32) == 0
-            go = same | (span < _TOP)
-            at, low, span, same = at[go], low[go], span[go], same[go]
-            if not len(at):
-                return
-            span = np.where(same, span, (_TOP - (low & (_TOP - _U(1)))) & (_TOP - _U(1)))
-            self.low[at], self.range[at] = (low << _WORD) & _MASK, (span << _WORD) & _MASK
-            self.code[at] = ((self.code[at] << _WORD) & _MASK) | self.words[np.minimum(self.at[at], len(self.words) - 1)]
-            self.at[at] += 1
-
-    def find(self, at: np.ndarray, total: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """(unit, where in the total the code stands)."""
-        unit = self.range[at] >> _U(16) if total is None else self.range[at] // total.astype(_U)
-        return unit, (((self.code[at] - self.low[at]) & _MASK) // unit).astype(_I)
-
-    def take(self, at: np.ndarray, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        self.low[at] += start.astype(_U) * unit
-        self.range[at] = size.astype(_U) * unit
-        self._settle(at)
-
-
-def _bounds(tables: tuple[np.ndarray, np.ndarray], row: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, size, total) of byte symbols under the counts of their rows."""
-    hi, lo = symbol >> 4, symbol & 15
-    k = np.arange(len(row))
-    coarse, fine = tables[0][row], tables[1][row * 16 + hi]
-    above, within = np.cumsum(coarse, axis=1), np.cumsum(fine, axis=1)
-    size = fine[k, lo]
-    return above[k, hi] - coarse[k, hi] + within[k, lo] - size, size, above[:, 15]
-
-
-def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, words of each block) of consecutive blocks; lengths don't rise."""
-    n = len(lengths)
-    model, out = Model(n), Writer(n)
-    first, lane = np.cumsum(lengths) - lengths, np.arange(n)
-    for t in range(int(lengths.max(initial=0))):
+        self.low, self.range = np.zeros(n, _U), np.full(n, (1 << 64) - 1, _U)
+        self.code = self.words[self.at] << _WORD | self.words[self.at + 1]
+        self.at += 2
+
+    def value(self, m: int) -> np.ndarray:
+        """Where in the total the code of each lane stands."""
+        self.unit = self.range[:m] >> _U(_TOTAL)
+        return np.minimum((self.code[:m] - self.low[:m]) // self.unit, _U((1 << _TOTAL) - 1)).astype(_I)
+
+    def take(self, m: int, start: np.ndarray, size: np.ndarray) -> None:
+        low, span = self.low[:m], self.range[:m]
+        low += start.astype(_U) * self.unit
+        np.multiply(size.astype(_U), self.unit, out=span)
+        at = np.flatnonzero(span < _CELL)
+        if len(at):
+            old = low[at]
+            span[at] = np.minimum(span[at], _CELL - (old & _LOW)) << _WORD
+            low[at] = old << _WORD
+            place = self.at[at]
+            self.code[at] = self.code[at] << _WORD | self.words.take(place, mode="clip")
+            self.at[at] = place + 1
+
+
+def encode_blocks(ids: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, words of each block) of consecutive blocks of ids below ``size``; lengths don't rise."""
+    n, most = len(lengths), int(lengths.max(initial=0))
+    model, out = Model(n, size), Writer(n)
+    # one row for each step
+    table = np.zeros((n, most), np.int32)
+    table[np.arange(most) < lengths[:, None]] = ids
+    table = np.ascontiguousarray(table.T)
+    for t in range(most):
         m = int(np.searchsorted(-lengths, -t, "left"))  # the lanes that still go on
-        at = lane[:m]
-        now = ids[first[:m] + t].astype(_I)
-        g2, g1 = model.look(m)
-        agree = g1 == g2
-        p = model.chance(m, agree)
-        hit = g2 == now
-        out.put(at, np.where(hit, 0, p), np.where(hit, p, 65536 - p), 65536)
-        model.learn(m, hit)
-        rest = np.flatnonzero(~hit & ~agree)
-        if len(rest):
-            c = rest * 16 + model.run1[model.slot1[rest]]
-            p = np.clip(model.pb[c], 64, 65472)
-            hit1 = g1[rest] == now[rest]
-            out.put(rest, np.where(hit1, 0, p), np.where(hit1, p, 65536 - p), 65536)
-            model.pb[c] += (np.where(hit1, 65535, 0) - model.pb[c]) >> 4
-        rest = np.flatnonzero(~hit & (g1 != now))
-        if len(rest):
-            high, low = now[rest] >> 8, now[rest] & 255
-            out.put(rest, *_bounds(model.high, rest, high))
-            model.raise_count(model.high, rest, high)
-            row = rest * 16 + (high & 15)
-            out.put(rest, *_bounds(model.low, row, low))
-            model.raise_count(model.low, row, low)
-        model.remember(m, now, g2, g1)
+        now = table[t, :m].astype(_I)
+        model.predict(t, m)
+        out.put(m, *model.interval(m, now))
+        model.learn(m, now)
     return out.end()
 
 
-def decode_blocks(words: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    n = len(lengths)
-    model, code = Model(n), Reader(words, counts)
-    first, lane = np.cumsum(lengths) - lengths, np.arange(n)
-    out = np.zeros(int(lengths.sum()), np.int32)
-
-    def byte(tables: tuple[np.ndarray, np.ndarray], at: np.ndarray, row: np.ndarray) -> np.ndarray:
-        k = np.arange(len(at))
-        coarse = tables[0][row]
-        above = np.cumsum(coarse, axis=1)
-        unit, where = code.find(at, above[:, 15])
-        where = np.minimum(where, above[:, 15] - 1)
-        hi = (above <= where[:, None]).sum(1)
-        start = above[k, hi] - coarse[k, hi]
-        fine = tables[1][row * 16 + hi]
-        within = np.cumsum(fine, axis=1)
-        lo = np.minimum((within <= (where - start)[:, None]).sum(1), 15)
-        size = fine[k, lo]
-        code.take(at, unit, start + within[k, lo] - size, size)
-        symbol = hi << 4 | lo
-        model.raise_count(tables, row, symbol)
-        return symbol
-
-    for t in range(int(lengths.max(initial=0))):
+def decode_blocks(words: np.ndarray, counts: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
+    n, most = len(lengths), int(lengths.max(initial=0))
+    model, code = Model(n, size), Reader(words, counts)
+    table = np.zeros((most, n), np.int32)
+    for t in range(most):
         m = int(np.searchsorted(-lengths, -t, "left"))
-        at = lane[:m]
-        g2, g1 = model.look(m)
-        agree = g1 == g2
-        p = model.chance(m, agree)
-        unit, where = code.find(at, None)
-        hit = where < p
-        code.take(at, unit, np.where(hit, 0, p), np.where(hit, p, 65536 - p))
-        model.learn(m, hit)
-        now = g2.astype(_I)
-        rest = np.flatnonzero(~hit & ~agree)
-        miss = ~hit
-        if len(rest):
-            c = rest * 16 + model.run1[model.slot1[rest]]
-            p = np.clip(model.pb[c], 64, 65472)
-            unit, where = code.find(rest, None)
-            hit1 = where < p
-            code.take(rest, unit, np.where(hit1, 0, p), np.where(hit1, p, 65536 - p))
-            model.pb[c] += (np.where(hit1, 65535, 0) - model.pb[c]) >> 4
-            now[rest[hit1]] = g1[rest[hit1]]
-            miss[rest[hit1]] = False
-        rest = np.flatnonzero(miss)
-        if len(rest):
-            high = byte(model.high, rest, rest)
-            low = byte(model.low, rest, rest * 16 + (high & 15))
-            now[rest] = high << 8 | low
-        model.remember(m, now, g2, g1)
-        out[first[:m] + t] = now
-    return out
+        model.predict(t, m)
+        now = model.find(m, code.value(m))
+        code.take(m, *model.interval(m, now))
+        model.learn(m, now)
+        table[t, :m] = now
+    return table.T[np.arange(most) < lengths[:, None]]
 
 
 def _checksums(ids: np.ndarray, lengths: np.ndarray) -> list[int]:
@@ -291,7 +271,7 @@ def _checksums(ids: np.ndarray, lengths: np.ndarray) -> list[int]:
     return sums
 
 
-_SCHEMA = "part int, segment int, doc_ids binary, doc_lengths binary, n_ids long, block_words binary, block_crc32 binary, words binary"
+_SCHEMA = "part int, segment int, doc_ids binary, doc_lengths binary, n_ids long, block_words binary, block_crc32 binary, vocabulary int, words binary"
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -301,6 +281,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, part, segment = coder(tokenizer), TaskContext.get().partitionId(), 0
+        size = len(c.vocabulary.strings)
         names, parts, sizes, have = [], [], [], 0
         z = zstandard.ZstdCompressor(level=3)
 
@@ -310,22 +291,22 @@ def write(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id", te
             n = len(ids)
             lengths = np.full(-(-n // BLOCK), BLOCK)
             lengths[-1] = n - BLOCK * (len(lengths) - 1)
-            words, counts = encode_blocks(ids, lengths)
+            words, counts = encode_blocks(ids, lengths, size)
             own = docs_of.fill_null(np.iinfo(np.int64).min).to_numpy()
-            cols = [z.compress(own.tobytes()), z.compress(np.concatenate(sizes).astype(np.int64).tobytes()), n, counts.astype(np.uint32).tobytes(), np.array(_checksums(ids, lengths), np.uint32).tobytes(), words.tobytes()]
-            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            cols = [z.compress(own.tobytes()), z.compress(np.concatenate(sizes).astype(np.int64).tobytes()), n, counts.astype(np.uint32).tobytes(), np.array(_checksums(ids, lengths), np.uint32).tobytes(), size, words.tobytes()]
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
             segment += 1
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), *[pa.array([x], k) for x, k in zip(cols, kinds, strict=True)]], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
         for batch, texts in slices(batches, text):
             ids, first = c.encode(texts)
-            ids, size = np.insert(ids, first[1:], END), np.diff(first) + 1
+            ids, own = np.insert(ids, first[1:], END), np.diff(first) + 1
             if have and have + len(ids) > LANES * BLOCK:
                 yield flush()
                 names, parts, sizes, have = [], [], [], 0
             names.append(batch.column("doc_id"))
             parts.append(ids)
-            sizes.append(size)
+            sizes.append(own)
             have += len(ids)
         if have:
             yield flush()
@@ -344,10 +325,10 @@ def read(spark, path: str, with_ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                part, segment, doc_ids, doc_lengths, n, counts, sums, words = (batch.column(x)[i].as_py() for x in ("part", "segment", "doc_ids", "doc_lengths", "n_ids", "block_words", "block_crc32", "words"))
+                part, segment, doc_ids, doc_lengths, n, counts, sums, vocabulary, words = (batch.column(x)[i].as_py() for x in ("part", "segment", "doc_ids", "doc_lengths", "n_ids", "block_words", "block_crc32", "vocabulary", "words"))
                 lengths = np.full(-(-n // BLOCK), BLOCK)
                 lengths[-1] = n - BLOCK * (len(lengths) - 1)
-                ids = decode_blocks(np.frombuffer(words, np.uint16), np.frombuffer(counts, np.uint32).astype(np.int64), lengths)
+                ids = decode_blocks(np.frombuffer(words, np.uint32), np.frombuffer(counts, np.uint32).astype(np.int64), lengths, vocabulary)
                 if _checksums(ids, lengths) != np.frombuffer(sums, np.uint32).tolist():
                     raise ValueError(f"a block of part {part}, segment {segment} is damaged")
                 own = np.frombuffer(zstandard.decompress(doc_ids), np.int64)
