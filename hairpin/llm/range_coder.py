@@ -34,13 +34,13 @@ from hairpin.llm.batches import arrow_rows, slices
 from hairpin.llm.bpe import coder
 from hairpin.plans.lineage import shared_folder
 
-BLOCK = 4096
+BLOCK = 2048
 #: Lanes of a segment; with BLOCK the ids that a task holds at once, but for one longer document.
-LANES = 2048
+LANES = 4096
 #: The id that ends a document.
 END = 1
 #: Contexts that an order remembers in a block.
-SLOTS = 1024
+SLOTS = 512
 #: Counts of order 0: of a class at first, and what each id adds; its shares are worked out after these many ids, and after each AGAIN.
 FIRST_COUNT, RAISE, EARLY, AGAIN = 1, 8, (16, 32, 64), 128
 #: Steps of a guess's probability and of the weights towards what came, and the most that a guess is given.
@@ -55,9 +55,9 @@ _STANDING = np.array([*(c >> 1 for c in range(16)), *(min(c + 1, 15) for c in ra
 _SURVIVES = 4
 
 
-def classes_of(ids: int) -> np.ndarray:
-    """The class of each id below ``ids``: the whole part of its square root."""
-    return np.sqrt(np.arange(ids)).astype(_I)
+def class_of(ids: np.ndarray) -> np.ndarray:
+    """The whole part of the square root."""
+    return np.sqrt(ids).astype(_I)
 
 
 class Order:
@@ -85,24 +85,27 @@ class Model:
     """Predictions and their updates for n blocks in step; ids are below ``size``."""
 
     def __init__(self, n: int, size: int):
-        self.of = classes_of(size)
-        self.classes = int(self.of[-1]) + 1
+        self.most = size - 1
+        self.classes = int(class_of(np.array(self.most, np.int64))) + 1
         self.one, self.two = Order(n), Order(n)
         self.count = np.full((n, self.classes), FIRST_COUNT, np.int32)
         self.width, self.row = 2 * np.arange(self.classes, dtype=np.int32) + 1, np.arange(n) * self.classes
         self.weight = [np.full(n, 1 / 3, _F) for _ in range(3)]
-        self.last1, self.last2 = np.zeros(n, _I), np.zeros(n, _I)
+        self.last1, self.last2, self.seen = np.zeros(n, _I), np.zeros(n, _I), []
         self._share()
 
     def _share(self) -> None:
-        """Order 0's share of each id of a class, and of all ids below the class."""
+        """Order 0's share of each id of a class, and of all ids below the class, by what has come so far."""
+        if self.seen:
+            self.count += RAISE * np.bincount(np.concatenate(self.seen), minlength=self.count.size).astype(np.int32).reshape(self.count.shape)
+            self.seen = []
         scale = (1 << 20) / self.count.sum(1)
         unit = (self.count * scale[:, None] / self.width).astype(np.int32) + 1
         own = unit * self.width
         ends = np.cumsum(own, axis=1, dtype=np.int32)
         self.total = ends[:, -1].astype(np.float64)
         # what is below in the upper half of a number, the share in the lower
-        self.shares, self.counted = ((ends - own).astype(_I) << 32 | unit).ravel(), self.count.ravel()
+        self.shares = ((ends - own).astype(_I) << 32 | unit).ravel()
 
     def _shares(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         both = self.shares.take(at, mode="clip")
@@ -121,7 +124,7 @@ class Model:
 
     def interval(self, m: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of ids in the mixture."""
-        of = self.of.take(ids, mode="clip")
+        of = class_of(ids)
         self.at = self.row[:m] + of
         below, self.own = self._shares(self.at)
         self.hit1, self.hit2 = self.one.guess == ids, self.two.guess == ids
@@ -133,7 +136,7 @@ class Model:
         one, two = self.one.guess, self.two.guess
 
         def bounds(guess: np.ndarray, mass: np.ndarray, other: np.ndarray, other_mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            of = self.of.take(guess, mode="clip")
+            of = class_of(guess)
             below, unit = self._shares(self.row[:m] + of)
             start = self.each * (below + (guess - of * of) * unit) + other_mass * (other < guess)
             return start, start + self.each * unit + mass + other_mass * (other == guess)
@@ -153,7 +156,7 @@ class Model:
                 fits = (on < self.classes) & (self.shares.take(row + on, mode="clip") <= key)
                 of = np.where(fits, on, of)
             below, unit = self._shares(row + of)
-            ids[rest] = np.minimum(of * of + ((place - below) / unit).astype(_I), len(self.of) - 1)
+            ids[rest] = np.minimum(of * of + ((place - below) / unit).astype(_I), self.most)
         return ids
 
     def learn(self, m: int, ids: np.ndarray) -> None:
@@ -166,7 +169,7 @@ class Model:
         w0[:], w1[:], w2[:] = g0 * rest + even, g1 * rest + even, g2 * rest + even
         self.one.learn(self.hit1, ids)
         self.two.learn(self.hit2, ids)
-        self.counted[self.at] += RAISE
+        self.seen.append(self.at)
         self.last2[:m] = self.last1[:m]
         self.last1[:m] = ids
 
