@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where it is unset (one machine, as in tests)."""
+    """The folder named by spark.checkpoint.dir. Where it is unset (one machine, as in tests) a folder in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         found = sc.getCheckpointDir()
         if not found:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="hairpin-"))
+            sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/hairpin-checkpoints")
             found = sc.getCheckpointDir()
     return found.rstrip("/")
 
@@ -31,3 +30,13 @@ def store(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/hairpin-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*stored: DataFrame) -> None:
+    """Deletes tables of :func:`store` that nothing will read any more."""
+    for df in stored:
+        spark = df.sparkSession
+        for name in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            target = spark._jvm.org.apache.hadoop.fs.Path(name)
+            if target.getName().startswith("hairpin-"):
+                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
