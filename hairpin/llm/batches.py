@@ -49,38 +49,39 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_INVERSE = _U(pow(int(_MULT), -1, 1 << 64))
-
-
 class _Powers:
-    """Powers of the hash base and of its inverse; those that a longer document asked for are given back with the task's memory."""
+    """Powers of a hash base and of its inverse; those that a longer document asked for are given back with the task's memory."""
 
     kept = SLICE_BYTES + 1
-    up = _powers(int(_MULT), kept)
-    down = _powers(int(_INVERSE), kept)
 
-    @classmethod
-    def at_least(cls, n: int) -> None:
-        if len(cls.up) < n:
-            cls.up, cls.down = _powers(int(_MULT), n), _powers(int(_INVERSE), n)
+    def __init__(self, base: int):
+        self.base, self.up = base, np.zeros(0, _U)
+
+    def at_least(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, self.kept)
+            self.up, self.down = _powers(self.base, n), _powers(pow(self.base, -1, 1 << 64), n)
+
+    def shrink(self) -> None:
+        if len(self.up) > self.kept:
+            self.up, self.down = self.up[: self.kept].copy(), self.down[: self.kept].copy()
+
 
-    @classmethod
-    def shrink(cls) -> None:
-        if len(cls.up) > cls.kept:
-            cls.up, cls.down = cls.up[: cls.kept].copy(), cls.down[: cls.kept].copy()
+#: The usual base of hashes, and another where two independent ones are asked for.
+BASE, OTHER_BASE = _Powers(int(_MULT)), _Powers(0xD6E8FEB86659FD93)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, base: _Powers = BASE) -> np.ndarray:
     """P with len(data) + 1 entries; see :func:`range_hash`."""
-    _Powers.at_least(len(data) + 1)
+    base.at_least(len(data) + 1)
     out = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE[data] * _Powers.up[: len(data)], out=out[1:])
+    np.cumsum(_BYTE[data] * base.up[: len(data)], out=out[1:])
     return out
 
 
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: _Powers = BASE) -> np.ndarray:
     """64-bit hashes of data[start:end]; equal bytes have equal hashes wherever they stand."""
-    return mix((prefix[end] - prefix[start]) * _Powers.down[start] + (end - start).astype(_U))
+    return mix((prefix[end] - prefix[start]) * base.down[start] + (end - start).astype(_U))
 
 
 @dataclass
@@ -129,7 +130,8 @@ def texts_of(column: pa.Array) -> Texts:
 
 def give_back() -> None:
     """Returns freed memory to the system: workers are used again, and hold what they once needed."""
-    _Powers.shrink()
+    BASE.shrink()
+    OTHER_BASE.shrink()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)

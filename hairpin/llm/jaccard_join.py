@@ -7,8 +7,8 @@ postings but fewer pairs reach m matches, and the sketch estimates which costs l
 has as many matches as the smaller m of the two asks for.
 
 Documents with equal sets are one class. Links within a group of near copies are found in two steps: every class is
-first verified against one pivot (of the classes that share a token, that with the fewest rarer ones), then pairs are drawn only between classes that these links
-have not joined, so a group of near copies costs its size rather than its square and loses no link that joins components.
+first held against one pivot (of the classes that share a token, that with the fewest rarer ones), then pairs are drawn only between classes that these links
+have not joined, by the same rule of matches, so a group of near copies costs its size rather than its square and loses no link that joins components.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; fewer words than a shingle are
 one shingle; long texts count whole; copies are linked; rows with equal doc_id are one document with all their links; a null doc_id has
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from hairpin.llm.batches import Texts, arrow_rows, mix, prefix_hash, range_hash, slices
 from hairpin.operators.components import connected_components
-from hairpin.plans.lineage import cut, store
+from hairpin.plans.lineage import cut, discard, store
 
 WORDS = 5
 #: The similarity, as a fraction.
@@ -304,8 +304,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     # each class against the pivot that it shares most tokens with
     pivot = postings.groupBy("token").agg(F.min(F.struct("at", "sig", "n", "m")).alias("p"))
     star = postings.alias("x").join(pivot, "token").select("x.*", "p").where((F.col("sig") != F.col("p.sig")) & _may_link("x", "p"))
-    star = star.groupBy("sig", F.col("p.sig").alias("b")).agg(F.count("*").alias("c")).groupBy("sig").agg(F.max(F.struct("c", "b")).alias("best"))
-    linked = cut(_verified(docs, text, cut(star.select(F.col("sig").alias("a"), F.col("best.b").alias("b")))).unionByName(several))
+    sizes = F.first(F.struct("n", "m")).alias("x"), F.first(F.struct("p.n", "p.m")).alias("y")
+    star = star.groupBy("sig", F.col("p.sig").alias("b")).agg(F.count("*").alias("c"), *sizes).groupBy("sig").agg(F.max(F.struct("c", "b", "x", "y")).alias("best"))
+    star = cut(star.select(F.col("sig").alias("a"), "best.b", "best.x", "best.y"))
+    linked = cut(_verified(docs, text, cut(_with_matches(star, postings))).unionByName(several))
     joined = connected_components(linked, "a", "b")
 
     # pairs of classes that aren't joined yet; first has the places of a class's first shared tokens, without m of which in
@@ -323,6 +325,8 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     pairs = cut(met.groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).agg(F.first(F.struct("x.n", "x.m")).alias("x"), F.first(F.struct("y.n", "y.m")).alias("y")))
     more = _verified(docs, text, cut(_with_matches(pairs, left)))
     final = connected_components(linked.unionByName(more), "a", "b")
+    discard(postings, known)
+    levels.unpersist()
 
     # classes to the least document of their component, and documents to their class
     owned = classes.join(final, F.col("sig") == F.col("id"), "left").select("sig", "n", "least", F.coalesce("component", "sig").alias("c"))

@@ -13,12 +13,14 @@ A string of LENGTH bytes that starts at two places is found in three steps.
    in that order which agree on LENGTH bytes are repeats. Memory is a block's keys and the cover's ranks.
 3. Removal. The covered bytes of each text are united and cut.
 
-A gram that very many different runs share isn't laid out in one task: the starts of its runs go to shards by a hash of
-their whole LENGTH bytes instead.
+The shard of a gram that very many different runs share is parted: the starts of its runs go, with their LENGTH bytes, to shards by a hash
+of these bytes, and are sorted there in the same way.
+
+Runs that are equal are folded into one by two independent 64-bit hashes of their bytes; suffixes are compared byte by byte.
 
 Defined results: null and empty texts have no bytes; texts under LENGTH bytes keep all; copies of a text that is long enough lose all
-bytes, repeated rows (equal ids too) as well; texts of any length are handled whole; an empty table gives an empty table; other
-columns stay in :func:`remove` and don't take part.
+bytes, repeated rows (equal ids too) as well; texts of any length below 256 MB are handled whole, a longer one raises ValueError; an empty
+table gives an empty table; other columns stay in :func:`remove`, whatever their names, but for those it adds.
 """
 
 from __future__ import annotations
@@ -27,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hairpin.llm.batches import Texts, arrow_rows, mix, prefix_hash, range_hash, slices
-from hairpin.plans.lineage import store
+from hairpin.llm.batches import OTHER_BASE, Texts, arrow_rows, mix, prefix_hash, range_hash, slices
+from hairpin.plans.lineage import discard, store
 
 LENGTH = 200
 GRAM = 100
@@ -40,22 +43,25 @@ SPAN = LENGTH - GRAM + 1
 #: A difference cover modulo 7: each difference of two residues occurs.
 PERIOD, COVER = 7, (0, 1, 3)
 #: Runs that a task gathers before it sends them on.
-GATHERED_RUNS = 500_000
+GATHERED_RUNS = 200_000
 #: Runs of a bucket, expected.
 BUCKET_RUNS = 120_000
-#: Different runs of one gram beyond which their starts are spread by whole strings.
-HOT_RUNS = 400
+#: Different runs of one gram beyond which its shard is parted.
+PARTED_RUNS = 20_000
 FILTER_BITS = 23
 _U = np.uint64
 _AT = _U(28)
 
 
 def runs(texts: Texts) -> tuple[np.ndarray, ...]:
-    """(doc, start, count, lead, gram, whole) of the runs of starts: start within the document, lead the anchor's distance from it."""
+    """(doc, start, count, lead, gram, whole, other) of the runs of starts: start within the document, lead the anchor's distance from it,
+    whole and other two hashes of the run's bytes and lead."""
     data, offsets = texts.data, texts.offsets
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return none, none, none, none, none.astype(_U), none.astype(_U)
+        return none, none, none, none, none.astype(_U), none.astype(_U), none.astype(_U)
+    if len(data) >> int(_AT):
+        raise ValueError("a document of 256 MB or more")
     prefix = prefix_hash(data)
     at = np.arange(len(data) - GRAM + 1)
     least = (range_hash(prefix, at, at + GRAM) >> _AT << _AT) | at.astype(_U)
@@ -74,8 +80,11 @@ def runs(texts: Texts) -> tuple[np.ndarray, ...]:
     begins, count = begins[count > 0], count[count > 0]
     a, owner = anchor[begins], doc[begins]
     lead = a - begins
-    whole = mix(range_hash(prefix, begins, begins + count + LENGTH - 1) + lead.astype(_U))
-    return owner, begins - offsets[owner], count, lead, range_hash(prefix, a, a + GRAM), whole
+    ends = begins + count + LENGTH - 1
+    whole = mix(range_hash(prefix, begins, ends) + lead.astype(_U))
+    gram = range_hash(prefix, a, a + GRAM)
+    other = range_hash(prefix_hash(data, OTHER_BASE), begins, ends, OTHER_BASE)
+    return owner, begins - offsets[owner], count, lead, gram, whole, other
 
 
 def _buckets(names: np.ndarray, owner: np.ndarray, refs: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -100,8 +109,9 @@ def _entries(table: pa.Table, kinds: list[type]) -> tuple[np.ndarray, list[np.nd
     return np.concatenate(ref), [np.concatenate(c) for c in columns]
 
 
-_RUN_KINDS = [np.uint64, np.uint64, np.uint32, np.uint8, np.uint8, np.uint8]
-_REPEATS, _CUT, _SPREAD = 1, 2, 4
+_RUN_KINDS = [np.uint64, np.uint64, np.uint64, np.uint32, np.uint8, np.uint8, np.uint8]
+#: What is known of a run: it repeats as a whole; its suffixes are sorted in its gram's shard, or in the parts of that shard.
+_REPEATS, _CUT, _PARTED = 1, 2, 4
 
 
 def _gathered(docs: DataFrame, text: str, buckets: int) -> DataFrame:
@@ -113,16 +123,16 @@ def _gathered(docs: DataFrame, text: str, buckets: int) -> DataFrame:
         size = have = 0
 
         def flush() -> pa.RecordBatch:
-            owner, start, count, lead, gram, whole = (np.concatenate(c) for c in zip(*waiting, strict=True))
+            owner, start, count, lead, gram, whole, other = (np.concatenate(c) for c in zip(*waiting, strict=True))
             all_refs = np.concatenate(refs)
-            order = np.lexsort((whole, gram))
-            same = (gram[order][1:] == gram[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+            order = np.lexsort((other, whole, gram))
+            same = (gram[order][1:] == gram[order][:-1]) & (whole[order][1:] == whole[order][:-1]) & (other[order][1:] == other[order][:-1])
             first = np.concatenate([[True], ~same])
             known = np.zeros(len(order), np.uint8)
             group = np.cumsum(first) - 1
             known[order] = np.where(np.bincount(group)[group] > 1, np.where(first, 1, 2), 0)
             by = np.where(known == 2, (mix(all_refs[owner].view(_U)) % _U(buckets)).astype(np.int64), (mix(gram) % _U(buckets)).astype(np.int64))
-            return _buckets(by, owner, all_refs, [gram, whole, start.astype(np.uint32), (count - 1).astype(np.uint8), lead.astype(np.uint8), known])
+            return _buckets(by, owner, all_refs, [gram, whole, other, start.astype(np.uint32), (count - 1).astype(np.uint8), lead.astype(np.uint8), known])
 
         for part, texts in slices(batches, text):
             owner, *rest = runs(texts)
@@ -136,26 +146,26 @@ def _gathered(docs: DataFrame, text: str, buckets: int) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket int, k long, refs binary, owner binary, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, c5 binary")
+    return docs.mapInArrow(run, "bucket int, k long, refs binary, owner binary, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, c5 binary, c6 binary")
 
 
 def _judged(gathered: DataFrame) -> DataFrame:
     """Rows (ref, start, count, lead, gram, kind) of the runs that repeat as a whole or share their gram with a different run."""
 
     def judge(table: pa.Table) -> pa.Table:
-        ref, (gram, whole, start, count, lead, known) = _entries(table, _RUN_KINDS)
+        ref, (gram, whole, other, start, count, lead, known) = _entries(table, _RUN_KINDS)
         passed = known == 2
         done = np.flatnonzero(passed)
         live = np.flatnonzero(~passed)
-        order = live[np.lexsort((ref[live], whole[live], gram[live]))]
-        g, w = gram[order], whole[order]
+        order = live[np.lexsort((ref[live], other[live], whole[live], gram[live]))]
+        g, w, o = gram[order], whole[order], other[order]
         new_gram = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
-        new_run = new_gram | np.concatenate([[True], w[1:] != w[:-1]]) if len(g) else new_gram
+        new_run = new_gram | np.concatenate([[True], (w[1:] != w[:-1]) | (o[1:] != o[:-1])]) if len(g) else new_gram
         of_run, of_gram = np.cumsum(new_run) - 1, np.cumsum(new_gram) - 1
         often = np.bincount(of_run, 1 + known[order])[of_run] > 1 if len(g) else new_gram
         different = np.bincount(of_gram, new_run)[of_gram] if len(g) else np.zeros(0)
         # one run of each kind is cut out; the others of its kind are whole repeats already
-        kind = np.where(often, _REPEATS, 0) | np.where(new_run & (different > 1), np.where(different > HOT_RUNS, _SPREAD, _CUT), 0)
+        kind = np.where(often, _REPEATS, 0) | np.where(new_run & (different > 1), np.where(different > PARTED_RUNS, _PARTED, _CUT), 0)
         keep = kind > 0
         take = np.concatenate([order[keep], done])
         kinds = np.concatenate([kind[keep], np.full(len(done), _REPEATS)]).astype(np.int32)
@@ -193,7 +203,7 @@ def _only(docs: DataFrame, bits, wanted: bool) -> DataFrame:
 _WIDTH = -(-(SPAN - 1 + LENGTH + 8) // PERIOD) * PERIOD
 
 
-def sort_blocks(rows: np.ndarray, low: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def sort_blocks(rows: np.ndarray, low: np.ndarray, count: np.ndarray, blocks: int = SPAN) -> Iterator[tuple[int, np.ndarray]]:
     """(column, rows whose LENGTH bytes from there occur in another row) for each block of the laid-out runs; row i's starts are columns
     low[i] to low[i] + count[i] - 1."""
     width = rows.shape[1]
@@ -206,7 +216,7 @@ def sort_blocks(rows: np.ndarray, low: np.ndarray, count: np.ndarray) -> Iterato
             key |= rows[:, j].astype(np.int64) << (32 + 8 * (after - 1 - j))
         after, after_rank = c, np.unique(key, return_inverse=True)[1]
         rank[c] = after_rank.astype(np.int32)
-    for s in range(SPAN):
+    for s in range(blocks):
         block = np.flatnonzero((low <= s) & (s < low + count))
         if len(block) < 2:
             continue
@@ -261,8 +271,8 @@ def _fine(docs: DataFrame, text: str, judged: DataFrame, bits, buckets: int) ->
                     rows.append([refs[owner[of[p]]].tobytes(), z.compress(start[of[p]].astype(np.uint32).tobytes()), (count[of[p]] - 1).astype(np.uint8).tobytes(), lead[of[p]].astype(np.uint8).tobytes(), z.compress(body)])
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), *[pa.array(c, pa.binary()) for c in cols]], names=["bucket", "refs", "c0", "c1", "c2", "c3"])
-            # starts spread by their whole strings; of equal ones in a slice one is sent and the others are known
-            of = np.flatnonzero(kind & _SPREAD)
+            # starts of parted shards, with their bytes; of equal ones in a slice one is sent for two, and the others are known
+            of = np.flatnonzero(kind & _PARTED)
             if len(of):
                 n = count[of].astype(np.int64)
                 total = np.cumsum(n)
@@ -271,15 +281,22 @@ def _fine(docs: DataFrame, text: str, judged: DataFrame, bits, buckets: int) ->
                 who = np.repeat(owner[of], n)
                 h = range_hash(prefix_hash(texts.data), at, at + LENGTH)
                 order = np.argsort(h, kind="stable")
-                new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-                many = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
-                known = np.where(many, np.where(new, 1, 2), 0).astype(np.uint8)
-                h, begin, who = h[order], begin[order], who[order]
+                h, at, begin, who = h[order], at[order], begin[order], who[order]
+                strings = np.lib.stride_tricks.sliding_window_view(texts.data, LENGTH)
+                same = np.concatenate([[False], h[1:] == h[:-1]])
+                for i in range(0, len(at), 4096):  # a few strings at a time
+                    k = np.arange(max(1, i), min(len(at), i + 4096))
+                    same[k] &= (strings[at[k]] == strings[at[k - 1]]).all(1)
+                group = np.cumsum(~same) - 1
+                known = np.where(np.bincount(group)[group] > 1, np.where(same, 2, 1), 0).astype(np.uint8)
                 by = np.where(known == 2, (mix(refs[who].view(_U)) % _U(buckets)).astype(np.int64), (mix(h) % _U(buckets)).astype(np.int64))
                 o2 = np.argsort(by, kind="stable")
                 names, cuts = np.unique(by[o2], return_index=True)
-                z = zstandard.ZstdCompressor(level=1)
-                rows = [[z.compress(refs[who[p]].tobytes()), z.compress(begin[p].astype(np.uint32).tobytes()), z.compress(h[p].tobytes()), z.compress(known[p].tobytes())] for p in np.split(o2, cuts[1:])]
+                z, rows = zstandard.ZstdCompressor(level=1), []
+                for p in np.split(o2, cuts[1:]):
+                    live = np.sort(at[p[known[p] < 2]])
+                    p = np.concatenate([p[known[p] < 2][np.argsort(at[p[known[p] < 2]])], p[known[p] == 2]])
+                    rows.append([z.compress(refs[who[p]].tobytes()), z.compress(begin[p].astype(np.uint32).tobytes()), z.compress(known[p].tobytes()), z.compress(strings[live].tobytes())])
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array((-1 - names).astype(np.int32)), *[pa.array(c, pa.binary()) for c in cols], pa.nulls(len(rows), pa.binary())], names=["bucket", "refs", "c0", "c1", "c2", "c3"])
 
@@ -288,12 +305,13 @@ def _fine(docs: DataFrame, text: str, judged: DataFrame, bits, buckets: int) ->
     def match(table: pa.Table) -> pa.Table:
         cols = [table.column(c).to_pylist() for c in ("refs", "c0", "c1", "c2", "c3")]
         if table.column("bucket")[0].as_py() < 0:
-            ref, begin, h, known = (np.concatenate([np.frombuffer(zstandard.decompress(x), k) for x in c]) for c, k in zip(cols, (np.int64, np.uint32, np.uint64, np.uint8), strict=False))
-            live, done = np.flatnonzero(known < 2), np.flatnonzero(known == 2)
-            order = live[np.argsort(h[live], kind="stable")]
-            new = np.concatenate([[True], h[order][1:] != h[order][:-1]]) if len(order) else np.zeros(0, bool)
-            group = np.cumsum(new) - 1
-            good = np.concatenate([order[np.bincount(group, 1 + known[order])[group] > 1] if len(order) else order, done])
+            ref, begin, known, raw = (np.concatenate([np.frombuffer(zstandard.decompress(x), k) for x in c]) for c, k in zip(cols, (np.int64, np.uint32, np.uint8, np.uint8), strict=False))
+            live = np.flatnonzero(known < 2)
+            # one column of starts, that is, one block
+            rows = np.zeros((len(live), LENGTH + PERIOD + 8), np.uint8)
+            rows[:, :LENGTH] = raw.reshape(-1, LENGTH)
+            found = [x for _, x in sort_blocks(rows, np.zeros(len(live), np.int64), np.ones(len(live), np.int64), 1)]
+            good = np.concatenate([np.flatnonzero(known > 0), *(live[x] for x in found)])
             return _spans_of(ref[good], begin[good].astype(np.int64))
         ref = np.concatenate([np.frombuffer(x, np.int64) for x in cols[0]])
         start = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint32) for x in cols[1]]).astype(np.int64)
@@ -335,7 +353,10 @@ def spans(docs: DataFrame, text: str = "text", size_bytes: int | None = None) ->
     bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(judged.where(F.col("kind") > _REPEATS)))
     fine = _fine(docs, text, judged, bits, buckets)
     whole = judged.where(F.col("kind").bitwiseAND(_REPEATS) > 0).select("ref", F.col("start").alias("a"), (F.col("start") + F.col("count") + LENGTH - 1).alias("b"))
-    return store(whole.unionByName(fine))
+    found = store(whole.unionByName(fine))
+    discard(judged)
+    bits.unpersist()
+    return found
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
@@ -344,37 +365,50 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as_text:
     As text, kept is a string without the bytes of characters that a cut has parted.
     """
     names = ("n_bytes", "n_removed", "n_spans", "kept")
-    kept = docs.drop(*names, "ref", "removed_spans")
-    columns = kept.columns
-    docs = kept.withColumn("ref", F.xxhash64(doc_id, text))
-    found = spans(docs.select("ref", text), text)
+    columns = [c for c in docs.columns if c not in names]
+    # the columns travel as one, so that none of them is in the way
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("ref"))
+    found = spans(packed.select("ref", "text"))
     bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(found))
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, text):
-            lists = part.column("removed_spans").to_pylist() if "removed_spans" in part.schema.names else [None] * part.num_rows
-            rows = []
-            for i, own in enumerate(lists):
-                raw, cut, at, keep = texts.text(i), 0, 0, []
-                merged = _united(np.array([x["a"] for x in own]), np.array([x["b"] for x in own])) if own else []
-                for a, b in merged:
-                    keep.append(raw[at:a])
-                    cut, at = cut + b - a, b
-                keep.append(raw[at:])
-                whole = b"".join(keep)
-                rows.append((len(raw), cut, len(merged), whole.decode("utf-8", "ignore") if as_text else whole))
-            cols = list(zip(*rows, strict=True))
-            same = [part.column(n) for n in columns]
-            yield pa.RecordBatch.from_arrays([*same, *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()), strict=True)]], names=[*columns, *names])
-
-    lists = found.groupBy("ref").agg(F.collect_list(F.struct("a", "b")).alias("removed_spans"))
-    touched = _only(docs, bits, True).join(lists, "ref", "left").mapInArrow(run, schema)
-    return touched.unionByName(_only(docs, bits, False).mapInArrow(run, schema))
+    schema = f"row {packed.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, touched boolean, text string, ref long"
+
+    def cut(part: pa.RecordBatch, texts: Texts, lists: list) -> list[pa.Array]:
+        rows = []
+        for i, own in enumerate(lists):
+            raw, gone, at, keep = texts.text(i), 0, 0, []
+            merged = _united(np.array([x["a"] for x in own]), np.array([x["b"] for x in own])) if own else []
+            for a, b in merged:
+                keep.append(raw[at:a])
+                gone, at = gone + b - a, b
+            keep.append(raw[at:])
+            whole = b"".join(keep)
+            rows.append((len(raw), gone, len(merged), whole.decode("utf-8", "ignore") if as_text else whole))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
+        return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Settles the rows that surely lose nothing; the others go on."""
+        table = bits.value
+        for part, texts in slices(batches):
+            hit = pa.array(_hit(table, part.column("ref").to_numpy()))
+            none = pa.nulls(part.num_rows, pa.string() if as_text else pa.binary())
+            whole = part.column("text") if as_text else part.column("text").cast(pa.binary())
+            whole = pc.if_else(hit, none, pc.fill_null(whole, "" if as_text else b""))
+            size, zero = pa.array(np.diff(texts.offsets)), pa.array(np.zeros(part.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("row"), size, zero, zero, whole, hit, pc.if_else(hit, part.column("text"), pa.nulls(part.num_rows, pa.string())), part.column("ref")], names=["row", *names, "touched", "text", "ref"])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column("row"), *cut(part, texts, part.column("spans").to_pylist())], names=["row", *names])
+
+    settled = packed.mapInArrow(first, schema)
+    lists = found.groupBy("ref").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    touched = settled.where("touched").select("row", "text", "ref").join(lists, "ref", "left").select("row", "text", "spans")
+    touched = touched.mapInArrow(second, schema.partition(", touched")[0])
+    out = settled.where("NOT touched").select("row", *names).unionByName(touched)
+    return out.select(*[F.col("row")[c].alias(c) for c in columns], *names)
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
     return remove(docs.select(doc_id, text), doc_id, text).select(doc_id, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-

@@ -142,9 +142,9 @@ def test_matches_follow_the_cost():
     assert 1 <= jaccard_join.choose_matches(common, 100) <= jaccard_join.MOST_MATCHES
 
 
-@pytest.mark.parametrize("hot", [400, 1])
+@pytest.mark.parametrize("hot", [20_000, 1])
 def test_suffix_dedup(docs, empty, corpus, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
+    monkeypatch.setattr(suffix_dedup, "PARTED_RUNS", hot)
     size = suffix_dedup.LENGTH
     raw = {d: (t or "").encode() for d, t in corpus}
     count = Counter(b[i : i + size] for b in raw.values() for i in range(len(b) - size + 1))
@@ -161,7 +161,8 @@ def test_suffix_dedup(docs, empty, corpus, monkeypatch, hot):
     if hot > 1:
         assert suffix_dedup.digests(empty).count() == 0
         whole = suffix_dedup.remove(docs, as_text=True)
-        assert [c for c in whole.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")] == [c for c in docs.columns if c != "ref"]
+        assert whole.columns == [*docs.columns, "n_bytes", "n_removed", "n_spans", "kept"]
+        assert {(r.doc_id, r.n, r.ref) for r in whole.collect()} == {(d, 7, "mine") for d, _ in corpus}
 
 
 def test_the_cover_meets_every_difference():
@@ -449,7 +450,8 @@ def test_pipeline_stages_keep_columns_and_drop_what_they_reject(spark, tmp_path)
     good, other = _speech(5, ["an", "de", "ro"], 80), _speech(6, ["sti", "ner", "vau"], 80)
     rows = [(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate([(t, "xx") for t in good] + [(t, "yy") for t in other])]
     rows += [(160, good[0], "xx", "s", 5), (161, None, None, None, None), (162, "", "xx", "s", 0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = ["ref", "removed_spans", "score", "predicted", "lang_pred", "margin", "accepted", "held_out", "row", "spans", "n_removed", "kept", "t1", "part"]
+    df = spark.createDataFrame([(*r, *(f"{c}{r[0]}" for c in clash)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash))
     df.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1) for i in range(160)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = df
@@ -459,6 +461,9 @@ def test_pipeline_stages_keep_columns_and_drop_what_they_reject(spark, tmp_path)
         docs.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
     ids = {r.doc_id for r in docs.collect()}
+    assert all(r[c] == f"{c}{r.doc_id}" for r in docs.collect() for c in clash)
+    twice = spark.createDataFrame([(1, "one two"), (1, "six seven"), (1, "one two"), (None, "x y"), (None, "x y")], "doc_id long, text string")
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.near_copies(spark, twice, "").collect()) == [0, 0, 1]
     assert 160 not in ids and 161 not in ids and 0 in ids and len(ids) >= 150
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
