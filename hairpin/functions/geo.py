@@ -63,6 +63,13 @@ def cell(degrees: Column, size: float) -> Column:
     return F.floor(degrees / size).cast("long")
 
 
+def metric_cell(p: Column, origin: Column, metres: float) -> Column:
+    """(i, j) of the square of a grid that begins at ``origin``."""
+    north = haversine(origin, point(p.lat, origin.lon)) * F.signum(p.lat - origin.lat)
+    east = haversine(origin, point(origin.lat, p.lon)) * F.signum(p.lon - origin.lon)
+    return F.struct(F.floor(north / metres).cast("long").alias("i"), F.floor(east / metres).cast("long").alias("j"))
+
+
 def tile_key(lat_idx: Column, lon_idx: Column, size: float) -> Column:
     return F.format_string("tile_%.3f_%.3f", lat_idx * F.lit(size), lon_idx * F.lit(size))
 

@@ -93,8 +93,7 @@ def ordered(ends: DataFrame, key: str = "group_key") -> DataFrame:
     Python sees one small row for each way of a component with several; single ways never leave the JVM. Ends are matched on
     coordinates in units of 1e-7 degrees.
     """
-    size = F.count("*").over(Window.partitionBy(key, "component"))
-    sized = ends.withColumn("_n", size)
+    sized = ends.withColumn("_n", F.count("*").over(Window.partitionBy(key, "component")))
     unit = lambda p: F.when(F.col(p).isNotNull(), F.concat_ws(",", F.round(F.col(f"{p}.lat") * 1e7).cast("long"), F.round(F.col(f"{p}.lon") * 1e7).cast("long")))
     thin = sized.where("_n > 1").select(key, "component", "way_id", (F.coalesce(F.col("oneway"), F.lit("")) == "yes").alias("oneway"), unit("first").alias("a"), unit("last").alias("b"), "entry", "exit", "back_entry", "back_exit")
 
@@ -159,7 +158,10 @@ def without_wobbles(flat: DataFrame, key: str = "group_key") -> DataFrame:
 
 
 def split_straights(flat: DataFrame, key: str = "group_key", straight_m: float = STRAIGHT_M) -> DataFrame:
-    """``flat`` without the straight runs longer than ``straight_m``, with piece: the number of such runs before."""
+    """``flat`` without the straight runs longer than ``straight_m``, with piece: the number of such runs before.
+
+    A chunk of which nothing stays is one empty piece: a row without way_id and without length.
+    """
     parts = [key, "component", "chunk"]
     w = Window.partitionBy(*parts).orderBy("idx")
     straight = F.col("tier") == 0
@@ -168,11 +170,16 @@ def split_straights(flat: DataFrame, key: str = "group_key", straight_m: float =
     r = r.withColumn("_len", F.sum("length").over(Window.partitionBy(*parts, "_run")))
     long = straight & (F.col("_len") > straight_m)
     r = r.withColumn("_long", long).withColumn("piece", F.sum((F.col("_long") & (F.col("_begin") == 1)).cast("int")).over(w))
-    return r.where(~F.col("_long")).drop("_begin", "_run", "_len", "_long")
+    none = F.min("_long").over(Window.partitionBy(*parts)) & (F.col("idx") == 0)
+    r = r.withColumn("_none", none).where(~F.col("_long") | F.col("_none"))
+    gone = {c: F.when(~F.col("_none"), F.col(c)) for c in ("way_id", "highway", "maxspeed") if c in flat.columns}
+    zero = {c: F.when(F.col("_none"), 0.0).otherwise(F.col(c)) for c in ("length", "score")}
+    return r.withColumns({**gone, **zero, "piece": F.when(F.col("_none"), 0).otherwise(F.col("piece"))}).drop("_begin", "_run", "_len", "_long", "_none")
 
 
 def build_roads(pieces: DataFrame, key: str = "group_key") -> DataFrame:
-    """One row for each piece: totals, the ways and classes in the order in which they are first met, and speeds by way.
+    """One row for each piece: totals, the ways and classes in the order in which they are first met, and speeds by way. An empty
+    piece is a road without ways and length.
 
     sub_index counts the pieces of a group, ordered by component, chunk and piece.
     """
@@ -182,7 +189,7 @@ def build_roads(pieces: DataFrame, key: str = "group_key") -> DataFrame:
         F.array_sort(F.collect_list(F.struct("idx", "way_id", "seg_idx", "start", "end", "radius", "tier", "weight", "length", "score"))).alias("_s"),
     )
     row = F.struct("_i", "way_id", "highway", "maxspeed", F.col("_l").alias("l"), F.col("_s").alias("s"))
-    rows = by_way.groupBy(*parts).agg(F.array_sort(F.collect_list(row)).alias("w"))
+    rows = by_way.groupBy(*parts).agg(F.array_sort(F.collect_list(F.when(F.col("way_id").isNotNull(), row))).alias("w"))
     classes = F.array_distinct(F.filter(F.transform("w", lambda x: x.highway), lambda h: h.isNotNull() & (h != "")))
     total = lambda f: F.aggregate("segments", F.lit(0.0), lambda s, x: s + x[f])
     rows = rows.select(

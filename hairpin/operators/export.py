@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hairpin.functions import tags
@@ -74,8 +74,69 @@ def kml_folders(roads: DataFrame, by_tier: bool = True) -> DataFrame:
     return roads.select("group_key", "sub_index", folder.alias("folder"))
 
 
-def gpx_documents(routes: DataFrame, name: Column) -> DataFrame:
-    """(request_id, route_idx, document): each route as a GPX track."""
+#: Colours of the tiers' lines, and those that raw ways take in turn; fixed values of the format (AABBGGRR).
+PALETTE = ["ff0000ff", "ff00a5ff", "ff00ffff", "ff00ff00", "ffffff00", "ffff0000", "ffff00ff", "ff800080", "ff008080", "ff808000", "ff000080", "ff008000"]
+KML_HEAD = '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>'
+KML_FOOT = "</Document></kml>"
+
+
+def tier_styles() -> str:
+    """The styles that the placemarks of :func:`kml_folders` refer to."""
+    return "".join(f'<Style id="tier{i}"><LineStyle><color>{c}</color><width>4</width></LineStyle></Style>' for i, c in enumerate(tags.TIER_COLOURS))
+
+
+def kml_documents(folders: DataFrame, *keys: str) -> DataFrame:
+    """(keys, document): the folders (seq, folder) of each key as one KML document with the tiers' styles, in order of seq."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "folder"))), lambda x: x.folder), "")
+    return folders.groupBy(*keys).agg(F.concat(F.lit(KML_HEAD + tier_styles()), body, F.lit(KML_FOOT)).alias("document"))
+
+
+def raw_way_folders(ways: DataFrame) -> DataFrame:
+    """(way_id, seq, folder): each way with two nodes or more as a KML folder; colours go by the row number in its group (group_key)."""
+    rows = ways.where(F.size("geometry") >= 2)
+    seq = F.row_number().over(Window.partitionBy("group_key").orderBy("pos", "way_id")) - 1
+    colour = F.element_at(F.array(*[F.lit(c) for c in PALETTE]), F.col("seq") % len(PALETTE) + 1)
+    text = F.format_string("Way %d | Highway: %s | Nodes: %d", "way_id", F.coalesce("highway", F.lit("")), F.size("geometry"))
+    mark = F.concat(F.lit("<Placemark><Style><LineStyle><color>"), colour, F.lit("</color><width>4</width></LineStyle></Style><LineString><coordinates>"), coordinates(F.col("geometry")), F.lit("</coordinates></LineString></Placemark>"))
+    folder = F.concat(F.lit("<Folder><name>way "), F.col("way_id").cast("string"), F.lit("</name><description>"), escaped(text), F.lit("</description>"), mark, F.lit("</Folder>"))
+    return rows.withColumn("seq", seq).select("group_key", "way_id", "seq", folder.alias("folder"))
+
+
+def folder_entries(folders: DataFrame, prefix: str = "") -> DataFrame:
+    """(name, way_ids, first, last, south, west, north, east, n_points) read back from KML folder texts (folder) whose name has the prefix."""
+    found = lambda tag: F.regexp_extract("folder", f"<{tag}>(.*?)</{tag}>", 1)
+    lines = F.expr("regexp_extract_all(folder, '<coordinates>(.*?)</coordinates>', 1)")
+    triples = F.filter(F.flatten(F.transform(lines, lambda x: F.split(F.trim(x), r"\s+"))), lambda x: x != "")
+    number = lambda t, i: F.get(F.split(t, ","), F.lit(i)).cast("double")
+    points = F.transform(triples, lambda t: F.struct(number(t, 1).alias("lat"), number(t, 0).alias("lon")))
+    name = found("name")
+    for a, b in (("&#39;", "'"), ("&#34;", '"'), ("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&")):
+        name = F.replace(name, F.lit(a), F.lit(b))
+    ids = F.transform(F.filter(F.split(F.regexp_extract(found("description"), r"Ways: ([0-9, ]*)", 1), ", "), lambda x: x != ""), lambda x: x.cast("long"))
+    rows = folders.select(name.alias("name"), ids.alias("way_ids"), points.alias("p")).where(F.startswith("name", F.lit(prefix)))
+    bound = lambda f, c: f(F.transform("p", lambda x: x[c]))
+    return rows.select(
+        "name", "way_ids", F.get("p", F.lit(0)).alias("first"), F.try_element_at("p", F.lit(-1)).alias("last"), bound(F.array_min, "lat").alias("south"), bound(F.array_min, "lon").alias("west"),
+        bound(F.array_max, "lat").alias("north"), bound(F.array_max, "lon").alias("east"), F.size("p").cast("long").alias("n_points"),
+    )
+
+
+def gpx_documents(routes: DataFrame, name: Column, description: Column | None = None, creator: str = "hairpin") -> DataFrame:
+    """(request_id, route_idx, document): each route as a GPX track, after its waypoints (an array of name, description, lat, lon) if it has a column
+    waypoints. Names and descriptions that are null or empty are left out."""
+    tag = lambda t, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"<{t}>"), escaped(c), F.lit(f"</{t}>"))).otherwise("")
     track = F.array_join(F.transform("points", lambda p: F.format_string('<trkpt lat="%.6f" lon="%.6f"></trkpt>', p.lat, p.lon)), "")
-    text = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>'), escaped(name), F.lit("</name><trkseg>"), track, F.lit("</trkseg></trk></gpx>"))
+    stops = F.lit("")
+    if "waypoints" in routes.columns:
+        one = lambda w: F.concat(F.format_string('<wpt lat="%.6f" lon="%.6f">', w.lat, w.lon), tag("name", w["name"]), tag("desc", w.description), F.lit("</wpt>"))
+        stops = F.array_join(F.transform(F.coalesce("waypoints", F.array().cast(routes.schema["waypoints"].dataType)), one), "")
+    head = F.lit(f'<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="{creator}" xmlns="http://www.topografix.com/GPX/1/1">')
+    text = F.concat(head, stops, F.lit("<trk>"), tag("name", name), tag("desc", description if description is not None else F.lit(None).cast("string")), F.lit("<trkseg>"), track, F.lit("</trkseg></trk></gpx>"))
     return routes.select("request_id", "route_idx", text.alias("document"))
+
+
+def route_kml(routes: DataFrame, name: Column) -> DataFrame:
+    """(request_id, route_idx, document): each route as a KML document with one line."""
+    style = "<Style><LineStyle><color>ff0000ff</color><width>4</width></LineStyle></Style>"
+    mark = F.concat(F.lit("<Placemark><name>"), escaped(name), F.lit(f"</name>{style}<LineString><coordinates>"), coordinates(F.col("points")), F.lit("</coordinates></LineString></Placemark>"))
+    return routes.select("request_id", "route_idx", F.concat(F.lit(KML_HEAD), mark, F.lit(KML_FOOT)).alias("document"))

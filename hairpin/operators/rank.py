@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hairpin.functions import tags
+from hairpin.functions import geo, tags
 
 
 def tier_histogram(rows: DataFrame, *keys: str) -> DataFrame:
@@ -59,12 +59,44 @@ def find_roads(roads: DataFrame, name: str | None = None, way_id: int | None = N
     return out if way_id is None else out.where(F.array_contains("way_ids", F.lit(way_id).cast("long")))
 
 
-def pass_summary(roads: DataFrame, min_score: float, min_length: float = tags.MIN_LENGTH_M) -> DataFrame:
+def pass_summary(roads: DataFrame, min_score: float, min_length: float = tags.MIN_LENGTH_M, min_mph: float = 0.0) -> DataFrame:
+    """Whether each road would be published, and a line that says so."""
     good = (F.col("penalized_score") >= min_score) & (F.col("total_length") >= min_length)
+    if min_mph > 0:
+        good = good & (tags.passing_fraction(F.col("way_speeds"), F.col("total_length"), min_mph) >= 0.5)
     line = F.format_string("%s: score %.0f, length %.0f m, %s", F.col("group_key"), F.col("penalized_score"), F.col("total_length"), F.when(good, "passes").otherwise("fails"))
     return roads.select("group_key", "sub_index", good.alias("passes"), line.alias("summary"))
 
 
+def of_tiles(rows: DataFrame, tiles: DataFrame) -> DataFrame:
+    """The rows whose tile (lat_idx, lon_idx) is one of ``tiles``."""
+    return rows.join(tiles.select("lat_idx", "lon_idx").distinct(), ["lat_idx", "lon_idx"], "left_semi")
+
+
+def spacing(roads: DataFrame, apart_m: float, cell: float = 0.01) -> DataFrame:
+    """(a, b, away_m), a < b, of the entries (id, first, last) with ends within ``apart_m``, by their least distance: an equi-join on cells
+    at least that wide, so distant pairs never meet."""
+    size = F.greatest(F.lit(cell), F.lit(apart_m / 111000.0))
+    band = lambda p: F.floor(p.lat / size).cast("long")
+    column = lambda lon, b: F.floor(lon * F.cos(F.radians(F.least((F.abs(b) + 2) * size, F.lit(89.0)))) / size).cast("long")
+    ends = roads.select("id", F.explode(F.array("first", "last")).alias("p")).where("p IS NOT NULL").withColumn("i", band(F.col("p")))
+    left = ends.select(F.col("id").alias("a"), F.col("p").alias("pa"), "i", column(F.col("p.lon"), F.col("i")).alias("j"))
+    probe = ends.select(F.col("id").alias("b"), F.col("p").alias("pb"), F.explode(F.sequence(F.col("i") - 1, F.col("i") + 1)).alias("i"))
+    centre = column(F.col("pb.lon"), F.col("i"))
+    right = probe.select("b", "pb", "i", F.explode(F.sequence(centre - 1, centre + 1)).alias("j"))
+    met = left.join(right, ["i", "j"]).where("a < b").withColumn("away_m", geo.haversine(F.col("pa"), F.col("pb")))
+    return met.where(F.col("away_m") <= apart_m).groupBy("a", "b").agg(F.min("away_m").alias("away_m"))
+
+
+def tile_rings(status: DataFrame, size: float) -> DataFrame:
+    """(lat_idx, lon_idx, feature): each tile as a closed ring with its label and whether it is loaded."""
+    s, w = F.col("lat_idx") * size, F.col("lon_idx") * size
+    ring = F.array(*[F.array(x, y) for x, y in ((w, s), (w + size, s), (w + size, s + size), (w, s + size), (w, s))])
+    properties = F.struct(F.format_string("%.3f,%.3f", s, w).alias("label"), (F.col("status") == "present").alias("loaded"))
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    return status.select("lat_idx", "lon_idx", F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), properties.alias("properties"))).alias("feature"))
+
+
 def locate_ways(wanted: DataFrame, ways: DataFrame) -> DataFrame:
     """Each wanted way_id with the first tile that has it, or found false."""
     first = ways.groupBy("way_id").agg(F.min("tile_key").alias("tile_key"))
@@ -72,10 +104,12 @@ def locate_ways(wanted: DataFrame, ways: DataFrame) -> DataFrame:
 
 
 def exported_ways(roads: DataFrame, exported: DataFrame) -> DataFrame:
-    """Per road how many of its ways an export has and lacks."""
+    """Per road which of its ways an export has and lacks, and how many."""
     rows = roads.select("group_key", "sub_index", F.explode("way_ids").alias("way_id")).join(exported.select("way_id", F.lit(True).alias("_in")).distinct(), "way_id", "left")
     has = F.coalesce("_in", F.lit(False))
-    return rows.groupBy("group_key", "sub_index").agg(F.count_if(has).alias("present"), F.count_if(~has).alias("missing"))
+    ids = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("way_id"))))
+    out = rows.groupBy("group_key", "sub_index").agg(ids(has).alias("present_ids"), ids(~has).alias("missing_ids"))
+    return out.select("*", F.size("present_ids").cast("long").alias("present"), F.size("missing_ids").cast("long").alias("missing"))
 
 
 def tile_status(wanted: DataFrame, loaded: DataFrame, failed: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ points in order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hairpin.functions import tags
@@ -47,17 +47,22 @@ def group_keys(with_refs: bool = True):
 
 
 def grouped(ways: DataFrame, with_refs: bool = True) -> DataFrame:
-    """Each way once for each of its keys, as group_key; several rows of a way give one."""
-    return ways.withColumn("group_key", F.explode(group_keys(with_refs))).dropDuplicates(["group_key", "way_id"])
+    """Each way once for each of its keys, as group_key; of several rows of a way that of the lowest tile_key, where there is such a column."""
+    rows = ways.withColumn("group_key", F.explode(group_keys(with_refs)))
+    if "tile_key" not in ways.columns:
+        return rows.dropDuplicates(["group_key", "way_id"])
+    others = F.struct(*[c for c in rows.columns if c not in ("group_key", "way_id")])
+    return rows.groupBy("group_key", "way_id").agg(F.min_by(others, "tile_key").alias("_w")).select("group_key", "way_id", "_w.*")
 
 
 def in_box(ways: DataFrame, south: float, west: float, north: float, east: float) -> DataFrame:
     return ways.where(F.exists("geometry", lambda p: p.lat.between(south, north) & p.lon.between(west, east)))
 
 
-def find(ways: DataFrame, ref_part: str | None = None, name_part: str | None = None, exact: str | None = None) -> DataFrame:
-    """Ways whose ref or name contains a text, or whose name or ref is one; case matters."""
-    out = ways
+def find(ways: DataFrame, ref_part: str | None = None, name_part: str | None = None, exact: str | None = None, match: Column | None = None) -> DataFrame:
+    """Ways whose ref or name contains a text, whose name or ref is one, or for which a condition of the caller's holds; case
+    matters. All columns stay, so also the tile that a way was found in."""
+    out = ways if match is None else ways.where(match)
     if ref_part is not None:
         out = out.where(F.col("ref").contains(ref_part))
     if name_part is not None:

@@ -42,6 +42,37 @@ LEVEL = "CASE WHEN s < 0 THEN 0 ELSE CAST(round(510 * (1 - pow(10.0, -0.75 * lea
 KML = "CASE WHEN level <= 0 THEN 'F000E010' WHEN level <= 256 THEN 'FF00' || printf('%02X', 256 - level) || 'FF' ELSE 'FF' || printf('%02X', CAST(floor((level - 257) * 255 / 254.0) AS BIGINT)) || '00FF' END"
 S, W, N, E = BOX[0], BOX[1], BOX[2], BOX[3]
 
+def _wobbles(x: str, base: str) -> dict[str, tuple[str, list[str]]]:
+    """Parts named after ``x`` that zero the wobbles of ``base``, by a walk from one firing window to the next that begins beyond it."""
+    by = "group_key, component, chunk"
+    same = lambda a, b: f"{a}.group_key = {b}.group_key AND {a}.component = {b}.component AND {a}.chunk = {b}.chunk"
+    return {
+        f"{x}head": (f"SELECT *, {brg('lat', 'lon', 'lat1', 'lon1')} AS hd, coalesce(sum(length) OVER (PARTITION BY {by} ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS gone FROM {base}", [base]),
+        f"{x}turn": (f"SELECT *, sum(t) OVER (PARTITION BY {by} ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS turned, max(idx) OVER (PARTITION BY {by} ORDER BY gone RANGE BETWEEN CURRENT ROW AND CAST(2399.9999999999995 AS DOUBLE) FOLLOWING) AS e FROM (SELECT *, coalesce({adiff(f'lag(hd) OVER (PARTITION BY {by} ORDER BY idx)', 'hd')}, 0.0) AS t FROM {x}head)", [f"{x}head"]),
+        f"{x}fire": (f"SELECT a.group_key, a.component, a.chunk, a.idx, a.e FROM {x}turn a JOIN {x}turn b ON {same('a', 'b')} AND b.idx = a.e WHERE a.score <> 0 AND b.turned - a.turned < 20", [f"{x}turn"]),
+        f"{x}next": (f"SELECT a.group_key, a.component, a.chunk, a.idx, a.e, min(b.idx) AS nx FROM {x}fire a LEFT JOIN {x}fire b ON {same('a', 'b')} AND b.idx > a.e GROUP BY a.group_key, a.component, a.chunk, a.idx, a.e", [f"{x}fire"]),
+        f"{x}walk": (
+            f"SELECT n.group_key, n.component, n.chunk, n.idx, n.e, n.nx FROM {x}next n JOIN (SELECT {by}, min(idx) AS idx FROM {x}next GROUP BY {by}) m ON {same('n', 'm')} AND n.idx = m.idx UNION ALL SELECT n.group_key, n.component, n.chunk, n.idx, n.e, n.nx FROM {x}walk w JOIN {x}next n ON {same('n', 'w')} AND n.idx = w.nx",
+            [f"{x}next"],
+        ),
+        f"{x}zero": (f"SELECT {by}, unnest(range(idx, e + 1)) AS idx FROM {x}walk", [f"{x}walk"]),
+        f"{x}quiet": (
+            f"SELECT b.* REPLACE (CASE WHEN z.idx IS NULL THEN b.score ELSE 0.0 END AS score, CASE WHEN z.idx IS NULL THEN b.tier ELSE 0 END AS tier), b.score AS was FROM {base} b LEFT JOIN {x}zero z ON {same('b', 'z')} AND z.idx = b.idx",
+            [base, f"{x}zero"],
+        ),
+    }
+
+
+def _split(base: str) -> str:
+    """The segments of ``base`` with long (in a straight run that is cut out), none (stands for a chunk of which nothing stays) and piece."""
+    by = "group_key, component, chunk"
+    return f"""SELECT *, CASE WHEN none THEN 0 ELSE CAST(sum(CASE WHEN long AND first THEN 1 ELSE 0 END) OVER (PARTITION BY {by} ORDER BY idx) AS BIGINT) END AS piece FROM (
+      SELECT *, bool_and(long) OVER (PARTITION BY {by}) AND idx = 0 AS none FROM (
+        SELECT *, tier = 0 AND sum(length) OVER (PARTITION BY {by}, run) > 2414 AS long FROM (
+          SELECT *, sum(CASE WHEN first THEN 1 ELSE 0 END) OVER (PARTITION BY {by} ORDER BY idx) AS run FROM (
+            SELECT *, coalesce(lag(tier = 0) OVER (PARTITION BY {by} ORDER BY idx) <> (tier = 0), true) AS first FROM {base}))))"""
+
+
 #: name -> (text, the parts that it needs)
 PARTS: dict[str, tuple[str, list[str]]] = {
     "nodes": (adapter.NODES_SQL.format(lineitem="lineitem", orders="orders"), []),
@@ -63,14 +94,66 @@ PARTS: dict[str, tuple[str, list[str]]] = {
         f"SELECT group_key, count(*) AS n_ways, coalesce(sum(s), 0) AS s, coalesce(sum(l), 0) AS l, min({FACTOR}) AS f, sum(CASE WHEN mph IS NOT NULL THEN l ELSE 0 END) AS tagged, sum(CASE WHEN mph >= 50 THEN l ELSE 0 END) AS passing, sum(mph * l) AS vl FROM (SELECT key.group_key, kept.*, total.s, coalesce(total.l, 0) AS l, {MPH} AS mph FROM key JOIN kept ON key.way_id = kept.way_id LEFT JOIN total ON total.way_id = kept.way_id) GROUP BY group_key",
         ["key", "kept", "total"],
     ),
-    "ends": (
-        "SELECT name AS group_key, seg.way_id, arg_min(lat, seg_idx) AS lat, arg_min(lon, seg_idx) AS lon, arg_max(lat1, seg_idx) AS lat1, arg_max(lon1, seg_idx) AS lon1 FROM seg JOIN kept ON seg.way_id = kept.way_id WHERE name IS NOT NULL GROUP BY name, seg.way_id",
-        ["seg", "kept"],
+    "wend": ("SELECT way_id, arg_min(lat7, node_idx) AS a7, arg_min(lon7, node_idx) AS ao7, arg_max(lat7, node_idx) AS b7, arg_max(lon7, node_idx) AS bo7 FROM nodes GROUP BY way_id HAVING count(*) >= 2", ["nodes"]),
+    "wdir": (
+        f"SELECT way_id, arg_min(f, node_idx) AS entry, arg_max(f, node_idx) AS leave, arg_max(g, node_idx) AS back_entry, arg_min(g, node_idx) AS back_leave FROM (SELECT way_id, node_idx, {brg('lat', 'lon', 'lat1', 'lon1')} AS f, {brg('lat1', 'lon1', 'lat', 'lon')} AS g FROM step WHERE lat1 IS NOT NULL) GROUP BY way_id",
+        ["step"],
     ),
-    "pt": ("SELECT group_key, way_id, lat, lon FROM ends UNION ALL SELECT group_key, way_id, lat1, lon1 FROM ends", ["ends"]),
+    "ge": ("SELECT key.group_key, kept.way_id, coalesce(oneway, '') = 'yes' AS ow, a7, ao7, b7, bo7, entry, leave, back_entry, back_leave FROM key JOIN kept ON key.way_id = kept.way_id LEFT JOIN wend ON wend.way_id = kept.way_id LEFT JOIN wdir ON wdir.way_id = kept.way_id", ["key", "kept", "wend", "wdir"]),
+    "pt": ("SELECT group_key, way_id, a7 / 1e7 AS lat, ao7 / 1e7 AS lon FROM ge WHERE a7 IS NOT NULL UNION ALL SELECT group_key, way_id, b7 / 1e7, bo7 / 1e7 FROM ge WHERE b7 IS NOT NULL", ["ge"]),
     "link": (f"SELECT DISTINCT p.group_key, p.way_id AS a, q.way_id AS b FROM pt p JOIN pt q ON p.group_key = q.group_key AND p.way_id < q.way_id AND abs(p.lat - q.lat) < 0.002 WHERE {hav('p.lat', 'p.lon', 'q.lat', 'q.lon')} <= 100", ["pt"]),
     "reach": ("SELECT group_key, a AS v, a AS u FROM link UNION SELECT group_key, b, b FROM link UNION SELECT r.group_key, r.v, CASE WHEN l.a = r.u THEN l.b ELSE l.a END FROM reach r JOIN link l ON l.group_key = r.group_key AND (l.a = r.u OR l.b = r.u)", ["link"]),
-    "comp": ("SELECT name AS group_key, kept.way_id, coalesce(c, kept.way_id) AS component FROM kept LEFT JOIN (SELECT group_key, v, min(u) AS c FROM reach GROUP BY group_key, v) x ON x.group_key = name AND x.v = kept.way_id WHERE name IS NOT NULL", ["kept", "reach"]),
+    "comp": ("SELECT ge.group_key, ge.way_id, coalesce(c, ge.way_id) AS component FROM ge LEFT JOIN (SELECT group_key, v, min(u) AS c FROM reach GROUP BY group_key, v) x ON x.group_key = ge.group_key AND x.v = ge.way_id", ["ge", "reach"]),
+    "gc": ("SELECT ge.*, component FROM ge JOIN comp USING (group_key, way_id)", ["ge", "comp"]),
+    "touch": ("SELECT group_key, component, way_id, ow, a7 AS p, ao7 AS q, false AS back, entry AS enter FROM gc WHERE a7 IS NOT NULL UNION ALL SELECT group_key, component, way_id, ow, b7, bo7, true, back_entry FROM gc WHERE b7 IS NOT NULL", ["gc"]),
+    "lone": ("SELECT group_key, component, arg_min(way_id, r) AS way_id, arg_min(back, r) AS back FROM (SELECT group_key, component, row(p, q) AS r, count(*) AS c, min(way_id) AS way_id, bool_or(back) AS back, bool_or(ow) AS ow FROM touch GROUP BY group_key, component, p, q) WHERE c = 1 AND NOT (back AND ow) GROUP BY group_key, component", ["touch"]),
+    "begin_at": ("SELECT g.group_key, g.component, coalesce(lone.way_id, g.way_id) AS way_id, n > 1 AND coalesce(back, false) AS flip FROM (SELECT group_key, component, min(way_id) AS way_id, count(*) AS n FROM gc GROUP BY group_key, component) g LEFT JOIN lone ON lone.group_key = g.group_key AND lone.component = g.component", ["gc", "lone"]),
+    "chain": (
+        f"""SELECT group_key, component, way_id, flip, CAST(0 AS BIGINT) AS pos, [way_id] AS seen FROM begin_at
+        UNION ALL SELECT group_key, component, way_id, flip, pos, seen FROM (
+          SELECT c.group_key, c.component, t.way_id, t.back AS flip, c.pos + 1 AS pos, list_append(c.seen, t.way_id) AS seen,
+            row_number() OVER (PARTITION BY c.group_key, c.component ORDER BY {adiff('CASE WHEN c.flip THEN g.back_leave ELSE g.leave END', 't.enter')}, t.way_id, t.back) AS r
+          FROM chain c JOIN gc g ON g.group_key = c.group_key AND g.way_id = c.way_id
+          JOIN touch t ON t.group_key = c.group_key AND t.component = c.component AND t.p = CASE WHEN c.flip THEN g.a7 ELSE g.b7 END AND t.q = CASE WHEN c.flip THEN g.ao7 ELSE g.bo7 END
+          WHERE NOT list_contains(c.seen, t.way_id) AND NOT (t.back AND t.ow)) WHERE r = 1""",
+        ["begin_at", "gc", "touch"],
+    ),
+    "placed": (
+        """SELECT group_key, component, way_id, flip, pos FROM chain UNION ALL
+        SELECT g.group_key, g.component, g.way_id, false, m.n + row_number() OVER (PARTITION BY g.group_key, g.component ORDER BY g.way_id) - 1
+        FROM gc g JOIN (SELECT group_key, component, count(*) AS n FROM chain GROUP BY group_key, component) m ON m.group_key = g.group_key AND m.component = g.component
+        WHERE NOT EXISTS (SELECT 1 FROM chain c WHERE c.group_key = g.group_key AND c.way_id = g.way_id)""",
+        ["gc", "chain"],
+    ),
+    "chunked": (
+        f"""SELECT *, CAST(sum(CASE WHEN gap > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY group_key, component ORDER BY pos) AS BIGINT) AS chunk FROM (
+          SELECT *, {hav('lag(elat) OVER w', 'lag(elon) OVER w', 'blat', 'blon')} AS gap FROM (
+            SELECT p.*, CASE WHEN flip THEN b7 ELSE a7 END / 1e7 AS blat, CASE WHEN flip THEN bo7 ELSE ao7 END / 1e7 AS blon, CASE WHEN flip THEN a7 ELSE b7 END / 1e7 AS elat, CASE WHEN flip THEN ao7 ELSE bo7 END / 1e7 AS elon
+            FROM placed p JOIN gc g ON g.group_key = p.group_key AND g.way_id = p.way_id) WINDOW w AS (PARTITION BY group_key, component ORDER BY pos))""",
+        ["placed", "gc"],
+    ),
+    "rflat": (
+        f"""SELECT group_key, component, chunk, pos, c.way_id, highway, {MPH} AS mph, seg_idx, CASE WHEN flip THEN lat1 ELSE lat END AS lat, CASE WHEN flip THEN lon1 ELSE lon END AS lon, CASE WHEN flip THEN lat ELSE lat1 END AS lat1, CASE WHEN flip THEN lon ELSE lon1 END AS lon1,
+          tier, weight, length, score, maxspeed, row_number() OVER (PARTITION BY group_key, component, chunk ORDER BY pos, CASE WHEN flip THEN -seg_idx ELSE seg_idx END) - 1 AS idx
+        FROM chunked c JOIN seg ON seg.way_id = c.way_id JOIN kept ON kept.way_id = c.way_id""",
+        ["chunked", "seg", "kept"],
+    ),
+    "fflat": ("SELECT *, road AS group_key, 0 AS component, 0 AS chunk FROM flat", ["flat"]),
+    **_wobbles("r", "rflat"),
+    **_wobbles("f", "fflat"),
+    "rsplit": (_split("rquiet"), ["rquiet"]),
+    "fsplit": (_split("fflat"), ["fflat"]),
+    "rpiece": ("SELECT * FROM rsplit WHERE NOT long OR none", ["rsplit"]),
+    "road": (
+        f"""SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY component, chunk, piece) - 1 AS sub_index, s * f AS ps, CASE WHEN l > 0 THEN s / (l / 1000) ELSE 0 END AS pk FROM (
+          SELECT group_key, component, chunk, piece, count(DISTINCT way_id) FILTER (WHERE NOT none) AS n_ways, count(*) FILTER (WHERE NOT none) AS n_segments, sum(CASE WHEN none THEN 0 ELSE score END) AS s, sum(CASE WHEN none THEN 0 ELSE length END) AS l,
+            coalesce(min({FACTOR}) FILTER (WHERE NOT none), 1.0) AS f, sum(CASE WHEN mph IS NOT NULL AND NOT none THEN length ELSE 0 END) AS tagged, sum(CASE WHEN mph >= 30 AND NOT none THEN length ELSE 0 END) AS passing, sum(CASE WHEN NOT none THEN mph * length END) AS vl
+          FROM rpiece GROUP BY group_key, component, chunk, piece)""",
+        ["rpiece"],
+    ),
+    "label": ("SELECT *, CASE WHEN sub_index > 0 THEN group_key || ' (' || CAST(sub_index + 1 AS VARCHAR) || ')' ELSE group_key END AS name FROM road", ["road"]),
+    "good": ("SELECT * FROM label WHERE ps >= 100 AND l >= 1609 AND CASE WHEN l <= 0 THEN 0 WHEN tagged <= 0 THEN 1 ELSE passing / tagged END >= 0.5", ["label"]),
+    "rseg": ("SELECT r.sub_index, r.name, p.* FROM rpiece p JOIN label r ON r.group_key = p.group_key AND r.component = p.component AND r.chunk = p.chunk AND r.piece = p.piece WHERE NOT p.none", ["rpiece", "label"]),
     "flat": ("SELECT *, row_number() OVER (PARTITION BY road ORDER BY way_id, seg_idx) - 1 AS idx FROM seg", ["seg"]),
     "route": (adapter.ROUTES_SQL.format(nodes="nodes"), ["nodes"]),
     "rp": ("SELECT request_id, CAST(route_idx AS BIGINT) AS route_idx, pt_idx, lat7 / 1e7 AS lat, lon7 / 1e7 AS lon FROM route", ["route"]),
@@ -124,7 +207,7 @@ TEXTS: dict[str, tuple[str, list[str]]] = {
     "group_ways": ("SELECT group_key, way_id FROM key", ["key"]),
     "name_groups": ("SELECT name AS group_key, count(*) AS n_ways FROM tag WHERE name IS NOT NULL GROUP BY name", ["tag"]),
     "distinct_ways": ("SELECT way_id, name, CASE WHEN way_id % 3 = 0 THEN 'a' ELSE 'b' END AS tile_key FROM tag", ["tag"]),
-    "merge_regions": ("SELECT id, CASE WHEN id % 3 <> 0 THEN lat7 ELSE lat7 + 1 END AS lat7, lon7 FROM (SELECT way_id * 1000 + node_idx AS id, lat7, lon7 FROM nodes) WHERE id % 3 <> 0 OR id % 2 = 0", ["nodes"]),
+    "merge_regions": ("SELECT way_id * 1000 + node_idx AS id, CASE WHEN lat7 < 400000000 THEN lat7 ELSE lat7 + 1 END AS lat7, lon7 FROM nodes", ["nodes"]),
     "find_ways": ("SELECT way_id, name, ref FROM tag WHERE contains(ref, 'R1') AND contains(name, 'Road 1')", ["tag"]),
     "ways_in_box": (f"SELECT DISTINCT way_id FROM n WHERE {_inside('lat', 'lon')}", ["n"]),
     "ordered_ways": ("SELECT tag.way_id, coalesce(lat, 0.0) AS lat, coalesce(lon, 0.0) AS lon FROM tag LEFT JOIN n ON n.way_id = tag.way_id AND node_idx = 0", ["tag", "n"]),
@@ -142,16 +225,50 @@ TEXTS: dict[str, tuple[str, list[str]]] = {
     "name_speeds": ("SELECT group_key, round(CASE WHEN l <= 0 THEN 0 WHEN tagged <= 0 THEN 1 ELSE passing / tagged END, 3) AS passing, round(CASE WHEN tagged > 0 THEN vl / tagged END, 3) AS mean_mph FROM grp", ["grp"]),
     "name_colours": (f"SELECT group_key, level, kml, '#' || lower(substr(kml, 7, 2) || substr(kml, 5, 2) || substr(kml, 3, 2)) AS css FROM (SELECT group_key, level, {KML} AS kml FROM (SELECT group_key, {LEVEL} AS level FROM (SELECT group_key, round(s) AS s FROM grp)))", ["grp"]),
     "route_faults": ("SELECT way_id, dq > 0 AS dq, CAST(sp AS DOUBLE) AS sp, CAST(tp AS DOUBLE) AS tp, CAST(lb AS DOUBLE) AS lb FROM fault", ["fault"]),
+    "chained_ways": ("SELECT group_key, component, way_id, pos, flip AS reversed, chunk FROM chunked", ["chunked"]),
+    "wobble_filter": ("SELECT road, round(sum(was), 2) AS score_before, round(sum(score), 2) AS score_after, count(*) FILTER (WHERE was <> 0 AND score = 0) AS zeroed FROM fquiet GROUP BY road", ["fquiet"]),
+    "road_table": ("SELECT group_key, sub_index, n_ways, n_segments, round(s, 2) AS total_score, round(l, 2) AS total_length, round(pk, 2) AS score_per_km, CAST(f AS DOUBLE) AS penalty_factor, round(ps, 2) AS penalized_score FROM road", ["road"]),
+    "ranked_roads": ("SELECT name, round(ps, 2) AS penalized_score, round(l, 2) AS total_length FROM good", ["good"]),
+    "top_roads": ("SELECT name, round(ps, 2) AS penalized_score FROM label ORDER BY ps DESC, group_key, sub_index LIMIT 5", ["label"]),
+    "road_boxes": ("SELECT group_key, sub_index, least(min(lat), min(lat1)) AS south, least(min(lon), min(lon1)) AS west, greatest(max(lat), max(lat1)) AS north, greatest(max(lon), max(lon1)) AS east, arg_min(lat, idx) AS first_lat, arg_max(lon1, idx) AS last_lon, count(DISTINCT way_id) AS n_ways FROM rseg GROUP BY group_key, sub_index", ["rseg"]),
+    "exported_ways": (
+        "SELECT group_key, sub_index, coalesce(string_agg(CAST(way_id AS VARCHAR), ',' ORDER BY way_id) FILTER (WHERE way_id % 2 = 0), '') AS present_ids, coalesce(string_agg(CAST(way_id AS VARCHAR), ',' ORDER BY way_id) FILTER (WHERE way_id % 2 = 1), '') AS missing_ids, count(*) FILTER (WHERE way_id % 2 = 0) AS present, count(*) FILTER (WHERE way_id % 2 = 1) AS missing FROM (SELECT DISTINCT group_key, sub_index, way_id FROM rseg) GROUP BY group_key, sub_index",
+        ["rseg"],
+    ),
+    "segment_features": ("SELECT p.way_id, name AS road_name, tier, round(score, 2) AS score, highway, maxspeed, round(lon, 7) AS lon0, round(lat1, 7) AS lat1 FROM rseg p", ["rseg"]),
+    "road_features": (
+        f"SELECT group_key, sub_index, name AS road_name, '#' || lower(substr(kml, 7, 2) || substr(kml, 5, 2) || substr(kml, 3, 2)) AS color, round(mean, 2) AS max_speed_mph, n_points, round(s, 1) AS score FROM (SELECT *, {KML} AS kml FROM (SELECT *, n_segments + 1 AS n_points, CASE WHEN tagged > 0 THEN vl / tagged END AS mean, {LEVEL} AS level FROM label WHERE n_segments > 0))",
+        ["label"],
+    ),
+    "stage_report": (
+        f"""SELECT group_key, 'tile_cache' AS stage, count(*) AS n_ways, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_segments, 1 AS n_parts, 0.0 AS score, round(coalesce(sum(l), 0), 2) AS length FROM key LEFT JOIN total USING (way_id) GROUP BY group_key
+        UNION ALL SELECT group_key, 'hard_filter', count(*), CAST(coalesce(sum(n), 0) AS BIGINT), 1, 0.0, round(coalesce(sum(l), 0), 2) FROM ge LEFT JOIN total USING (way_id) GROUP BY group_key
+        UNION ALL SELECT group_key, stage, count(*), CAST(coalesce(sum(n), 0) AS BIGINT), 1, round(coalesce(sum(s), 0), 2), round(coalesce(sum(l), 0), 2) FROM ge LEFT JOIN total USING (way_id), (SELECT unnest(['scoring', 'grouping']) AS stage) GROUP BY group_key, stage
+        UNION ALL SELECT group_key, 'connected_components', count(*), CAST(coalesce(sum(n), 0) AS BIGINT), count(DISTINCT component), round(coalesce(sum(s), 0), 2), round(coalesce(sum(l), 0), 2) FROM chunked LEFT JOIN total USING (way_id) GROUP BY group_key
+        UNION ALL SELECT group_key, 'ordering', count(*), CAST(coalesce(sum(n), 0) AS BIGINT), count(DISTINCT row(component, chunk)), round(coalesce(sum(s), 0), 2), round(coalesce(sum(l), 0), 2) FROM chunked LEFT JOIN total USING (way_id) GROUP BY group_key
+        UNION ALL SELECT group_key, 'deflection_filter', count(DISTINCT way_id), count(*), count(DISTINCT row(component, chunk)), round(sum(score), 2), round(sum(length), 2) FROM rquiet GROUP BY group_key
+        UNION ALL SELECT group_key, 'straight_gap_split', count(DISTINCT way_id) FILTER (WHERE NOT none), count(*) FILTER (WHERE NOT none), count(DISTINCT row(component, chunk, piece)), round(sum(CASE WHEN none THEN 0 ELSE score END), 2), round(sum(CASE WHEN none THEN 0 ELSE length END), 2) FROM rpiece GROUP BY group_key
+        UNION ALL SELECT r.group_key, 'penalties', w.n, CAST(sum(n_segments) AS BIGINT), count(*), round(sum(ps), 2), round(sum(l), 2) FROM road r JOIN (SELECT group_key, count(DISTINCT way_id) FILTER (WHERE NOT none) AS n FROM rpiece GROUP BY group_key) w ON w.group_key = r.group_key GROUP BY r.group_key, w.n
+        UNION ALL SELECT r.group_key, 'output_filter', w.n, CAST(sum(n_segments) AS BIGINT), count(*), round(sum(ps), 2), round(sum(l), 2) FROM good r JOIN (SELECT p.group_key, count(DISTINCT way_id) AS n FROM rseg p JOIN good g ON g.group_key = p.group_key AND g.sub_index = p.sub_index GROUP BY p.group_key) w ON w.group_key = r.group_key GROUP BY r.group_key, w.n""",
+        ["key", "total", "ge", "chunked", "rquiet", "rpiece", "road", "good", "rseg"],
+    ),
+    "group_detail": (
+        "SELECT q.group_key, q.component, n_ways, n_chunks, n_pieces, before AS score_before, after AS score_after, zeroed FROM (SELECT group_key, component, count(DISTINCT way_id) AS n_ways, count(DISTINCT chunk) AS n_chunks, round(sum(was), 2) AS before, round(sum(score), 2) AS after, count(*) FILTER (WHERE was <> 0 AND score = 0) AS zeroed FROM rquiet GROUP BY group_key, component) q JOIN (SELECT group_key, component, count(DISTINCT row(chunk, piece)) AS n_pieces FROM rpiece GROUP BY group_key, component) p ON p.group_key = q.group_key AND p.component = q.component",
+        ["rquiet", "rpiece"],
+    ),
     "proximity_links": ("SELECT group_key, a, b FROM link", ["link"]),
     "road_components": ("SELECT group_key, way_id, component FROM comp", ["comp"]),
-    "continuity": ("SELECT group_key, CAST(sum(n) AS BIGINT) AS n_ways, count(*) AS n_components, max(n) AS largest, count(*) = 1 AS contiguous FROM (SELECT group_key, component, count(*) AS n FROM comp GROUP BY group_key, component) GROUP BY group_key", ["comp"]),
+    "continuity": (
+        "SELECT group_key, CAST(sum(n) AS BIGINT) AS n_ways, CAST(sum(nodes) AS BIGINT) AS n_nodes, round(sum(l), 2) AS length, count(*) AS n_components, max(n) AS largest, count(*) = 1 AS contiguous, min(south) AS south, min(west) AS west, max(north) AS north, max(east) AS east FROM (SELECT group_key, component, count(*) AS n, coalesce(sum(nodes), 0) AS nodes, coalesce(sum(total.l), 0) AS l, min(south) AS south, min(west) AS west, max(north) AS north, max(east) AS east FROM comp LEFT JOIN (SELECT way_id, count(*) AS nodes, min(lat) AS south, min(lon) AS west, max(lat) AS north, max(lon) AS east FROM n GROUP BY way_id) b USING (way_id) LEFT JOIN total USING (way_id) GROUP BY group_key, component) GROUP BY group_key",
+        ["comp", "n", "total"],
+    ),
     "component_gaps": (
         f"SELECT p.group_key, p.component AS x, q.component AS y, round(min({hav('p.lat', 'p.lon', 'q.lat', 'q.lon')}), 2) AS gap_m FROM (SELECT pt.*, component FROM pt JOIN comp USING (group_key, way_id)) p JOIN (SELECT pt.*, component FROM pt JOIN comp USING (group_key, way_id)) q ON p.group_key = q.group_key AND p.component < q.component GROUP BY 1, 2, 3",
         ["pt", "comp"],
     ),
     "straight_splits": (
-        "SELECT road, piece, count(*) AS n, round(sum(length), 2) AS length, round(sum(score), 2) AS score FROM (SELECT *, CAST(sum(CASE WHEN long AND first THEN 1 ELSE 0 END) OVER (PARTITION BY road ORDER BY idx) AS BIGINT) AS piece FROM (SELECT *, tier = 0 AND sum(length) OVER (PARTITION BY road, run) > 2414 AS long FROM (SELECT *, sum(CASE WHEN first THEN 1 ELSE 0 END) OVER (PARTITION BY road ORDER BY idx) AS run FROM (SELECT *, coalesce((lag(tier) OVER (PARTITION BY road ORDER BY idx) = 0) <> (tier = 0), true) AS first FROM flat)))) WHERE NOT long GROUP BY road, piece",
-        ["flat"],
+        "SELECT road, piece, count(*) FILTER (WHERE NOT none) AS n, round(sum(CASE WHEN none THEN 0 ELSE length END), 2) AS length, round(sum(CASE WHEN none THEN 0 ELSE score END), 2) AS score FROM fsplit WHERE NOT long OR none GROUP BY road, piece",
+        ["fsplit"],
     ),
     "tier_runs": (
         "SELECT road, run, min(tier) AS tier, count(*) AS n, round(sum(length), 2) AS length FROM (SELECT *, CAST(sum(CASE WHEN first THEN 1 ELSE 0 END) OVER (PARTITION BY road ORDER BY idx) - 1 AS BIGINT) AS run FROM (SELECT *, coalesce(lag(tier) OVER (PARTITION BY road ORDER BY idx) <> tier, true) AS first FROM flat)) GROUP BY road, run",
@@ -192,7 +309,7 @@ def _sql(text: str, parts: list[str]) -> str:
 
     for p in parts:
         add(p)
-    return f"WITH {'RECURSIVE ' if 'reach' in order else ''}{', '.join(f'{p} AS ({PARTS[p][0]})' for p in order)} {text}"
+    return f"WITH {'RECURSIVE ' if {'reach', 'fwalk'} & {*order} else ''}{', '.join(f'{p} AS ({PARTS[p][0]})' for p in order)} {text}"
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,20 +11,27 @@ from hairpin.operators.ways import grouped, hard_filter
 from hairpin.plans.lineage import cut
 
 
-def scored_groups(ways: DataFrame, with_refs: bool = True) -> DataFrame:
-    """Kept ways, scored, once for each of their groups, with their ends."""
-    return segments.way_ends(grouped(segments.score_ways(hard_filter(ways)), with_refs))
+def group_ends(ways: DataFrame, with_refs: bool = True) -> DataFrame:
+    """Kept ways, once for each of their groups, with their ends: small rows, without geometry and segments."""
+    ends = segments.way_ends(grouped(hard_filter(ways), with_refs))
+    return ends.select("group_key", "way_id", "oneway", "first", "last", "entry", "exit", "back_entry", "back_exit")
 
 
 def chunks(ways: DataFrame, with_refs: bool = True) -> DataFrame:
     """Each way of each group with component, pos, reversed and chunk."""
-    ends = cut(scored_groups(ways, with_refs))
+    ends = cut(group_ends(ways, with_refs))
     found = assemble.components(ends, assemble.proximity_links(ends))
     return assemble.with_gaps(assemble.ordered(cut(found)))
 
 
+def with_segments(rows: DataFrame, ways: DataFrame) -> DataFrame:
+    """``rows`` with the segments, class and speed of their ways: the one join that moves segments."""
+    own = segments.score_ways(hard_filter(ways).dropDuplicates(["way_id"])).select("way_id", "highway", "maxspeed", "segments")
+    return rows.join(own, "way_id")
+
+
 def road_table(ways: DataFrame, with_refs: bool = True) -> DataFrame:
-    flat = assemble.without_wobbles(cut(assemble.flattened(chunks(ways, with_refs))))
+    flat = assemble.without_wobbles(cut(assemble.flattened(with_segments(chunks(ways, with_refs), ways))))
     return assemble.penalised(assemble.build_roads(assemble.split_straights(flat)))
 
 

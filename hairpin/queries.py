@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hairpin.functions import geo, tags
 from hairpin.operators import assemble, export, rank, routes, segments, waypoints
 from hairpin.operators import ways as way_ops
-from hairpin.plans import adapter, roads
+from hairpin.plans import adapter, reports, roads
 from hairpin.plans.lineage import cut
 from hairpin.streaming import tiles as tile_stream
 
@@ -23,6 +23,10 @@ def _r(c, n: int = 3):
     return F.round(c, n)
 
 
+def _long(c: str):
+    return F.col(c).cast("long").alias(c)
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     return segments.score_ways(adapter.ways(spark, d))
 
@@ -78,7 +82,8 @@ def distinct_ways(spark: SparkSession, d: str) -> DataFrame:
 
 def merge_regions(spark: SparkSession, d: str) -> DataFrame:
     n = adapter.nodes(spark, d).select((F.col("way_id") * 1000 + F.col("node_idx")).alias("id"), "lat7", "lon7")
-    return way_ops.merge_regions(n.where("id % 3 <> 0"), n.where("id % 2 = 0").withColumn("lat7", F.col("lat7") + 1))
+    # a southern region, and one of the whole that has other copies of what both hold
+    return way_ops.merge_regions(n.where("lat7 < 400000000"), n.withColumn("lat7", F.col("lat7") + 1))
 
 
 def find_ways(spark: SparkSession, d: str) -> DataFrame:
@@ -168,22 +173,27 @@ def route_faults(spark: SparkSession, d: str) -> DataFrame:
 
 
 def proximity_links(spark: SparkSession, d: str) -> DataFrame:
-    return assemble.proximity_links(cut(roads.scored_groups(adapter.ways(spark, d), with_refs=False)))
+    return assemble.proximity_links(cut(roads.group_ends(adapter.ways(spark, d))))
 
 
 def road_components(spark: SparkSession, d: str) -> DataFrame:
-    ends = cut(roads.scored_groups(adapter.ways(spark, d), with_refs=False))
+    ends = cut(roads.group_ends(adapter.ways(spark, d)))
     return assemble.components(ends, assemble.proximity_links(ends)).select("group_key", "way_id", "component")
 
 
 def continuity(spark: SparkSession, d: str) -> DataFrame:
-    by = road_components(spark, d).groupBy("group_key", "component").agg(F.count("*").alias("n"))
-    return by.groupBy("group_key").agg(F.sum("n").alias("n_ways"), F.count("*").alias("n_components"), F.max("n").alias("largest"), (F.count("*") == 1).alias("contiguous"))
+    c = reports.continuity(adapter.ways(spark, d))
+    return c.select("group_key", "n_ways", _long("n_nodes"), _r("length", 2).alias("length"), "n_components", "largest", "contiguous", "south", "west", "north", "east")
+
+
+def group_detail(spark: SparkSession, d: str) -> DataFrame:
+    g = reports.group_detail(adapter.ways(spark, d))
+    return g.select("group_key", "component", "n_ways", "n_chunks", "n_pieces", _r("score_before", 2).alias("score_before"), _r("score_after", 2).alias("score_after"), "zeroed")
 
 
 def component_gaps(spark: SparkSession, d: str) -> DataFrame:
     """The closest ends of each two components of a name."""
-    ends = cut(roads.scored_groups(adapter.ways(spark, d), with_refs=False))
+    ends = cut(roads.group_ends(adapter.ways(spark, d)))
     c = assemble.components(ends, assemble.proximity_links(ends)).where(F.col("first").isNotNull())
     p = c.select("group_key", "component", F.explode(F.array("first", "last")).alias("p"))
     a, b = p.alias("a"), p.alias("b")
@@ -192,7 +202,7 @@ def component_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chained_ways(spark: SparkSession, d: str) -> DataFrame:
-    return roads.chunks(adapter.ways(spark, d)).select("group_key", "component", "way_id", "pos", "reversed", "chunk")
+    return roads.chunks(adapter.ways(spark, d)).select("group_key", "component", "way_id", F.col("pos").cast("long").alias("pos"), "reversed", "chunk")
 
 
 def _flat_roads(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +216,7 @@ def _flat_roads(spark: SparkSession, d: str) -> DataFrame:
 
 def straight_splits(spark: SparkSession, d: str) -> DataFrame:
     p = assemble.split_straights(_flat_roads(spark, d), "road")
-    return p.groupBy("road", "piece").agg(F.count("*").alias("n"), _r(F.sum("length"), 2).alias("length"), _r(F.sum("score"), 2).alias("score"))
+    return p.groupBy("road", "piece").agg(F.count("way_id").alias("n"), _r(F.sum("length"), 2).alias("length"), _r(F.sum("score"), 2).alias("score"))
 
 
 def wobble_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -232,67 +242,53 @@ def viewport_score(spark: SparkSession, d: str) -> DataFrame:
 
 def road_table(spark: SparkSession, d: str) -> DataFrame:
     t = roads.road_table(adapter.ways(spark, d))
-    return t.select("group_key", "sub_index", F.size("way_ids").alias("n_ways"), F.size("segments").alias("n_segments"), _r("total_score").alias("total_score"), _r("total_length").alias("total_length"), _r("score_per_km").alias("score_per_km"), "penalty_factor", _r("penalized_score").alias("penalized_score"))
+    numbers = [_r(c, 2).alias(c) for c in ("total_score", "total_length", "score_per_km", "penalized_score")]
+    return t.select("group_key", F.col("sub_index").cast("long").alias("sub_index"), F.size("way_ids").cast("long").alias("n_ways"), F.size("segments").cast("long").alias("n_segments"), "penalty_factor", *numbers)
 
 
 def ranked_roads(spark: SparkSession, d: str) -> DataFrame:
     t = roads.ranked(roads.published(roads.road_table(adapter.ways(spark, d)), min_score=100.0, min_mph=30.0))
-    return t.select(assemble.display_name().alias("name"), _r("penalized_score").alias("penalized_score"), _r("total_length").alias("total_length"))
+    return t.select(assemble.display_name().alias("name"), _r("penalized_score", 2).alias("penalized_score"), _r("total_length", 2).alias("total_length"))
 
 
 def top_roads(spark: SparkSession, d: str) -> DataFrame:
-    return roads.top_roads(roads.road_table(adapter.ways(spark, d))).select(assemble.display_name().alias("name"), _r("penalized_score").alias("penalized_score"))
+    return roads.top_roads(roads.road_table(adapter.ways(spark, d))).select(assemble.display_name().alias("name"), _r("penalized_score", 2).alias("penalized_score"))
 
 
 def road_boxes(spark: SparkSession, d: str) -> DataFrame:
-    return rank.road_boxes(roads.road_table(adapter.ways(spark, d))).select("group_key", "sub_index", "south", "west", "north", "east")
+    return rank.road_boxes(roads.road_table(adapter.ways(spark, d))).select("group_key", _long("sub_index"), "south", "west", "north", "east", F.col("first.lat").alias("first_lat"), F.col("last.lon").alias("last_lon"), F.size("way_ids").cast("long").alias("n_ways"))
 
 
 def exported_ways(spark: SparkSession, d: str) -> DataFrame:
     t = roads.road_table(adapter.ways(spark, d))
-    return rank.exported_ways(t, adapter.ways(spark, d).where("way_id % 2 = 0"))
+    e = rank.exported_ways(t, adapter.ways(spark, d).where("way_id % 2 = 0"))
+    return e.select("group_key", _long("sub_index"), *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("present_ids", "missing_ids")], "present", "missing")
 
 
 def stage_report(spark: SparkSession, d: str) -> DataFrame:
-    return roads_report(adapter.ways(spark, d))
-
-
-def roads_report(ways: DataFrame) -> DataFrame:
-    """For each group what each stage of the road table holds: ways, segments, score and length."""
-    total = lambda f: F.sum(F.aggregate("segments", F.lit(0.0), lambda s, x: s + x[f]))
-    raw = way_ops.grouped(segments.score_ways(ways))
-    kept = cut(roads.scored_groups(ways))
-    linked = cut(assemble.with_gaps(assemble.ordered(cut(assemble.components(kept, assemble.proximity_links(kept))))))
-    flat = cut(assemble.flattened(linked))
-    quiet = cut(assemble.without_wobbles(flat))
-    pieces = cut(assemble.split_straights(quiet))
-
-    def by_way(stage: str, rows: DataFrame, parts=None) -> DataFrame:
-        return rows.groupBy("group_key").agg(F.lit(stage).alias("stage"), F.count("*").alias("n_ways"), F.sum(F.size("segments")).alias("n_segments"), (F.countDistinct(parts) if parts is not None else F.lit(1)).cast("long").alias("n_parts"), total("score").alias("score"), total("length").alias("length"))
-
-    def by_segment(stage: str, rows: DataFrame, *parts: str) -> DataFrame:
-        return rows.groupBy("group_key").agg(F.lit(stage).alias("stage"), F.countDistinct("way_id").alias("n_ways"), F.count("*").alias("n_segments"), F.countDistinct(*parts).alias("n_parts"), F.sum("score").alias("score"), F.sum("length").alias("length"))
-
-    stages = [
-        by_way("input", raw), by_way("hard_filter", kept), by_way("components", linked, F.col("component")), by_way("ordering", linked, F.struct("component", "chunk")),
-        by_segment("wobble_filter", quiet, "component", "chunk"), by_segment("straight_split", pieces, "component", "chunk", "piece"),
-    ]
-    out = stages[0]
-    for s in stages[1:]:
-        out = out.unionByName(s)
-    return out.select("group_key", "stage", "n_ways", "n_segments", "n_parts", _r("score", 2).alias("score"), _r("length", 2).alias("length"))
+    t = reports.stage_report(adapter.ways(spark, d), min_score=100.0, min_mph=30.0)
+    return t.select("group_key", "stage", "n_ways", "n_segments", "n_parts", _r("score", 2).alias("score"), _r("length", 2).alias("length"))
 
 
 # --- export -----------------------------------------------------------------------------------------------------------
 
 
 def segment_features(spark: SparkSession, d: str) -> DataFrame:
+    """The features, read back from their text."""
     w = adapter.ways(spark, d)
-    return export.segment_features(roads.road_table(w), w)
+    f = export.segment_features(roads.road_table(w), w)
+    shape = "geometry struct<coordinates:array<array<double>>>, properties struct<road_name:string,tier:long,score:double,way_id:long,highway:string,maxspeed:string>"
+    g = f.select(F.from_json("feature", shape).alias("f")).select("f.geometry.coordinates", "f.properties.*")
+    ends = F.col("coordinates")[0][0], F.col("coordinates")[1][1]
+    return g.select("way_id", "road_name", "tier", _r("score", 2).alias("score"), "highway", "maxspeed", _r(ends[0], 7).alias("lon0"), _r(ends[1], 7).alias("lat1"))
 
 
 def road_features(spark: SparkSession, d: str) -> DataFrame:
-    return export.road_features(roads.road_table(adapter.ways(spark, d)))
+    """The features, read back from their text."""
+    f = export.road_features(roads.road_table(adapter.ways(spark, d)))
+    shape = "geometry struct<coordinates:array<array<array<double>>>>, properties struct<road_name:string,score:double,color:string,max_speed_mph:double>"
+    g = f.select("group_key", _long("sub_index"), F.from_json("feature", shape).alias("f"))
+    return g.select("group_key", "sub_index", "f.properties.road_name", "f.properties.color", _r("f.properties.max_speed_mph", 2).alias("max_speed_mph"), F.size(F.col("f.geometry.coordinates")[0]).cast("long").alias("n_points"), _r("f.properties.score", 1).alias("score"))
 
 
 def road_kml(spark: SparkSession, d: str) -> DataFrame:
@@ -364,7 +360,7 @@ def tile_features(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     way_assembly, hard_filter, drivable_ways, pipeline_counts, segment_scores, way_totals, way_ends, group_ways, name_groups, distinct_ways, merge_regions, find_ways, ways_in_box, ordered_ways,
     way_tiles, road_tiles, tile_status, new_tiles, locate_ways, way_speeds, name_scores, top_names, name_speeds, name_colours, route_faults, proximity_links, road_components, continuity, component_gaps,
-    chained_ways, straight_splits, wobble_filter, tier_runs, tier_histogram, viewport_score, road_table, ranked_roads, top_roads, road_boxes, exported_ways, stage_report, segment_features, road_features, road_kml, route_gpx,
+    chained_ways, straight_splits, wobble_filter, tier_runs, tier_histogram, viewport_score, road_table, ranked_roads, top_roads, road_boxes, exported_ways, stage_report, group_detail, segment_features, road_features, road_kml, route_gpx,
     route_stats, nearest_ways, route_quality, route_choice, route_comparison, route_boxes, corridor_segments, ride_waypoints, tile_features,
 ]
 

@@ -55,3 +55,15 @@ def write_nodes(nodes: DataFrame, path: str) -> None:
 def write_ways(ways: DataFrame, path: str) -> None:
     rows = ways.select(F.col("id").alias("_id"), F.transform("node_ids", lambda n: F.struct(n.alias("_ref"))).alias("nd"), _xml_tags())
     rows.write.format("xml").option("rowTag", "way").option("rootTag", "osm").save(path)
+
+
+def write_relations(relations: DataFrame, path: str) -> None:
+    members = F.transform("members", lambda m: F.struct(m.type.alias("_type"), m.id.alias("_ref"), m.role.alias("_role")))
+    rows = relations.select(F.col("id").alias("_id"), members.alias("member"), _xml_tags())
+    rows.write.format("xml").option("rowTag", "relation").option("rootTag", "osm").save(path)
+
+
+def in_order(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataFrame:
+    """(kind, id) of all objects of a region in file order: nodes, ways, relations, each by id."""
+    kinds = [df.select(F.lit(k).alias("kind"), F.col("id").cast("long").alias("id")) for k, df in enumerate((nodes, ways, relations))]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).orderBy("kind", "id")

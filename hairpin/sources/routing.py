@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hairpin.functions import geo
 from hairpin.operators.routes import decode_polyline
 
 _TRIP = "struct<summary:struct<time:double,length:double>,legs:array<struct<shape:string,summary:struct<time:double,length:double>,maneuvers:array<struct<instruction:string,street_names:array<string>,time:double,length:double,begin_shape_index:int>>>>>"
@@ -41,19 +42,42 @@ def stitched(legs: str):
     return F.flatten(F.transform(legs, lambda x, i: F.when(i == 0, x.p).otherwise(F.slice(x.p, 2, F.greatest(F.size(x.p), F.lit(1))))))
 
 
-def stops(routes: DataFrame) -> DataFrame:
-    """(request_id, route_idx, stop, lat, lon): the start and the end of each leg."""
+def stops(routes: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(request_id, route_idx, stop, name, lat, lon): the start and the end of each leg, named by ``names`` (request_id, stop, name)."""
     ends = F.concat(F.array(F.get("points", F.lit(0))), F.col("leg_ends"))
-    return routes.select("request_id", "route_idx", F.posexplode(ends).alias("stop", "p")).select("request_id", "route_idx", "stop", "p.lat", "p.lon")
+    rows = routes.select("request_id", "route_idx", F.posexplode(ends).alias("stop", "p"))
+    rows = rows.withColumn("name", F.lit(None).cast("string")) if names is None else rows.join(names.select("request_id", "stop", "name"), ["request_id", "stop"], "left")
+    return rows.select("request_id", "route_idx", "stop", "name", "p.lat", "p.lon")
+
+
+def snap_report(routes: DataFrame, wanted: DataFrame, gap_m: float = 150.0) -> DataFrame:
+    """``wanted`` ends (request_id, from_lat, from_lon, to_lat, to_lon) against those of the routes: how far each end was moved, and gap
+    where one was by more than ``gap_m``; null where there is no route or no end to compare with."""
+    asked = lambda k: F.when(F.col(f"{k}_lat").isNotNull() & F.col(f"{k}_lon").isNotNull(), F.struct(F.col(f"{k}_lat").alias("lat"), F.col(f"{k}_lon").alias("lon")))
+    rows = wanted.join(routes.select("request_id", "route_idx", F.get("points", F.lit(0)).alias("p"), F.try_element_at("points", F.lit(-1)).alias("q")), "request_id", "left")
+    rows = rows.select("request_id", "route_idx", geo.haversine(asked("from"), F.col("p")).alias("start_m"), geo.haversine(asked("to"), F.col("q")).alias("end_m"))
+    return rows.withColumn("gap", F.greatest("start_m", "end_m") > gap_m)
+
+
+#: The other dialect: whole routes with one line each, in 1e-5 degrees, and a code that tells whether there are any.
+CODED_SCHEMA = "code string, routes array<struct<geometry:string,duration:double,distance:double>>"
+
+
+def read_coded_routes(responses: DataFrame) -> DataFrame:
+    """Routes (request_id, route_idx, points, duration, distance) of rows (request_id, response) whose code is Ok."""
+    parsed = responses.select("request_id", F.from_json("response", CODED_SCHEMA).alias("r")).where("r.code = 'Ok'")
+    rows = parsed.select("request_id", F.posexplode("r.routes").alias("route_idx", "t"))
+    return rows.select("request_id", "route_idx", decode_polyline(F.col("t.geometry"), 1e5).alias("points"), "t.duration", "t.distance")
+
+
+def _cut_bytes(text, n: int):
+    """The first ``n`` bytes of a text, without a character that they would part."""
+    cut = F.substring(F.encode(text, "UTF-8"), 1, n)
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.regexp_replace(F.decode(cut, "UTF-8"), "\uFFFD+$", ""))
 
 
 def turn_points(routes: DataFrame) -> DataFrame:
     """(request_id, route_idx, pos, name, description, lat, lon) of the maneuvers, with names of 40 bytes at most."""
     m = routes.select("request_id", "route_idx", F.posexplode("maneuvers").alias("pos", "m"))
     text = F.format_string("%s (%.0f s, %.1f km)", "m.instruction", F.coalesce("m.time", F.lit(0.0)), F.coalesce("m.length_km", F.lit(0.0)))
-    return m.select("request_id", "route_idx", "pos", F.substring("m.instruction", 1, 40).alias("name"), text.alias("description"), "m.location.lat", "m.location.lon")
-
-
-def numbered(routes: DataFrame) -> DataFrame:
-    """``routes`` with route_idx counted anew from 0 within each request."""
-    return routes.withColumn("route_idx", F.row_number().over(Window.partitionBy("request_id").orderBy("route_idx")) - 1)
+    return m.select("request_id", "route_idx", "pos", _cut_bytes(F.col("m.instruction"), 40).alias("name"), text.alias("description"), "m.location.lat", "m.location.lon")
