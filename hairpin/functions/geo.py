@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_M = 6371000.0
@@ -96,3 +96,9 @@ def in_box(p: Column, south: float, west: float, north: float, east: float) -> C
 
 def valid_point(p: Column) -> Column:
     return F.coalesce(p.lat.between(-90, 90) & p.lon.between(-180, 180), F.lit(False))
+
+
+def quarantined(rows: DataFrame, point_column: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose point exists, and those whose doesn't."""
+    good = valid_point(F.col(point_column))
+    return rows.where(good), rows.where(~good)

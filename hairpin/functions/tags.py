@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +22,11 @@ MIN_CURVATURE, MAX_CURVATURE = 0.0, 8000.0
 TIER_COLOURS = ["F000E010", "F000FFFF", "F000AAFF", "F00055FF", "F00000FF"]
 
 
+def fingerprint() -> str:
+    """SHA-256 of what scores depend on: tiers, their weights and radii. Penalties and the wobble filter come later and don't count."""
+    return hashlib.sha256(json.dumps({"tiers": TIERS, "straight_weight": 0.0}, sort_keys=True).encode()).hexdigest()
+
+
 def _in(column: Column, values: list[str]) -> Column:
     return F.coalesce(column.isin(values), F.lit(False))
 

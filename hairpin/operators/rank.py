@@ -121,3 +121,8 @@ def tile_status(wanted: DataFrame, loaded: DataFrame, failed: DataFrame) -> Data
 
 def new_tiles(wanted: DataFrame, fetched: DataFrame) -> DataFrame:
     return wanted.select("lat_idx", "lon_idx").distinct().join(fetched, ["lat_idx", "lon_idx"], "left_anti")
+
+
+def status_counts(status: DataFrame) -> DataFrame:
+    """(status, n): how many tiles are present, failed and missing."""
+    return status.groupBy("status").agg(F.count("*").alias("n"))

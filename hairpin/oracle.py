@@ -6,6 +6,7 @@ Shared parts are common table expressions that each text picks from PARTS.
 from __future__ import annotations
 
 from hairpin.functions import tags
+from hairpin.operators import export
 from hairpin.plans import adapter
 from hairpin.queries import BOX, TILE, TWIST
 
@@ -24,6 +25,12 @@ def brg(a: str, b: str, c: str, d: str) -> str:
     return f"mod(degrees(atan2({y}, {x})) + 360.0, 360.0)"
 
 
+def six(x: str) -> str:
+    """A coordinate in units of 1e-7 degrees as text with six places, halves away from zero."""
+    tens = f"((abs({x}) + 5) // 10)"
+    return f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || CAST({tens} // 1000000 AS VARCHAR) || '.' || lpad(CAST({tens} % 1000000 AS VARCHAR), 6, '0'))"
+
+
 def adiff(a: str, b: str) -> str:
     return f"abs(mod({b} - {a} + 540.0, 360.0) - 180.0)"
 
@@ -168,6 +175,13 @@ PARTS: dict[str, tuple[str, list[str]]] = {
         ["legt"],
     ),
     "rstat": ("SELECT request_id, route_idx, d, least(line / d, 1.0) AS ind, t / (d / 1000) AS dens, t / (d / 1000) * 0.7 + (1 - least(line / d, 1.0)) * 300 AS score FROM rsum", ["rsum"]),
+    "ft": (f"SELECT way_id, lat, lon, CAST(floor(lat / {TILE}) AS BIGINT) AS lat_idx, CAST(floor(lon / {TILE}) AS BIGINT) AS lon_idx FROM n WHERE node_idx = 0", ["n"]),
+    "rend": ("SELECT road, arg_min(lat, row(way_id, node_idx)) AS lat, arg_min(lon, row(way_id, node_idx)) AS lon FROM n GROUP BY road UNION ALL SELECT road, arg_max(lat, row(way_id, node_idx)), arg_max(lon, row(way_id, node_idx)) FROM n GROUP BY road", ["n"]),
+    "rends": ("SELECT request_id, route_idx, arg_min(lat, pt_idx) AS lat, arg_min(lon, pt_idx) AS lon, arg_max(lat, pt_idx) AS lat1, arg_max(lon, pt_idx) AS lon1 FROM rp GROUP BY request_id, route_idx", ["rp"]),
+    "sm": ("SELECT *, (lat + lat1) / 2 AS mlat, (lon + lon1) / 2 AS mlon, CAST(floor((lat + lat1) * 100) AS BIGINT) AS ci, CAST(floor((lon + lon1) * 100) AS BIGINT) AS cj FROM seg", ["seg"]),
+    "lm": ("SELECT request_id, lat AS a, lon AS b, lat1 - lat AS dy, lon1 - lon AS dx, CAST(floor(mlat * 200) AS BIGINT) + di AS ci, CAST(floor(mlon * 200) AS BIGINT) + dj AS cj FROM legm, (SELECT unnest([-1, 0, 1]) AS di) x, (SELECT unnest([-1, 0, 1]) AS dj) y", ["legm"]),
+    "foot": ("SELECT sm.*, a, b, dx, dy, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0.0, least(1.0, ((mlon - b) * dx + (mlat - a) * dy) / (dx * dx + dy * dy))) ELSE 0.0 END AS t FROM sm JOIN lm USING (ci, cj)", ["sm", "lm"]),
+    "along": (f"SELECT DISTINCT way_id, seg_idx, score, length FROM foot WHERE {hav('mlat', 'mlon', '(a + t * dy)', '(b + t * dx)')} <= 50", ["foot"]),
     "cellp": ("SELECT request_id, route_idx, leg, mlat, mlon, CAST(floor(mlat * 100) AS BIGINT) + di AS ci, CAST(floor(mlon * 100) AS BIGINT) + dj AS cj FROM legm, (SELECT unnest([-1, 0, 1]) AS di) x, (SELECT unnest([-1, 0, 1]) AS dj) y", ["legm"]),
     "celln": ("SELECT way_id, lat, lon, CAST(floor(lat * 100) AS BIGINT) AS ci, CAST(floor(lon * 100) AS BIGINT) AS cj FROM n", ["n"]),
     "met": (f"SELECT request_id, route_idx, leg, way_id, {hav('mlat', 'mlon', 'lat', 'lon')} AS d FROM cellp JOIN celln USING (ci, cj) WHERE abs(mlat - lat) < 0.0004 AND abs(mlon - lon) < 0.0008", ["cellp", "celln"]),
@@ -294,6 +308,57 @@ TEXTS: dict[str, tuple[str, list[str]]] = {
         ["rstat", "dur"],
     ),
     "route_boxes": ("SELECT request_id, round(min(lat) - 0.01, 7) AS south, round(min(lon) - 0.01, 7) AS west, round(max(lat) + 0.01, 7) AS north, round(max(lon) + 0.01, 7) AS east FROM rp GROUP BY request_id", ["rp"]),
+    "corridor_segments": ("SELECT way_id, seg_idx FROM along", ["along"]),
+    "route_view": ("SELECT round(sum(score), 1) AS score, round(sum(length), 1) AS length, round(sum(score) / (sum(length) / 1000), 2) AS per_km FROM along", ["along"]),
+    "roads_in_box": (f"SELECT DISTINCT group_key, sub_index FROM rseg WHERE {_inside('lat', 'lon')} OR {_inside('lat1', 'lon1')}", ["rseg"]),
+    "overlay_roads": ("SELECT group_key, sub_index FROM road WHERE s >= 200 AND tagged > 0 AND vl / tagged >= 40", ["road"]),
+    "find_roads": ("SELECT DISTINCT 'way 2' AS wanted, group_key, sub_index FROM rseg WHERE way_id = 2 UNION ALL SELECT 'R4', group_key, sub_index FROM road WHERE group_key = 'R4'", ["rseg", "road"]),
+    "pass_lines": ("SELECT r.group_key, r.sub_index, g.group_key IS NOT NULL AS passes, g.group_key IS NOT NULL AS says_so FROM road r LEFT JOIN good g ON g.group_key = r.group_key AND g.sub_index = r.sub_index", ["road", "good"]),
+    "ingest_count": ("SELECT count(*) AS n_ways FROM tag", ["tag"]),
+    "tile_segments": (f"SELECT lat_idx, lon_idx, count(*) AS n, round(sum(score), 2) AS score FROM seg JOIN ft USING (way_id) WHERE lat_idx BETWEEN floor({S} / {TILE}) AND floor({N} / {TILE}) AND lon_idx BETWEEN floor({W} / {TILE}) AND floor({E} / {TILE}) GROUP BY lat_idx, lon_idx", ["seg", "ft"]),
+    "road_spacing": (
+        f"SELECT a.road AS a, b.road AS b, round(min({hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}), 2) AS away_m FROM rend a JOIN rend b ON a.road < b.road AND abs(a.lat - b.lat) < 0.05 WHERE {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 5000 GROUP BY a.road, b.road",
+        ["rend"],
+    ),
+    "tile_rings": (f"SELECT lat_idx, lon_idx, bool_or(way_id % 4 = 0) AS loaded, 5 AS n_points, round((lon_idx + 1) * {TILE}, 6) AS east, round((lat_idx + 1) * {TILE}, 6) AS north, true AS closed FROM wt GROUP BY lat_idx, lon_idx", ["wt"]),
+    "region_order": ("SELECT 0 AS kind, way_id * 1000 + node_idx AS id FROM nodes UNION ALL SELECT 1, way_id FROM tag UNION ALL SELECT 2, way_id FROM tag WHERE way_id % 7 = 0", ["nodes", "tag"]),
+    "stale_tiles": ("SELECT lat_idx, lon_idx, count(*) AS n_ways FROM ft GROUP BY lat_idx, lon_idx HAVING min(way_id) % 3 = 0 OR min(way_id) % 5 = 0", ["ft"]),
+    "fresh_scores": ("SELECT tag.way_id, round(s, 2) AS score FROM tag JOIN total USING (way_id) WHERE highway = 'primary' AND s > 100 AND way_id % 5 <> 0", ["tag", "total"]),
+    "kept_tiles": ("SELECT lat_idx, lon_idx FROM ft JOIN orders ON o_orderkey + 1 = way_id GROUP BY lat_idx, lon_idx HAVING max(CAST(o_orderdate AS TIMESTAMP)) >= (SELECT max(CAST(o_orderdate AS TIMESTAMP)) FROM orders) - INTERVAL 90 DAY", ["ft"]),
+    "tiles_outside_box": (f"SELECT lat_idx, lon_idx, count(*) AS n_ways FROM ft WHERE NOT (lat_idx BETWEEN floor({S} / {TILE}) AND floor({N} / {TILE}) AND lon_idx BETWEEN floor({W} / {TILE}) AND floor({E} / {TILE})) GROUP BY lat_idx, lon_idx", ["ft"]),
+    "loaded_tiles": ("SELECT DISTINCT lat_idx, lon_idx FROM ft", ["ft"]),
+    "status_counts": ("SELECT status, count(*) AS n FROM (SELECT lat_idx, lon_idx, CASE WHEN bool_or(way_id % 4 = 0) THEN 'present' WHEN bool_or(way_id % 4 = 1) THEN 'failed' ELSE 'missing' END AS status FROM wt GROUP BY lat_idx, lon_idx) GROUP BY status", ["wt"]),
+    "way_headings": (
+        "SELECT way_id, round(mod(leave - entry + 540.0, 360.0) - 180.0, 4) AS turned, round(degrees(la), 6) AS lat, round(bo7 / 1e7 + degrees(atan2(sin(radians(leave)) * sin(d) * cos(lo), cos(d) - sin(lo) * sin(la))), 6) AS lon FROM (SELECT *, asin(sin(lo) * cos(d) + cos(lo) * sin(d) * cos(radians(leave))) AS la FROM (SELECT *, radians(b7 / 1e7) AS lo, 1000.0 / 6371000.0 AS d FROM wend JOIN wdir USING (way_id)))",
+        ["wend", "wdir"],
+    ),
+    "circle_tiles": (
+        f"SELECT way_id, lat_idx, unnest(range(j, greatest(jj, j) + 1)) AS lon_idx FROM (SELECT way_id, j, jj, unnest(range(i, greatest(ii, i) + 1)) AS lat_idx FROM (SELECT way_id, CAST(floor((lat - dy) / {TILE}) AS BIGINT) AS i, CAST(ceil((lat + dy) / {TILE}) AS BIGINT) - 1 AS ii, CAST(floor((lon - dx) / {TILE}) AS BIGINT) AS j, CAST(ceil((lon + dx) / {TILE}) AS BIGINT) - 1 AS jj FROM (SELECT *, 3.0 / 111.32 AS dy, 3.0 / (111.32 * cos(radians(lat))) AS dx FROM ft)))",
+        ["ft"],
+    ),
+    "valid_points": ("SELECT way_id, lat * 2.5 BETWEEN -90 AND 90 AND lon * 2.1 BETWEEN -180 AND 180 AS valid FROM ft", ["ft"]),
+    "route_durations": ("SELECT request_id, route_idx, CASE WHEN m >= 60 THEN CAST(m // 60 AS VARCHAR) || 'h' || CAST(m % 60 AS VARCHAR) || 'm' ELSE CAST(m AS VARCHAR) || 'm' END AS text FROM (SELECT *, CAST(floor(duration / 60) AS BIGINT) AS m FROM dur)", ["dur"]),
+    "ride_cells": (
+        f"SELECT c_custkey AS request_id, round(35 * 1.60934 * 2 / (2 * pi()), 4) AS radius_km, CAST(floor({hav('lat', 'lon', 'lat + 0.01', 'lon')} / 500) AS BIGINT) AS i, CAST(floor({hav('lat', 'lon', 'lat', 'lon + 0.01')} / 500) AS BIGINT) AS j FROM (SELECT c_custkey, 35.0 + (c_custkey % 50) * 0.2 AS lat, -85.0 + floor(c_custkey / 50.0) * 0.2 AS lon FROM customer)",
+        [],
+    ),
+    "way_inspection": ("SELECT k.way_id, count(*) AS n_points FROM key JOIN kept k ON k.way_id = key.way_id JOIN n ON n.way_id = k.way_id WHERE group_key = 'R1' AND contains(ref, 'R1') GROUP BY k.way_id HAVING count(*) >= 2", ["key", "kept", "n"]),
+    "kml_entries": (
+        "SELECT name, string_agg(CAST(way_id AS VARCHAR), ',' ORDER BY way_id) AS way_ids, CAST(sum(n) AS BIGINT) + 1 AS n_points FROM (SELECT name, way_id, count(*) AS n FROM rseg WHERE name LIKE 'R1%' GROUP BY name, way_id) GROUP BY name",
+        ["rseg"],
+    ),
+    "route_gpx": (
+        f"""SELECT request_id, route_idx, '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="hairpin" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>Route ' || CAST(request_id AS VARCHAR) || '-' || CAST(route_idx AS VARCHAR) || '</name><trkseg>' || string_agg('<trkpt lat="' || {six('lat7')} || '" lon="' || {six('lon7')} || '"></trkpt>', '' ORDER BY pt_idx) || '</trkseg></trk></gpx>' AS document FROM route GROUP BY request_id, route_idx""",
+        ["route"],
+    ),
+    "route_kml": (
+        f"""SELECT request_id, route_idx, '{export.KML_HEAD}<Placemark><name>Route ' || CAST(request_id AS VARCHAR) || '-' || CAST(route_idx AS VARCHAR) || '</name><Style><LineStyle><color>ff0000ff</color><width>4</width></LineStyle></Style><LineString><coordinates>' || string_agg({six('lon7')} || ',' || {six('lat7')} || ',0', ' ' ORDER BY pt_idx) || '</coordinates></LineString></Placemark>{export.KML_FOOT}' AS document FROM route GROUP BY request_id, route_idx""",
+        ["route"],
+    ),
+    "leg_snaps": (
+        f"SELECT r.request_id, r.route_idx, round({hav('z.lat', 'z.lon', 'r.lat', 'r.lon')}, 2) AS start_m, round({hav('z.lat1', 'z.lon1', 'r.lat1', 'r.lon1')}, 2) AS end_m, greatest({hav('z.lat', 'z.lon', 'r.lat', 'r.lon')}, {hav('z.lat1', 'z.lon1', 'r.lat1', 'r.lon1')}) > 150 AS gap FROM rends r JOIN rends z ON z.request_id = r.request_id AND z.route_idx = 0",
+        ["rends"],
+    ),
     "tile_features": ("SELECT tier, count(*) AS n, round(sum(length), 1) AS length FROM seg JOIN kept USING (way_id) GROUP BY tier", ["seg", "kept"]),
 }
 
@@ -309,6 +374,8 @@ def _sql(text: str, parts: list[str]) -> str:
 
     for p in parts:
         add(p)
+    if not order:
+        return text
     return f"WITH {'RECURSIVE ' if {'reach', 'fwalk'} & {*order} else ''}{', '.join(f'{p} AS ({PARTS[p][0]})' for p in order)} {text}"
 
 

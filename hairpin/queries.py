@@ -12,6 +12,7 @@ from hairpin.operators import assemble, export, rank, routes, segments, waypoint
 from hairpin.operators import ways as way_ops
 from hairpin.plans import adapter, reports, roads
 from hairpin.plans.lineage import cut
+from hairpin.sources import osm, routing, tiles
 from hairpin.streaming import tiles as tile_stream
 
 TWIST = 0.6
@@ -357,11 +358,191 @@ def tile_features(spark: SparkSession, d: str) -> DataFrame:
     return tile_stream.replay(adapter.ways(spark, d))
 
 
+# --- records, tiles and single columns ---------------------------------------------------------------------------------
+
+
+def _table(spark: SparkSession, d: str) -> DataFrame:
+    return roads.road_table(adapter.ways(spark, d))
+
+
+def _first(spark: SparkSession, d: str) -> DataFrame:
+    """The first node of each way with its tile."""
+    n = adapter.nodes(spark, d).where("node_idx = 0").select("way_id", (F.col("lat7") / 1e7).alias("lat"), (F.col("lon7") / 1e7).alias("lon"))
+    return n.withColumns({"lat_idx": geo.cell(F.col("lat"), TILE), "lon_idx": geo.cell(F.col("lon"), TILE)})
+
+
+def _tile_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each tile of ways' first nodes: what a store of scored tiles knows of it."""
+    t = _first(spark, d).groupBy("lat_idx", "lon_idx").agg(F.min("way_id").alias("least"), F.count("*").alias("n_ways"))
+    return t.withColumns({"tile_key": geo.tile_key(F.col("lat_idx"), F.col("lon_idx"), TILE), "raw_hash": F.sha2(F.col("least").cast("string"), 256)})
+
+
+def roads_in_box(spark: SparkSession, d: str) -> DataFrame:
+    return rank.roads_in_box(_table(spark, d), *BOX).select("group_key", _long("sub_index"))
+
+
+def overlay_roads(spark: SparkSession, d: str) -> DataFrame:
+    return rank.overlay(_table(spark, d), 200.0, 40.0).select("group_key", _long("sub_index"))
+
+
+def find_roads(spark: SparkSession, d: str) -> DataFrame:
+    t = cut(_table(spark, d))
+    by_way = rank.find_roads(t, way_id=2).select(F.lit("way 2").alias("wanted"), "group_key", _long("sub_index"))
+    return by_way.unionByName(rank.find_roads(t, name="R4").select(F.lit("R4").alias("wanted"), "group_key", _long("sub_index")))
+
+
+def pass_lines(spark: SparkSession, d: str) -> DataFrame:
+    return rank.pass_summary(_table(spark, d), 100.0, min_mph=30.0).select("group_key", _long("sub_index"), "passes", F.endswith("summary", F.lit("passes")).alias("says_so"))
+
+
+def ingest_count(spark: SparkSession, d: str) -> DataFrame:
+    w = adapter.ways(spark, d).select("way_id")
+    twice = w.withColumn("tile_key", F.lit("b")).unionByName(w.where("way_id % 3 = 0").withColumn("tile_key", F.lit("a")))
+    return way_ops.distinct_ways(twice).agg(F.count("*").alias("n_ways"))
+
+
+def tile_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of the ways whose tile is one of a box, by tile."""
+    s = segments.exploded(_scored(spark, d)).join(_first(spark, d).select("way_id", "lat_idx", "lon_idx"), "way_id")
+    box = spark.range(1).select(F.inline(geo.tiles_of_box(*[F.lit(x) for x in BOX], TILE)))
+    return rank.of_tiles(s, box).groupBy("lat_idx", "lon_idx").agg(F.count("*").alias("n"), _r(F.sum("score"), 2).alias("score"))
+
+
+def road_spacing(spark: SparkSession, d: str) -> DataFrame:
+    """Names whose first and last nodes come within 5 km of another's."""
+    n = adapter.nodes(spark, d)
+    at = lambda f: f(F.struct((F.col("lat7") / 1e7).alias("lat"), (F.col("lon7") / 1e7).alias("lon")), F.struct("way_id", "node_idx"))
+    ends = n.groupBy(F.col("road").alias("id")).agg(at(F.min_by).alias("first"), at(F.max_by).alias("last"))
+    return rank.spacing(ends, 5000.0).select("a", "b", _r("away_m", 2).alias("away_m"))
+
+
+def tile_rings(spark: SparkSession, d: str) -> DataFrame:
+    """The polygons, read back from their text."""
+    f = rank.tile_rings(tile_status(spark, d), TILE)
+    shape = "geometry struct<coordinates:array<array<array<double>>>>, properties struct<label:string,loaded:boolean>"
+    g = f.select("lat_idx", "lon_idx", F.from_json("feature", shape).alias("f"))
+    ring = F.col("f.geometry.coordinates")[0]
+    return g.select("lat_idx", "lon_idx", "f.properties.loaded", F.size(ring).cast("long").alias("n_points"), _r(ring[2][0], 6).alias("east"), _r(ring[2][1], 6).alias("north"), (ring[0] == ring[4]).alias("closed"))
+
+
+def region_order(spark: SparkSession, d: str) -> DataFrame:
+    n = adapter.nodes(spark, d).select((F.col("way_id") * 1000 + F.col("node_idx")).alias("id"))
+    w = adapter.ways(spark, d).select(F.col("way_id").alias("id"))
+    return osm.in_order(n, w, w.where("id % 7 = 0")).select(_long("kind"), "id")
+
+
+def stale_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles that a store lacks in their present form: one in three was never scored, one in five with other parameters."""
+    t = _tile_rows(spark, d)
+    now = tags.fingerprint()
+    scored = t.where("least % 3 <> 0").withColumn("params_hash", F.when(F.col("least") % 5 == 0, F.lit("older")).otherwise(F.lit(now)))
+    return tiles.changed(t, scored, now).select("lat_idx", "lon_idx", "n_ways")
+
+
+def fresh_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scored ways that match a condition, of those scored with the present parameters."""
+    now = tags.fingerprint()
+    s = segments.way_totals(_scored(spark, d)).join(adapter.ways(spark, d).select("way_id", "highway"), "way_id")
+    s = s.withColumn("params_hash", F.when(F.col("way_id") % 5 == 0, F.lit("older")).otherwise(F.lit(now)))
+    return tiles.fresh(s, now, (F.col("highway") == "primary") & (F.col("score") > 100)).select("way_id", _r("score", 2).alias("score"))
+
+
+def kept_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles seen in the 90 days before the last order, by the dates of the orders that made their ways."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_orderkey") + 1).alias("way_id"), F.col("o_orderdate").cast("timestamp").alias("t"))
+    rows = _first(spark, d).join(o, "way_id").groupBy("lat_idx", "lon_idx").agg(F.max("t").alias("last_seen_ts"))
+    last = F.to_timestamp(F.lit(str(o.agg(F.max("t")).first()[0])))
+    return tiles.kept_since(rows, last, 90).select("lat_idx", "lon_idx")
+
+
+def tiles_outside_box(spark: SparkSession, d: str) -> DataFrame:
+    box = spark.range(1).select(F.inline(geo.tiles_of_box(*[F.lit(x) for x in BOX], TILE)))
+    return tiles.without_box(_tile_rows(spark, d), box).select("lat_idx", "lon_idx", "n_ways")
+
+
+def loaded_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles by the names under which they are stored."""
+    t = _tile_rows(spark, d)
+    return tiles.listed(t.select(F.concat("tile_key", F.lit(".json")).alias("file_name")), TILE).select("lat_idx", "lon_idx")
+
+
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return rank.status_counts(tile_status(spark, d))
+
+
+def route_view(spark: SparkSession, d: str) -> DataFrame:
+    """Score, length and score per km of all segments along any route."""
+    near = routes.near_routes(segments.exploded(_scored(spark, d)), adapter.routes(spark, d))
+    return rank.viewport_score(near).select(_r("score", 1).alias("score"), _r("length", 1).alias("length"), _r("per_km", 2).alias("per_km"))
+
+
+def way_headings(spark: SparkSession, d: str) -> DataFrame:
+    """By how much each way turns from its entry to its exit, to which side, and where it would lead in a kilometre."""
+    e = segments.way_ends(adapter.ways(spark, d)).where(F.col("first").isNotNull())
+    to = geo.destination(F.col("last"), F.col("exit"), F.lit(1000.0))
+    return e.select("way_id", _r(geo.signed_turn(F.col("entry"), F.col("exit")), 4).alias("turned"), _r(to.lat, 6).alias("lat"), _r(to.lon, 6).alias("lon"))
+
+
+def circle_tiles(spark: SparkSession, d: str) -> DataFrame:
+    f = _first(spark, d)
+    return f.select("way_id", F.inline(geo.tiles_of_circle(geo.point(F.col("lat"), F.col("lon")), F.lit(3.0), TILE)))
+
+
+def valid_points(spark: SparkSession, d: str) -> DataFrame:
+    """Coordinates that exist and those that go to quarantine, of first nodes moved away from the equator."""
+    p = geo.point(F.col("lat") * 2.5, F.col("lon") * 2.1)
+    good, bad = geo.quarantined(_first(spark, d).withColumn("p", p), "p")
+    return good.select("way_id", F.lit(True).alias("valid")).unionByName(bad.select("way_id", F.lit(False).alias("valid")))
+
+
+def route_durations(spark: SparkSession, d: str) -> DataFrame:
+    return adapter.routes(spark, d).select("request_id", _long("route_idx"), tags.duration_text(F.col("duration")).alias("text"))
+
+
+def ride_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Each request's loop radius and the 500 m cell in which a place 0.01 degrees to its north east lies."""
+    q = waypoints.requests_of(spark.read.parquet(f"{d}/customer.parquet"))
+    c = geo.metric_cell(geo.point(F.col("lat") + 0.01, F.col("lon") + 0.01), geo.point(F.col("lat"), F.col("lon")), 500.0)
+    return q.select("request_id", _r(tags.loop_radius_km(F.col("n") / 2, F.lit(35.0)), 4).alias("radius_km"), c.i.alias("i"), c.j.alias("j"))
+
+
+def way_inspection(spark: SparkSession, d: str) -> DataFrame:
+    """The ways of a ref in the order of their chains as KML folders, read back."""
+    w = way_ops.find(adapter.ways(spark, d), ref_part="R1")
+    w = way_ops.distinct_ways(w.withColumn("tile_key", F.lit("a"))).drop("tile_key")
+    placed = roads.chunks(w).where("group_key = 'R1'").select("group_key", "component", "way_id", "pos")
+    rows = placed.join(w.select("way_id", "highway", "geometry"), "way_id").withColumn("group_key", F.concat_ws("/", "group_key", "component"))
+    f = export.folder_entries(export.raw_way_folders(rows))
+    return f.select(F.regexp_extract("name", "way ([0-9]+)", 1).cast("long").alias("way_id"), "n_points")
+
+
+def kml_entries(spark: SparkSession, d: str) -> DataFrame:
+    """What the KML of the roads named R1... says when it is read back."""
+    f = export.folder_entries(export.kml_folders(_table(spark, d), by_tier=False), "R1")
+    ids = F.array_join(F.transform(F.array_sort("way_ids"), lambda x: x.cast("string")), ",")
+    return f.where("n_points > 0").select("name", ids.alias("way_ids"), "n_points")
+
+
+def route_kml(spark: SparkSession, d: str) -> DataFrame:
+    return export.route_kml(adapter.routes(spark, d), F.format_string("Route %d-%d", "request_id", "route_idx"))
+
+
+def leg_snaps(spark: SparkSession, d: str) -> DataFrame:
+    """How far routes begin and end from where their first candidate does."""
+    r = adapter.routes(spark, d)
+    p, q = F.get("points", F.lit(0)), F.try_element_at("points", F.lit(-1))
+    wanted = r.where("route_idx = 0").select("request_id", p.lat.alias("from_lat"), p.lon.alias("from_lon"), q.lat.alias("to_lat"), q.lon.alias("to_lon"))
+    s = routing.snap_report(r, wanted)
+    return s.select("request_id", _long("route_idx"), _r("start_m", 2).alias("start_m"), _r("end_m", 2).alias("end_m"), "gap")
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     way_assembly, hard_filter, drivable_ways, pipeline_counts, segment_scores, way_totals, way_ends, group_ways, name_groups, distinct_ways, merge_regions, find_ways, ways_in_box, ordered_ways,
     way_tiles, road_tiles, tile_status, new_tiles, locate_ways, way_speeds, name_scores, top_names, name_speeds, name_colours, route_faults, proximity_links, road_components, continuity, component_gaps,
     chained_ways, straight_splits, wobble_filter, tier_runs, tier_histogram, viewport_score, road_table, ranked_roads, top_roads, road_boxes, exported_ways, stage_report, group_detail, segment_features, road_features, road_kml, route_gpx,
     route_stats, nearest_ways, route_quality, route_choice, route_comparison, route_boxes, corridor_segments, ride_waypoints, tile_features,
+    roads_in_box, overlay_roads, find_roads, pass_lines, ingest_count, tile_segments, road_spacing, tile_rings, region_order, stale_tiles, fresh_scores, kept_tiles, tiles_outside_box, loaded_tiles, status_counts,
+    route_view, way_headings, circle_tiles, valid_points, route_durations, ride_cells, way_inspection, kml_entries, route_kml, leg_snaps,
 ]
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,7 +221,10 @@ def test_road_table_is_the_same_for_any_partitioning(spark):
 
 
 def test_routes(spark):
-    assert routes._decode("_p~iF~ps|U_ulLnnqC_mqNvxq`@", 1e5) == [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)]
+    read = lambda texts: [None if x is None else [(p["lat"], p["lon"]) for p in x] for x in routes.decoded(pa.array(texts, pa.string()), 1e5).to_pylist()]
+    sample = [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)]
+    # a line that is cut off within a number, or after a latitude, ends before it
+    assert read(["_p~iF~ps|U_ulLnnqC_mqNvxq`@", None, "", "_p~iF~ps|U_ulLnnqC_mqNvx", "_p~iF~ps|U_ulL", "_"]) == [sample, None, [], sample[:2], sample[:1], []]
     decoded = spark.createDataFrame([("_p~iF~ps|U",), (None,)], "s string").select(routes.decode_polyline(F.col("s")).alias("p")).collect()
     assert decoded[0].p[0].lat == 38.5 and decoded[1].p is None
     straight = [(45.0, -122.0), (45.01, -122.0), (45.02, -122.0)]
@@ -296,3 +300,39 @@ def test_corridor_takes_all_routes(spark, tmp_path):
     found = segments.exploded(segments.score_ways(adapter.ways(spark, str(tmp_path)))).select("way_id", "seg_idx", geo.midpoint(F.col("start"), F.col("end")).alias("mid")).collect()
     want = sorted((r.way_id, r.seg_idx) for r in found if away(r.mid) <= routes.CORRIDOR_M)
     assert want and sorted((r.way_id, r.seg_idx) for r in queries.corridor_segments(spark, str(tmp_path)).collect()) == want
+
+
+def test_a_chunk_of_which_nothing_stays_is_an_empty_road(spark):
+    straight = [(40.0 + 0.01 * i, -72.0) for i in range(6)]
+    bend = arc(40.3, -72.0, 50, 180, 10)
+    df = spark.createDataFrame([way(1, straight, "X"), way(2, bend, "X")], WAY)
+    rows = roads.road_table(df).orderBy("sub_index").select("sub_index", "way_ids", "total_length", "penalty_factor", F.size("segments").alias("n"), assemble.display_name().alias("name")).collect()
+    assert [(r.sub_index, r.way_ids, r.n, r.name) for r in rows] == [(0, [], 0, "X"), (1, [2], 9, "X (2)")]
+    assert rows[0].total_length == 0 and rows[0].penalty_factor == 1
+    assert [r.group_key for r in roads.published(roads.road_table(df), min_length=0.1).collect()] == ["X"]
+
+
+def test_of_a_ways_rows_the_lowest_tile_wins(spark):
+    df = spark.createDataFrame([(1, "A", "c", 3), (1, "A", "a", 1), (1, "A", "b", 2)], "way_id long, name string, tile_key string, v int").withColumn("ref", F.lit(None).cast("string"))
+    assert [(r.tile_key, r.v) for r in way_ops.grouped(df).collect()] == [("a", 1)]
+
+
+def test_kml_is_framed_and_read_back(spark):
+    df = spark.createDataFrame([way(7, arc(40.0, -72.0, 50, 180, 8), "Pine & <Hill>"), way(8, [(41.0, -72.0), (41.001, -72.0)], "Oak")], WAY)
+    table = roads.road_table(df)
+    folders = export.kml_folders(table)
+    document = export.kml_documents(folders.select(F.lit(1).alias("k"), F.col("group_key").alias("seq"), "folder"), "k").first().document
+    assert document.count("<Folder>") == 2 and all(f'<Style id="tier{t}">' in document for t in range(5)) and document.endswith("</Document></kml>")
+    found = {r.name: r for r in export.folder_entries(folders).collect()}
+    assert found["Pine & <Hill>"].way_ids == [7] and found["Pine & <Hill>"].n_points >= 8
+    assert found["Oak"].first.lat == 41.0 and found["Oak"].north == pytest.approx(41.001) and export.folder_entries(folders, "Pine").count() == 1
+    raw = export.raw_way_folders(df.withColumns({"group_key": F.lit("g"), "pos": F.col("way_id")}))
+    assert {r.way_id: r.folder[r.folder.index("<color>") + 7 :][:8] for r in raw.collect()} == {7: export.PALETTE[0], 8: export.PALETTE[1]}
+
+
+def test_gpx_has_waypoints_before_the_track(spark):
+    points = [(1.0, 2.0), (1.5, 2.5)]
+    df = spark.createDataFrame([(1, 0, points, [("A&B", None, 1.0, 2.0)]), (2, 0, points, None)], "request_id long, route_idx int, points array<struct<lat:double,lon:double>>, waypoints array<struct<name:string,description:string,lat:double,lon:double>>")
+    a, b = (r.document for r in export.gpx_documents(df, F.lit("N"), F.lit("D")).orderBy("request_id").collect())
+    assert 'creator="hairpin"' in a and '<wpt lat="1.000000" lon="2.000000"><name>A&amp;B</name></wpt><trk><name>N</name><desc>D</desc>' in a and "<wpt" not in b
+    assert "<coordinates>2.000000,1.000000,0 2.500000,1.500000,0</coordinates>" in export.route_kml(df, F.lit("N")).first().document
