@@ -444,6 +444,26 @@ def test_embedding_dedup(spark, limit):
         assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("sample", [20_000, 500])
+def test_a_deep_forest_finds_the_links(spark, monkeypatch, sample):
+    """20,000 vectors, a tenth of them near one of the others: leaves stay small, recall is 0.9 or more and no link is below the threshold; with a
+    small sample the lower levels are split in the table."""
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", sample)
+    rng = np.random.default_rng(3)
+    n, d = 20_000, 24
+    rows = rng.standard_normal((n, d))
+    for i in range(0, n, 10):
+        rows[i + 1] = rows[i] + rng.standard_normal(d) * rng.choice([0.05, 0.2, 0.35])
+    rows[500:900] = rows[500] + rng.standard_normal((400, d)) * 0.1
+    unit = rows / np.sqrt((rows * rows).sum(1, keepdims=True))
+    degree = np.concatenate([(unit[i : i + 2000] @ unit.T >= 0.9).sum(1) - 1 for i in range(0, n, 2000)])
+    table = pa.table({"vec_id": np.arange(n), "embedding": pa.ListArray.from_arrays(np.arange(0, n * d + 1, d, dtype=np.int32), rows.ravel())})
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(table).repartition(8), leaf_limit=300).toPandas().set_index("vec_id").sort_index()
+    found = got["n_links"].to_numpy()
+    assert (found <= degree).all() and found.sum() >= 0.95 * degree.sum() and degree.sum() > 100_000
+    assert (got.loc[500:899, "component_id"] == got.loc[500, "component_id"]).all()
+
+
 def test_pipeline_stages_keep_columns_and_drop_what_they_reject(spark, tmp_path):
     import corpus_pipeline
 
