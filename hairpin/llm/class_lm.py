@@ -1,14 +1,15 @@
 """Scoring with a Brown class-based bigram model.
 
-Exchange clustering assigns frequent words to classes: it moves one word at a time to the class in which the
-likelihood of the class bigrams is best, until a sweep moves none. Other words belong to a class of their own kind by
-their last two bytes, so that every word of the corpus has a class that can be told from the word. A text's probability is the
-product over its tokens of P(class | previous class) and P(word | class), both with additive smoothing; a class keeps one share
-for words that were never seen. The end of a text is a token and a class of its own.
+Exchange clustering assigns words to classes. The CLUSTERED most frequent words are exchanged one at a time: a word moves to the class in
+which the likelihood of the class bigrams is best, until a sweep moves none or SWEEPS are over. All COMMON most frequent words, which make
+up most of a text, then join these classes in Spark, a bucket of words at a time: a word's counts with the classes before and after it are
+gathered, and it moves to the class under which its places in the corpus are likeliest, in BATCH_SWEEPS sweeps of all words at once. Rarer words belong
+to a class of their own kind by their last two bytes, so that every word of the corpus has a class that can be told from the
+word. A text's probability is the product over its tokens of P(class | previous class) and P(word | class), both with additive
+smoothing; a class keeps one share for words that were never seen. The end of a text is a token and a class of its own.
 
 Counts of words cover the whole training corpus: they are summed by bucket of the word's hash, and each
-document's words meet them there. Bounded sizes: CLUSTERED words are clustered into CLASSES classes, which with the transitions is what
-executors are sent.
+document's words meet them there. Bounded sizes: executors are sent COMMON words with their classes, and the transitions.
 
 Defined results: a null or empty text has one token, the end; long texts count whole; repeated rows count once each in
 training and get equal scores; ties between words of equal count go by hash; an empty table gives an empty table; without training
@@ -34,6 +35,9 @@ CLUSTERED = 2048
 CLASSES = 64
 SUFFIX_CLASSES = 64
 SWEEPS = 4
+BATCH_SWEEPS = 2
+#: Words of a bucket whose classes are chosen in one task.
+CHOSEN_WORDS = 4096
 #: Words whose counts are sent to all tasks, as they make up most tokens; the others are looked up by bucket.
 COMMON = 1 << 16
 #: Additive smoothing of transitions and emissions.
@@ -262,6 +266,56 @@ def exchange(pairs: np.ndarray, words: int, classes: int, sweeps: int = SWEEPS)
     return owner[:words]
 
 
+def best_class(before: np.ndarray, after: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """For words with these counts after and before each state, the class of the first CLASSES under which their places are likeliest."""
+    smooth = between + DELTA
+    into, out = np.log(smooth[:, :CLASSES] / smooth.sum(1, keepdims=True)), np.log(smooth[:CLASSES] / smooth[:CLASSES].sum(1, keepdims=True))
+    # a class of many tokens gives each of its words a lesser share
+    size = np.log(between[:, :CLASSES].sum(0) + 1)
+    return (before @ into + after @ out.T - before.sum(1, keepdims=True) * size).argmax(1)
+
+
+def _chosen(train: DataFrame, text: str, lexicon, state_of, between) -> dict[int, np.ndarray]:
+    """The classes chosen for the common words that training has, by bucket: pairs (number of the word, class)."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, states, total, waiting, size = lexicon.value, state_of.value, None, [], 0
+
+        def counted() -> tuple[np.ndarray, np.ndarray]:
+            found = np.unique(np.concatenate(waiting), return_counts=True)
+            return found if total is None else _add(total, found)
+
+        for _, texts in slices(batches, text):
+            _, word, state, first = _states(texts, words, states)
+            # what comes before is counted under the state, what comes after under the state and a bit
+            previous, following = _previous(state, first), np.concatenate([state[1:], [END]])
+            own = np.flatnonzero((word >= 0) & (state != END))
+            waiting += [word[own] << 9 | previous[own], word[own] << 9 | 256 | following[own]]
+            size += 2 * len(own)
+            if size > GATHERED:
+                total = counted()
+                waiting, size = [], 0
+        if size:
+            total = counted()
+        if total is not None:
+            names, cuts = np.unique((total[0] >> 9) // CHOSEN_WORDS, return_index=True)
+            rows = [(a.tobytes(), b.astype(np.int64).tobytes()) for a, b in zip(np.split(total[0], cuts[1:]), np.split(total[1], cuts[1:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "key", "c"])
+
+    def choose(table: pa.Table) -> pa.Table:
+        first = table.column("bucket")[0].as_py() * CHOSEN_WORDS
+        sides = np.zeros((CHOSEN_WORDS, 2, 256))
+        for key, c in zip(table.column("key").to_pylist(), table.column("c").to_pylist(), strict=True):
+            key = np.frombuffer(key, np.int64) - (first << 9)
+            sides.ravel()[key] += np.frombuffer(c, np.int64)
+        some = np.flatnonzero(sides.any((1, 2)))
+        found = best_class(sides[some, 0, :STATES], sides[some, 1, :STATES], between.value)
+        return pa.table({"word": pa.array([(first + some).astype(np.int64).tobytes()], pa.binary()), "state": pa.array([found.astype(np.int64).tobytes()], pa.binary())})
+
+    rows = train.select(text).mapInArrow(gather, "bucket int, key binary, c binary").groupBy("bucket").applyInArrow(choose, "word binary, state binary").collect()
+    return {i: np.stack([np.frombuffer(r["word"], np.int64), np.frombuffer(r["state"], np.int64)]) for i, r in enumerate(rows)}
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
     spark = docs.sparkSession
@@ -295,9 +349,21 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     group = np.concatenate([owner, np.arange(CLASSES, STATES)]).astype(np.int64)
     between = np.zeros((STATES, STATES))
     np.add.at(between, (group[:, None], group[None, :]), pairs)
+    # all common words, but for those exchanged one by one and the end
+    seeds = np.zeros(len(common_h), bool)
+    seeds[ranked] = True
+    for _ in range(BATCH_SWEEPS if is_word.sum() > n_words else 0):
+        before = state_of.copy()
+        for word, state in _chosen(train, text, lexicon, broadcast(state_of), broadcast(between)).values():
+            free = ~seeds[word]
+            state_of[word[free]] = state[free]
+        if (before == state_of).all():
+            break
+        between = _pair_counts(train, text, lexicon, broadcast(state_of), STATES)
     shift = np.log10((between + DELTA) / (between.sum(1, keepdims=True) + DELTA * STATES))
 
-    clustered = broadcast((common_h[ranked], owner))
+    placed = np.flatnonzero(state_of >= 0)
+    clustered = broadcast((common_h[placed], state_of[placed]))
     totals, kinds = _class_sizes(counts, clustered)
     n, v = int(totals.sum()), int(kinds.sum())
     # an end is certain once its class is

@@ -170,20 +170,58 @@ def test_the_cover_meets_every_difference():
     assert {(a - b) % p for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(p))
 
 
-def test_class_lm(docs, empty, corpus):
+def test_class_lm(docs, empty, corpus, monkeypatch):
+    # of about 400 words 100 are exchanged one by one and 200 more join their classes; scores are those of a plain model with the same classes
+    monkeypatch.setattr(class_lm, "CLUSTERED", 100)
+    monkeypatch.setattr(class_lm, "COMMON", 300)
+    kept = {}
+    monkeypatch.setattr(class_lm, "_class_sizes", lambda counts, clustered, real=class_lm._class_sizes: kept.update(zip(*[x.tolist() for x in clustered.value], strict=True)) or real(counts, clustered))
     token = lambda t: [*words(lower(t)), None]
     held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in corpus}
     c = Counter(w for d, t in corpus if not held[d] for w in token(t))
     n, v = sum(c.values()), len(c)
     got = {r.doc_id: r for r in class_lm.score(docs).collect()}
+    text = words(" ".join({w for _, t in corpus for w in words(lower(t))}))
+    h, suffix, _ = class_lm.tokens(texts_of(pa.array([" ".join(text)])))
+    state = {w: kept.get(int(x), int(s)) for w, x, s in zip(text, h.tolist(), suffix.tolist(), strict=True)} | {None: class_lm.END}
+    assert 200 < sum(s < class_lm.CLASSES for s in state.values()) <= 300
+    moves, totals, kinds = Counter(), Counter(), Counter()
+    for d, t in corpus:
+        if not held[d]:
+            states = [class_lm.END, *(state[w] for w in token(t))]
+            moves.update(zip(states[:-1], states[1:], strict=True))
+    for w, k in c.items():
+        totals[state[w]] += k
+        kinds[state[w]] += 1
+    out = Counter()
+    for (a, _), k in moves.items():
+        out[a] += k
+
+    def plain(t):
+        total, at = 0.0, class_lm.END
+        for w in token(t):
+            s = state[w]
+            total += math.log10((moves[at, s] + 0.1) / (out[at] + 0.1 * class_lm.STATES))
+            total += 0 if w is None else math.log10((c[w] + 0.1) / (totals[s] + 0.1 * (kinds[s] + 1)))
+            at = s
+        return total
+
     for d, t in corpus:
         w, r = token(t), got[d]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(w), sum(c[x] > 0 for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
-        assert r.score < 0
+        assert r.score == pytest.approx(plain(t))
     assert got[2].score == got[1].score and class_lm.score(empty).count() == 0
 
 
+def test_words_join_the_class_of_their_places():
+    between = np.full((class_lm.STATES, class_lm.STATES), 1.0)
+    between[3, 5] = between[5, 7] = 1000
+    before, after = np.zeros((2, class_lm.STATES)), np.zeros((2, class_lm.STATES))
+    before[0, 3], after[0, 7] = 4, 4
+    assert class_lm.best_class(before, after, between)[0] == 5
+
+
 def test_class_model_sums_to_one():
     """Over the next states the transitions, and over a class's words with the unknown one the emissions."""
     between = np.array([[3.0, 0], [1, 5]])
