@@ -359,6 +359,8 @@ TEXTS: dict[str, tuple[str, list[str]]] = {
         f"SELECT r.request_id, r.route_idx, round({hav('z.lat', 'z.lon', 'r.lat', 'r.lon')}, 2) AS start_m, round({hav('z.lat1', 'z.lon1', 'r.lat1', 'r.lon1')}, 2) AS end_m, greatest({hav('z.lat', 'z.lon', 'r.lat', 'r.lon')}, {hav('z.lat1', 'z.lon1', 'r.lat1', 'r.lon1')}) > 150 AS gap FROM rends r JOIN rends z ON z.request_id = r.request_id AND z.route_idx = 0",
         ["rends"],
     ),
+    "rescored_tiles": ("SELECT CAST(floor(lat) AS BIGINT) || '_' || CAST(floor(lon) AS BIGINT) AS tile, CASE WHEN bool_or(way_id % 50 = 0) THEN 2 ELSE 1 END AS versions FROM ft GROUP BY tile", ["ft"]),
+    "unique_segments": ("SELECT count(*) AS n FROM (SELECT DISTINCT way_id, lat, lon FROM seg JOIN kept USING (way_id))", ["seg", "kept"]),
     "tile_features": ("SELECT tier, count(*) AS n, round(sum(length), 1) AS length FROM seg JOIN kept USING (way_id) GROUP BY tier", ["seg", "kept"]),
 }
 

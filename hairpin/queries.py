@@ -358,6 +358,16 @@ def tile_features(spark: SparkSession, d: str) -> DataFrame:
     return tile_stream.replay(adapter.ways(spark, d))
 
 
+def rescored_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """How often a stream scores each tile when all tiles land twice, those of ways without a number divisible by 50 unchanged."""
+    w = adapter.ways(spark, d)
+    return tile_stream.replay_changes(w, w.withColumn("name", F.when(F.col("way_id") % 50 == 0, F.lit("renamed")).otherwise(F.col("name"))))
+
+
+def unique_segments(spark: SparkSession, d: str) -> DataFrame:
+    return tile_stream.replay_repeats(adapter.ways(spark, d))
+
+
 # --- records, tiles and single columns ---------------------------------------------------------------------------------
 
 
@@ -540,7 +550,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     way_assembly, hard_filter, drivable_ways, pipeline_counts, segment_scores, way_totals, way_ends, group_ways, name_groups, distinct_ways, merge_regions, find_ways, ways_in_box, ordered_ways,
     way_tiles, road_tiles, tile_status, new_tiles, locate_ways, way_speeds, name_scores, top_names, name_speeds, name_colours, route_faults, proximity_links, road_components, continuity, component_gaps,
     chained_ways, straight_splits, wobble_filter, tier_runs, tier_histogram, viewport_score, road_table, ranked_roads, top_roads, road_boxes, exported_ways, stage_report, group_detail, segment_features, road_features, road_kml, route_gpx,
-    route_stats, nearest_ways, route_quality, route_choice, route_comparison, route_boxes, corridor_segments, ride_waypoints, tile_features,
+    route_stats, nearest_ways, route_quality, route_choice, route_comparison, route_boxes, corridor_segments, ride_waypoints, tile_features, rescored_tiles, unique_segments,
     roads_in_box, overlay_roads, find_roads, pass_lines, ingest_count, tile_segments, road_spacing, tile_rings, region_order, stale_tiles, fresh_scores, kept_tiles, tiles_outside_box, loaded_tiles, status_counts,
     route_view, way_headings, circle_tiles, valid_points, route_durations, ride_cells, way_inspection, kml_entries, route_kml, leg_snaps,
 ]
