@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that deletes the shuffle files of an execution when it ends; by default they stay until the driver's garbage collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Where it is unset (one machine, as in tests) a folder in the warehouse."""
@@ -19,16 +24,32 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def _shuffled_once(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a plan of its own whose shuffle files go once it is written: what is read from then on is the written table."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        yield df.select("*")
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as computed now: later jobs read it from the shared folder, also when executors are lost."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffled_once(df) as own:
+        done = own.checkpoint(eager=True)
+    # a plan made under the session's own setting
+    return done.select("*")
 
 
 def store(df: DataFrame) -> DataFrame:
     """Like :func:`cut`, as a Parquet table: smaller, and read column by column."""
     path = f"{shared_folder(df.sparkSession)}/hairpin-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffled_once(df) as own:
+        own.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
