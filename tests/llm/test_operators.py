@@ -418,6 +418,29 @@ def test_language_id(spark, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def test_the_smallest_encoding_wins(spark):
+    """Every text against every dictionary in a plain loop, with the margin to the second smallest."""
+    import zstandard
+
+    made = [(t, lang) for k, (lang, letters) in enumerate([("xx", ["ba", "du", "ke"]), ("yy", ["ba", "ner", "vau"]), ("zz", ["du", "ner", "é"])]) for t in _speech(20 + k, letters, 40)]
+    made += [(made[0][0] + "\n" + made[50][0], None), (" -- ".join(t for t, _ in made[80:110]), None), ("ba", None), ("é", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(made)], "doc_id long, text string, lang string")
+    learned = language_id.train(df)
+    params = zstandard.ZstdCompressionParameters(**language_id.COMPRESSION)
+    narrow = 0
+    for r in language_id.predict(df, learned).collect():
+        raw = re.sub(r"[\W\d_]+", " ", r.text).strip().lower().encode()
+        sizes = []
+        for lang, content in learned.items():
+            known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known.precompute_compress(compression_params=params)
+            sizes.append((sum(len(zstandard.ZstdCompressor(dict_data=known, compression_params=params).compress(raw[i : i + language_id.BLOCK_BYTES])) for i in range(0, len(raw), language_id.BLOCK_BYTES)), lang))
+        (best, lang), (second, _) = sorted(sizes, key=lambda x: x[0])[:2]
+        assert (r.lang_pred, r.accepted) == (lang, (second - best) / best >= language_id.MIN_MARGIN) and r.margin == pytest.approx((second - best) / best)
+        narrow += not r.accepted
+    assert narrow and max(len(t) for t, _ in made) > 2 * language_id.BLOCK_BYTES
+
+
 def test_copies_and_shared_heads_leave_no_language_unlearned(spark):
     head = "same head of all pages " * 60
     rows = [("aa", "abc abd acd " * 20 + "bcd"), ("aa", "dab cab bad " * 20)] * 3000 + [("bb", head + f"xyz zyx {'xz' * k} yxz zzy " * 50) for k in range(1, 9)] + [("cc", "né"), ("cc", "12 34")]
@@ -450,6 +473,38 @@ def test_quality_classifier(spark, empty):
     assert {r.score for r in none} == {0.5}
 
 
+def test_scores_are_those_of_a_plain_learner(spark):
+    """Follow-the-regularised-leader updates one feature at a time, over dictionaries keyed by the words themselves."""
+    from pyspark.sql import functions as F
+
+    q, rng = quality_classifier, random.Random(8)
+    texts = [" ".join(rng.choice(["An", "de", "ro", "$$", "zap", "mi"]) for _ in range(rng.randint(0, 12))) for _ in range(80)]
+    df = spark.createDataFrame([(t, int("zap" not in t)) for t in texts], "text string, label int")
+    z, n = defaultdict(float), defaultdict(float)
+
+    def vector(text):
+        own = words(lower(text))
+        count = Counter(own) + Counter(zip(own, own[1:], strict=False))
+        return {None: 1.0} | {k: math.sqrt(c / count.total()) for k, c in count.items()}
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= q.L1 else (math.copysign(q.L1, z[k]) - z[k]) / ((q.BETA + math.sqrt(n[k])) / q.ALPHA + q.L2)
+
+    def probability(x):
+        return 1 / (1 + math.exp(-sum(weight(k) * v for k, v in x.items())))
+
+    order = df.distinct().orderBy(F.xxhash64("text", F.lit(11)), "label").collect()
+    for r in order * 8:
+        x = vector(r.text)
+        error, before = probability(x) - r.label, {k: weight(k) for k in x}
+        for k, v in x.items():
+            after = n[k] + (error * v) ** 2
+            z[k] += error * v - (math.sqrt(after) - math.sqrt(n[k])) / q.ALPHA * before[k]
+            n[k] = after
+    got = {r.text: r.score for r in q.score(df, q.train(df)).collect()}
+    assert all(got[t] == pytest.approx(probability(vector(t)), abs=1e-3) for t in texts) and len(set(got.values())) > 20
+
+
 def test_features_are_lengths_of_one():
     first, feature, value = quality_classifier.features(texts_of(pa.array(["a b a b", None, "Zz"])))
     assert np.diff(first).tolist() == [5, 1, 2] and (feature[first[:-1]] == 0).all()
