@@ -81,6 +81,63 @@ def _split(base: str) -> str:
 
 
 #: name -> (text, the parts that it needs)
+RADIUS_M, BUDGET_S, RIDE_MPS = 30000, 5400.0, 35.0 * 1609.34 / 3600.0
+OFF = adiff("axis", "bearing")
+
+
+def draw(*parts: str) -> str:
+    """48 bits of a hash of the parts as a whole number."""
+    return f"CAST('0x' || left(sha256({" || '/' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)}), 12) AS BIGINT)"
+
+
+def cell_of(lat: str, lon: str) -> str:
+    return f"(CAST(floor(({lat} - olat) * 111000.0 / 500.0) AS BIGINT) * 4294967296 + CAST(floor(({lon} - olon) * 111000.0 * cos(radians(olat)) / 500.0) AS BIGINT))"
+
+
+def path_of(lat: str, lon: str, to_lat: str, to_lon: str, rows: str) -> str:
+    """``rows`` with path: the cells of points from one place to another."""
+    d = "(way * i / steps / 6371000.0)"
+    la = f"radians({lat})"
+    lb = f"asin(sin({la}) * cos({d}) + cos({la}) * sin({d}) * cos(radians(hd)))"
+    lo = f"degrees(radians({lon}) + atan2(sin(radians(hd)) * sin({d}) * cos({la}), cos({d}) - sin({la}) * sin({lb})))"
+    return f"""SELECT *, list_transform(range(0, steps + 1), lambda i: CASE WHEN i = 0 THEN {cell_of(lat, lon)} ELSE {cell_of(f"degrees({lb})", lo)} END) AS path FROM (
+      SELECT *, greatest(CAST(floor(way / 250.0) AS BIGINT), 1) AS steps FROM (SELECT *, {hav(lat, lon, to_lat, to_lon)} AS way, {brg(lat, lon, to_lat, to_lon)} AS hd FROM ({rows})))"""
+
+
+def moved_by(rows: str) -> str:
+    """The state of rides after the roads that ``rows`` chose."""
+    return f"""SELECT request_id, step, group_key, sub_index, rev AS reversed, olat, olon, xlat AS clat, xlon AS clon, used + connector + seconds AS used, {brg('clat', 'clon', 'xlat', 'xlon')} AS heading,
+      list_distinct(list_concat(driven, list_concat(line, path))) AS driven, list_append(taken, group_key || '/' || sub_index) AS taken
+      FROM (SELECT x.*, CASE WHEN rev THEN flat ELSE llat END AS xlat, CASE WHEN rev THEN flon ELSE llon END AS xlon, list_transform(pts, lambda p: {cell_of('p.lat', 'p.lon')}) AS line
+        FROM (SELECT *, {hav('clat', 'clon', 'llat', 'llon')} < {hav('clat', 'clon', 'flat', 'flon')} AS rev FROM ({rows})) x JOIN rline ON rline.group_key = x.group_key AND rline.sub_index = x.sub_index)"""
+
+
+def _rides() -> str:
+    to = {k: hav("clat", "clon", f"{k}lat", f"{k}lon") for k in "mflo"}
+    near = f"""SELECT s.*, w.step + 1 AS step, w.clat, w.clon, w.used, w.heading, w.driven, w.taken FROM ridewalk w JOIN cand s ON s.request_id = w.request_id
+      WHERE w.used < 0.85 * {BUDGET_S} AND NOT list_contains(w.taken, s.group_key || '/' || s.sub_index)"""
+    near = f"SELECT *, {to['m']} AS to_m, {to['f']} AS to_f, {to['l']} AS to_l, {to['o']} AS to_o, used <= 0.4 * {BUDGET_S} AS out FROM ({near})"
+    near = f"SELECT *, least(to_m, to_f, to_l) / {RIDE_MPS} AS connector, CASE WHEN to_l < to_f THEN {hav('flat', 'flon', 'olat', 'olon')} ELSE {hav('llat', 'llon', 'olat', 'olon')} END / {RIDE_MPS} AS home, {brg('olat', 'olon', 'clat', 'clon')} AS gone FROM ({near})"
+    near = f"SELECT * FROM ({near}) WHERE NOT (out AND (away < 0.8 * to_o OR (to_o > 500 AND {adiff('gone', 'bearing')} > 120))) AND used + connector + seconds + home <= {BUDGET_S}"
+    near = f"SELECT *, (mod(hd - heading + 540.0, 360.0) - 180.0) * sweep AS delta, len(list_filter(path, lambda c: list_contains(driven, c))) / len(path) AS overlap FROM ({path_of('clat', 'clon', 'mlat', 'mlon', near)})"
+    score = "ps / (1 + ln(1 + connector)) * CASE WHEN delta < 0 THEN 0.3 ELSE 1 + 0.5 * exp(-delta / 30) END * (1 - 0.7 * overlap) * CASE WHEN NOT out AND to_o > 0 THEN greatest(1 + (to_o - away) / to_o, 0.5) ELSE 1 END"
+    best = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(ln(greatest({score}, 1e-300)), 9) DESC, group_key, sub_index) AS r FROM ({near})) WHERE r = 1"
+    first = f"SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(ln(greatest(1 / CASE WHEN away = 0 THEN 1 ELSE away END * (1 + cos(radians({OFF}))), 1e-300)), 9) DESC, group_key, sub_index) AS r FROM cand"
+    first = f"SELECT *, CAST(0 AS BIGINT) AS step, olat AS clat, olon AS clon, 0.0::DOUBLE AS used, 0.0::DOUBLE AS connector, CAST([] AS BIGINT[]) AS driven, CAST([] AS VARCHAR[]) AS taken FROM ({first}) WHERE r = 1"
+    return f"{moved_by(path_of('clat', 'clon', 'mlat', 'mlon', first))} UNION ALL {moved_by(best)}"
+
+
+def _sector(rungs: list[int], enough: int, last: str) -> str:
+    """Rows of ``elig`` with an axis, within the narrowest arc that holds enough."""
+    arc = " ".join(f"WHEN count(*) FILTER ({OFF} <= {a / 2}) OVER (PARTITION BY request_id) >= {enough} THEN {a}" for a in rungs)
+    return f"SELECT * FROM (SELECT *, CASE {arc} ELSE {last} END AS arc FROM (SELECT *, {draw('seed', "'axis'")} / 281474976710656.0 * 360.0 AS axis FROM elig)) WHERE {OFF} <= arc / 2"
+
+
+LOT = f"ln(({draw('seed', 'group_key', 'sub_index')} + 1.0) / 281474976710657.0) / ps"
+LOBE_SIDE = "mod(bearing - axis + 540.0, 360.0) - 180.0 < 0"
+DENSE_KEY = "CAST(trunc(lat * 10000) AS BIGINT) || '_' || CAST(trunc(lon * 10000) AS BIGINT)"
+
+
 PARTS: dict[str, tuple[str, list[str]]] = {
     "nodes": (adapter.NODES_SQL.format(lineitem="lineitem", orders="orders"), []),
     "tag": (adapter.TAGS_SQL.format(orders="orders"), []),
@@ -161,6 +218,36 @@ PARTS: dict[str, tuple[str, list[str]]] = {
     "label": ("SELECT *, CASE WHEN sub_index > 0 THEN group_key || ' (' || CAST(sub_index + 1 AS VARCHAR) || ')' ELSE group_key END AS name FROM road", ["road"]),
     "good": ("SELECT * FROM label WHERE ps >= 100 AND l >= 1609 AND CASE WHEN l <= 0 THEN 0 WHEN tagged <= 0 THEN 1 ELSE passing / tagged END >= 0.5", ["label"]),
     "rseg": ("SELECT r.sub_index, r.name, p.* FROM rpiece p JOIN label r ON r.group_key = p.group_key AND r.component = p.component AND r.chunk = p.chunk AND r.piece = p.piece WHERE NOT p.none", ["rpiece", "label"]),
+    "rnum": ("SELECT group_key, sub_index, lat, lon, lat1, lon1, length, row_number() OVER (PARTITION BY group_key, sub_index ORDER BY idx) - 1 AS i, count(*) OVER (PARTITION BY group_key, sub_index) AS n FROM rseg", ["rseg"]),
+    "rfeat": (
+        "SELECT r.group_key, r.sub_index, ps, l, arg_min(lat, i) AS flat, arg_min(lon, i) AS flon, arg_max(lat1, i) AS llat, arg_max(lon1, i) AS llon, max((lat + lat1) / 2) FILTER (i = n // 2) AS mlat, max((lon + lon1) / 2) FILTER (i = n // 2) AS mlon FROM rnum s JOIN road r ON r.group_key = s.group_key AND r.sub_index = s.sub_index WHERE ps > 0 AND l >= 500 GROUP BY ALL",
+        ["rnum", "road"],
+    ),
+    "rline": ("SELECT group_key, sub_index, list_concat(list({'lat': lat, 'lon': lon}), list({'lat': lat1, 'lon': lon1})) AS pts FROM rnum GROUP BY group_key, sub_index", ["rnum"]),
+    "ask": ("SELECT c_custkey AS request_id, 35.0::DOUBLE + (c_custkey % 50) * 0.2::DOUBLE AS olat, -85.0::DOUBLE + (c_custkey // 50) * 0.2::DOUBLE AS olon, c_custkey * 31 AS seed FROM customer", []),
+    "elig": (f"SELECT *, {brg('olat', 'olon', 'mlat', 'mlon')} AS bearing FROM (SELECT *, {hav('olat', 'olon', 'mlat', 'mlon')} AS away FROM ask JOIN rfeat ON abs(olat - mlat) < 0.3) WHERE away <= {RADIUS_M}", ["ask", "rfeat"]),
+    "lot": (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {LOT} DESC, group_key, sub_index) AS r FROM elig) WHERE r <= 4", ["elig"]),
+    "lobe": (
+        f"SELECT *, {LOBE_SIDE} AS lft, count(*) FILTER ({LOBE_SIDE}) OVER (PARTITION BY request_id) AS nl, count(*) OVER (PARTITION BY request_id) AS na FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {LOT} DESC, group_key, sub_index) AS r FROM ({_sector([90, 120, 150, 180], 4, '360')})) WHERE r <= 4",
+        ["elig"],
+    ),
+    "lobes": ("SELECT *, nl > 0 AND nl < na AND lft <> (nl >= na - nl) AS back FROM lobe", ["lobe"]),
+    "cand": (f"SELECT *, l / {RIDE_MPS} AS seconds, CASE WHEN {draw('seed', "'sweep'")} / 281474976710656.0 < 0.5 THEN -1 ELSE 1 END AS sweep FROM ({_sector(list(range(120, 361, 30)), 3, '360')})", ["elig"]),
+    "ridewalk": (_rides(), ["cand", "rline"]),
+    "duewalk": (
+        "SELECT group_key, sub_index, i, n, lat1, lon1, length >= 2000 AS due, CASE WHEN length >= 2000 THEN 0.0 ELSE length END AS m FROM rnum WHERE i = 0 UNION ALL SELECT s.group_key, s.sub_index, s.i, s.n, s.lat1, s.lon1, w.m + s.length >= 2000, CASE WHEN w.m + s.length >= 2000 THEN 0.0 ELSE w.m + s.length END FROM duewalk w JOIN rnum s ON s.group_key = w.group_key AND s.sub_index = w.sub_index AND s.i = w.i + 1",
+        ["rnum"],
+    ),
+    "dpt": (
+        f"SELECT *, {DENSE_KEY} AS k, row_number() OVER (PARTITION BY group_key ORDER BY sub_index, kind, i) AS o FROM (SELECT group_key, sub_index, 0 AS kind, i, lat, lon FROM rnum WHERE i = 0 UNION ALL SELECT group_key, sub_index, 1, i, lat1, lon1 FROM duewalk WHERE due UNION ALL SELECT group_key, sub_index, 2, i, lat1, lon1 FROM rnum WHERE i = n - 1)",
+        ["rnum", "duewalk"],
+    ),
+    "dwalk": (
+        f"""SELECT group_key, o, lat, lon, true AS keep, lat AS klat, lon AS klon, [k] AS seen FROM dpt WHERE o = 1 UNION ALL
+        SELECT group_key, o, lat, lon, keep, CASE WHEN keep THEN lat ELSE klat END, CASE WHEN keep THEN lon ELSE klon END, CASE WHEN keep THEN list_append(seen, k) ELSE seen END FROM (
+          SELECT p.group_key, p.o, p.lat, p.lon, p.k, w.klat, w.klon, w.seen, {hav('w.klat', 'w.klon', 'p.lat', 'p.lon')} > 100 AND NOT list_contains(w.seen, p.k) AS keep FROM dwalk w JOIN dpt p ON p.group_key = w.group_key AND p.o = w.o + 1)""",
+        ["dpt"],
+    ),
     "flat": ("SELECT *, row_number() OVER (PARTITION BY road ORDER BY way_id, seg_idx) - 1 AS idx FROM seg", ["seg"]),
     "route": (adapter.ROUTES_SQL.format(nodes="nodes"), ["nodes"]),
     "rp": ("SELECT request_id, CAST(route_idx AS BIGINT) AS route_idx, pt_idx, lat7 / 1e7 AS lat, lon7 / 1e7 AS lon FROM route", ["route"]),
@@ -359,6 +446,10 @@ TEXTS: dict[str, tuple[str, list[str]]] = {
         f"SELECT r.request_id, r.route_idx, round({hav('z.lat', 'z.lon', 'r.lat', 'r.lon')}, 2) AS start_m, round({hav('z.lat1', 'z.lon1', 'r.lat1', 'r.lon1')}, 2) AS end_m, greatest({hav('z.lat', 'z.lon', 'r.lat', 'r.lon')}, {hav('z.lat1', 'z.lon1', 'r.lat1', 'r.lon1')}) > 150 AS gap FROM rends r JOIN rends z ON z.request_id = r.request_id AND z.route_idx = 0",
         ["rends"],
     ),
+    "ride_waypoints": ("SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY bearing, group_key, sub_index) AS INTEGER) AS stop, group_key, CAST(sub_index AS INTEGER) AS sub_index, round(bearing, 3) AS bearing, round(away, 1) AS away_m FROM lot", ["lot"]),
+    "sector_lobes": ("SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY back, CASE WHEN back THEN -away ELSE away END, group_key, sub_index) AS INTEGER) AS stop, group_key, CAST(sub_index AS INTEGER) AS sub_index, round(bearing, 3) AS bearing, round(away, 1) AS away_m FROM lobes", ["lobes"]),
+    "ride_chains": ("SELECT request_id, step, group_key, sub_index, reversed, round(used, 1) AS used FROM ridewalk", ["ridewalk"]),
+    "dense_stops": ("SELECT group_key, row_number() OVER (PARTITION BY group_key ORDER BY o) - 1 AS stop, round(lat, 7) AS lat, round(lon, 7) AS lon FROM dwalk WHERE keep", ["dwalk"]),
     "rescored_tiles": ("SELECT CAST(floor(lat) AS BIGINT) || '_' || CAST(floor(lon) AS BIGINT) AS tile, CASE WHEN bool_or(way_id % 50 = 0) THEN 2 ELSE 1 END AS versions FROM ft GROUP BY tile", ["ft"]),
     "unique_segments": ("SELECT count(*) AS n FROM (SELECT DISTINCT way_id, lat, lon FROM seg JOIN kept USING (way_id))", ["seg", "kept"]),
     "tile_features": ("SELECT tier, count(*) AS n, round(sum(length), 1) AS length FROM seg JOIN kept USING (way_id) GROUP BY tier", ["seg", "kept"]),

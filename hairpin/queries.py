@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hairpin.functions import geo, tags
-from hairpin.operators import assemble, export, rank, routes, segments, waypoints
+from hairpin.operators import assemble, export, rank, rides, routes, segments, waypoints
 from hairpin.operators import ways as way_ops
 from hairpin.plans import adapter, reports, roads
-from hairpin.plans.lineage import cut
+from hairpin.plans.lineage import cut, discard, store
 from hairpin.sources import osm, routing, tiles
 from hairpin.streaming import tiles as tile_stream
 
@@ -353,6 +353,36 @@ def ride_waypoints(spark: SparkSession, d: str) -> DataFrame:
     return waypoints.sampled(waypoints.requests_of(spark.read.parquet(f"{d}/customer.parquet")), t)
 
 
+def sector_lobes(spark: SparkSession, d: str) -> DataFrame:
+    """Waypoints of a lobe for each customer's request."""
+    t = store(roads.road_table(adapter.ways(spark, d)))
+    return waypoints.lobe(waypoints.requests_of(spark.read.parquet(f"{d}/customer.parquet")), t)
+
+
+def _chained(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = store(roads.road_table(adapter.ways(spark, d)))
+    return rides.chains(waypoints.requests_of(spark.read.parquet(f"{d}/customer.parquet")), t), t
+
+
+def ride_chains(spark: SparkSession, d: str) -> DataFrame:
+    """The roads of a ride of an hour and a half for each customer."""
+    picks, t = _chained(spark, d)
+    discard(t)
+    return picks.select("request_id", _long("step"), "group_key", _long("sub_index"), "reversed", _r("used", 1).alias("used"))
+
+
+def ride_stops(spark: SparkSession, d: str) -> DataFrame:
+    """Dense waypoints of the same rides."""
+    s = rides.stops(*_chained(spark, d))
+    return s.select("request_id", "stop", _r("lat", 7).alias("lat"), _r("lon", 7).alias("lon"))
+
+
+def dense_stops(spark: SparkSession, d: str) -> DataFrame:
+    """Dense waypoints along all roads of each group, one after the other."""
+    t = roads.road_table(adapter.ways(spark, d)).select("group_key", F.col("sub_index").alias("step"), "segments")
+    return waypoints.dense(t, "group_key").select("group_key", "stop", _r("lat", 7).alias("lat"), _r("lon", 7).alias("lon"))
+
+
 def tile_features(spark: SparkSession, d: str) -> DataFrame:
     """Ways written as tile documents, streamed through scoring, and counted by tile."""
     return tile_stream.replay(adapter.ways(spark, d))
@@ -550,7 +580,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     way_assembly, hard_filter, drivable_ways, pipeline_counts, segment_scores, way_totals, way_ends, group_ways, name_groups, distinct_ways, merge_regions, find_ways, ways_in_box, ordered_ways,
     way_tiles, road_tiles, tile_status, new_tiles, locate_ways, way_speeds, name_scores, top_names, name_speeds, name_colours, route_faults, proximity_links, road_components, continuity, component_gaps,
     chained_ways, straight_splits, wobble_filter, tier_runs, tier_histogram, viewport_score, road_table, ranked_roads, top_roads, road_boxes, exported_ways, stage_report, group_detail, segment_features, road_features, road_kml, route_gpx,
-    route_stats, nearest_ways, route_quality, route_choice, route_comparison, route_boxes, corridor_segments, ride_waypoints, tile_features, rescored_tiles, unique_segments,
+    route_stats, nearest_ways, route_quality, route_choice, route_comparison, route_boxes, corridor_segments, ride_waypoints, sector_lobes, ride_chains, ride_stops, dense_stops, tile_features, rescored_tiles, unique_segments,
     roads_in_box, overlay_roads, find_roads, pass_lines, ingest_count, tile_segments, road_spacing, tile_rings, region_order, stale_tiles, fresh_scores, kept_tiles, tiles_outside_box, loaded_tiles, status_counts,
     route_view, way_headings, circle_tiles, valid_points, route_durations, ride_cells, way_inspection, kml_entries, route_kml, leg_snaps,
 ]
