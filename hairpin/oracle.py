@@ -294,7 +294,7 @@ def _norm(c: str) -> str:
 _inside = lambda a, b: f"({a} BETWEEN {S} AND {N} AND {b} BETWEEN {W} AND {E})"
 
 #: name -> (text, the parts that it needs)
-TEXTS: dict[str, tuple[str, list[str]]] = {
+TEXTS: dict[str, tuple] = {
     "way_assembly": ("SELECT tag.way_id, count(node_idx) AS n_nodes, arg_min(lat, node_idx) AS first_lat, arg_max(lon, node_idx) AS last_lon FROM tag LEFT JOIN n ON n.way_id = tag.way_id GROUP BY tag.way_id", ["tag", "n"]),
     "hard_filter": ("SELECT way_id, highway FROM kept", ["kept"]),
     "drivable_ways": (f"SELECT highway, count(*) AS n FROM tag WHERE highway IN ({', '.join(repr(h) for h in tags.DRIVABLE)}) GROUP BY highway", ["tag"]),
@@ -450,26 +450,45 @@ TEXTS: dict[str, tuple[str, list[str]]] = {
     "sector_lobes": ("SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY back, CASE WHEN back THEN -away ELSE away END, group_key, sub_index) AS INTEGER) AS stop, group_key, CAST(sub_index AS INTEGER) AS sub_index, round(bearing, 3) AS bearing, round(away, 1) AS away_m FROM lobes", ["lobes"]),
     "ride_chains": ("SELECT request_id, step, group_key, sub_index, reversed, round(used, 1) AS used FROM ridewalk", ["ridewalk"]),
     "dense_stops": ("SELECT group_key, row_number() OVER (PARTITION BY group_key ORDER BY o) - 1 AS stop, round(lat, 7) AS lat, round(lon, 7) AS lon FROM dwalk WHERE keep", ["dwalk"]),
+    "refreshed_roads": (
+        "SELECT group_key, n_ways, round(s, 2) AS total_score, round(l, 2) AS total_length FROM road",
+        ["road"],
+        {
+            "tag0": PARTS["tag"],
+            "tag": (
+                "SELECT t.way_id, CASE WHEN h % 7 = 0 THEN name || ' (new)' ELSE name END AS name, CAST(NULL AS VARCHAR) AS ref, highway, surface, access, oneway, maxspeed FROM tag0 t LEFT JOIN (SELECT way_id, CAST(floor(lat7 / 1e7) * 31 + floor(lon7 / 1e7) AS BIGINT) AS h FROM nodes WHERE node_idx = 0) f ON f.way_id = t.way_id WHERE coalesce(h % 11, 1) <> 0",
+                ["tag0", "nodes"],
+            ),
+        },
+    ),
+    "tile_feed": (
+        "WITH t AS (SELECT lat_idx, lon_idx, min(way_id) AS w FROM wt GROUP BY lat_idx, lon_idx), s AS (SELECT 0 AS batch, 'pending' AS status FROM t UNION ALL SELECT 1, CASE w % 4 WHEN 0 THEN 'cached' WHEN 1 THEN 'failed' ELSE 'pending' END FROM t UNION ALL SELECT 2, CASE WHEN w % 4 = 0 THEN 'cached' WHEN w % 8 = 5 THEN 'failed' ELSE 'pending' END FROM t) SELECT CAST(batch AS BIGINT) AS batch, status, count(*) AS n FROM s GROUP BY ALL",
+        ["wt"],
+    ),
     "rescored_tiles": ("SELECT CAST(floor(lat) AS BIGINT) || '_' || CAST(floor(lon) AS BIGINT) AS tile, CASE WHEN bool_or(way_id % 50 = 0) THEN 2 ELSE 1 END AS versions FROM ft GROUP BY tile", ["ft"]),
     "unique_segments": ("SELECT count(*) AS n FROM (SELECT DISTINCT way_id, lat, lon FROM seg JOIN kept USING (way_id))", ["seg", "kept"]),
     "tile_features": ("SELECT tier, count(*) AS n, round(sum(length), 1) AS length FROM seg JOIN kept USING (way_id) GROUP BY tier", ["seg", "kept"]),
 }
 
 
-def _sql(text: str, parts: list[str]) -> str:
-    order: list[str] = []
+def _sql(text: str, parts: list[str], other: dict[str, tuple[str, list[str]]] | None = None) -> str:
+    """The query with the parts that it needs; ``other`` parts stand in for those of the same name."""
+    known, order = PARTS | (other or {}), []
 
     def add(name: str) -> None:
         if name not in order:
-            for other in PARTS[name][1]:
-                add(other)
+            for one in known[name][1]:
+                add(one)
             order.append(name)
 
     for p in parts:
         add(p)
     if not order:
         return text
-    return f"WITH {'RECURSIVE ' if {'reach', 'fwalk'} & {*order} else ''}{', '.join(f'{p} AS ({PARTS[p][0]})' for p in order)} {text}"
+    if text.startswith("WITH "):
+        text = text.removeprefix("WITH ")
+        return f"WITH {', '.join(f'{p} AS ({known[p][0]})' for p in order)}, {text}"
+    return f"WITH {'RECURSIVE ' if {'reach', 'fwalk'} & {*order} else ''}{', '.join(f'{p} AS ({known[p][0]})' for p in order)} {text}"
 
 
 def oracle_sql() -> dict[str, str]:

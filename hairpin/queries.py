@@ -13,6 +13,7 @@ from hairpin.operators import ways as way_ops
 from hairpin.plans import adapter, reports, roads
 from hairpin.plans.lineage import cut, discard, store
 from hairpin.sources import osm, routing, tiles
+from hairpin.streaming import roads as road_stream
 from hairpin.streaming import tiles as tile_stream
 
 TWIST = 0.6
@@ -398,6 +399,32 @@ def unique_segments(spark: SparkSession, d: str) -> DataFrame:
     return tile_stream.replay_repeats(adapter.ways(spark, d))
 
 
+def refreshed_roads(spark: SparkSession, d: str) -> DataFrame:
+    """The road table that a stream keeps while tiles land: all, then every seventh again with every way of another name, then every eleventh
+    without any way."""
+    w = adapter.ways(spark, d)
+    w = w.withColumn("ref", F.lit(None).cast("string"))
+    first = F.get("geometry", F.lit(0))
+    i, j = geo.cell(first.lat, 1.0), geo.cell(first.lon, 1.0)
+    tile = F.concat_ws("_", i, j)
+    tiled = w.where(F.size("geometry") > 0).withColumn("t", tile)
+    some = lambda n: F.pmod(i * 31 + j, F.lit(n)) == 0
+    renamed = tiled.where(some(7)).withColumn("name", F.concat("name", F.lit(" (new)")))
+    emptied = tiled.where(some(11)).select(F.col("t").alias("tile_key")).distinct()
+    t = road_stream.replay_refresh([(tiled.drop("t"), None), (renamed.drop("t"), None), (tiled.where("false").drop("t"), emptied)], tile, roads.road_table)
+    return t.select("group_key", F.size("way_ids").cast("long").alias("n_ways"), _r("total_score", 2).alias("total_score"), _r("total_length", 2).alias("total_length"))
+
+
+def tile_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of tiles by status while events of the ways' tiles stream in: all asked for, then some loaded or failed, then failed ones asked
+    for again."""
+    t = way_tiles(spark, d).groupBy("lat_idx", "lon_idx").agg(F.min("way_id").alias("w"))
+    event = lambda rows, kind, seq: rows.select("lat_idx", "lon_idx", F.lit(kind).alias("kind"), F.lit(seq).cast("long").alias("seq"))
+    asked, loaded, failed = event(t, "requested", 0), event(t.where("w % 4 = 0"), "loaded", 1), event(t.where("w % 4 = 1"), "failed", 1)
+    again = event(t.where("w % 8 = 1 OR w % 8 = 4"), "requested", 2)
+    return road_stream.replay_status([asked, loaded.unionByName(failed), again])
+
+
 # --- records, tiles and single columns ---------------------------------------------------------------------------------
 
 
@@ -580,7 +607,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     way_assembly, hard_filter, drivable_ways, pipeline_counts, segment_scores, way_totals, way_ends, group_ways, name_groups, distinct_ways, merge_regions, find_ways, ways_in_box, ordered_ways,
     way_tiles, road_tiles, tile_status, new_tiles, locate_ways, way_speeds, name_scores, top_names, name_speeds, name_colours, route_faults, proximity_links, road_components, continuity, component_gaps,
     chained_ways, straight_splits, wobble_filter, tier_runs, tier_histogram, viewport_score, road_table, ranked_roads, top_roads, road_boxes, exported_ways, stage_report, group_detail, segment_features, road_features, road_kml, route_gpx,
-    route_stats, nearest_ways, route_quality, route_choice, route_comparison, route_boxes, corridor_segments, ride_waypoints, sector_lobes, ride_chains, ride_stops, dense_stops, tile_features, rescored_tiles, unique_segments,
+    route_stats, nearest_ways, route_quality, route_choice, route_comparison, route_boxes, corridor_segments, ride_waypoints, sector_lobes, ride_chains, ride_stops, dense_stops, tile_features, rescored_tiles, unique_segments, refreshed_roads, tile_feed,
     roads_in_box, overlay_roads, find_roads, pass_lines, ingest_count, tile_segments, road_spacing, tile_rings, region_order, stale_tiles, fresh_scores, kept_tiles, tiles_outside_box, loaded_tiles, status_counts,
     route_view, way_headings, circle_tiles, valid_points, route_durations, ride_cells, way_inspection, kml_entries, route_kml, leg_snaps,
 ]

@@ -59,17 +59,6 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def refresh_groups(segments_path: str, out: str, recompute):
-    """A foreachBatch function: recomputes the groups that a batch touches from the whole segment table and replaces their partitions."""
-
-    def run(batch: DataFrame, _: int) -> None:
-        keys = batch.select("group_key").distinct()
-        rows = batch.sparkSession.read.parquet(segments_path).join(keys, "group_key", "left_semi")
-        recompute(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("group_key").parquet(out)
-
-    return run
-
-
 def write_documents(ways: DataFrame, path: str, tile_degrees: float = 1.0) -> None:
     """One document for each tile, of the ways whose first node is in it."""
     first = F.get("geometry", F.lit(0))
