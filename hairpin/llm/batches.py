@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes that a task turns into arrays at once; arrays of a word a byte then stay within a processor's cache.
 SLICE_BYTES = 512 << 10
@@ -84,6 +86,39 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: _Po
     return mix((prefix[end] - prefix[start]) * base.down[start] + (end - start).astype(_U))
 
 
+#: From this length on, bytes are hashed as they are. Sums of powers modulo 2^64 have collisions by construction, whatever the base, which
+#: take some thousand bytes.
+LONG_SPAN = 512
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: _Powers = BASE) -> np.ndarray:
+    """64-bit hashes of data[start:end]; equal bytes have equal hashes. Those of long spans are BLAKE2 digests."""
+    h = range_hash(prefix_hash(data, base), start, end, base)
+    for i in np.flatnonzero(end - start >= LONG_SPAN).tolist():
+        own = data[start[i] : end[i]].tobytes()
+        h[i] = int.from_bytes(blake2b(own, digest_size=8, salt=base.base.to_bytes(8, "little")).digest(), "little")
+    return h
+
+
+def with_fields(schema: StructType, more: str) -> StructType:
+    """``schema`` with further fields: no name is quoted, so any name will do."""
+    return StructType([*schema.fields, *StructType.fromDDL(more).fields])
+
+
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def map_texts(docs: DataFrame, text: str, more: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``docs`` with the fields ``more``, which replace columns so named. ``run`` takes batches of (row, text) and gives (row, fields): the columns
+    travel as one, so that their names, dots in them included, are in nobody's way."""
+    new = StructType.fromDDL(more)
+    columns = [c for c in docs.columns if c not in new.names]
+    packed = docs.select(F.struct(*[F.col(quoted(c)).alias(c) for c in columns]).alias("row"), F.col(quoted(text)).alias("text"))
+    out = packed.mapInArrow(run, with_fields(StructType([packed.schema["row"]]), more))
+    return out.select(*[F.col("row")[c].alias(c) for c in columns], *new.names)
+
+
 @dataclass
 class Texts:
     """Consecutive documents: their bytes and the n + 1 offsets between them."""
@@ -162,6 +197,18 @@ def arrow_rows(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextlib.contextmanager
+def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Like :func:`arrow_rows` for what is run within; the session's setting is as before afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    arrow_rows(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def held_out(doc_id: str, folds: int, fold: int = 0):
     """True where crc32(doc_id as text) mod folds is fold; a null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(True))

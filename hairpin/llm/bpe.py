@@ -16,14 +16,14 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from hairpin.llm.batches import Texts, arrow_rows, prefix_hash, range_hash, slices
+from hairpin.llm.batches import Texts, arrow_rows, map_texts, slices, span_hashes
 
 #: Tree entries that are merged at once.
 TREE_ENTRIES = 1 << 20
@@ -44,6 +44,7 @@ class Vocabulary:
     """Merges, ids and token strings of a tokenizers file with a BPE model."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -228,16 +229,46 @@ def _room(x: np.ndarray, n: int) -> np.ndarray:
 
 
 class WordCoder:
-    """Encodes whole texts; remembers the ids of the words that it has met, up to a slice's words or MEMO_WORDS."""
+    """Encodes whole texts; remembers the ids of the words that it has met, up to a slice's words or MEMO_WORDS.
+
+    Which code points are letters or numbers, and how they are lower-cased, depends on the Unicode tables of a program's version. Each code point
+    beyond ASCII is held against the file's own library when it is first met; a word with one that is taken otherwise there is encoded
+    by the library.
+    """
 
     def __init__(self, vocabulary: Vocabulary, memo_words: int = MEMO_WORDS):
         self.vocabulary, self.memo_words, self.memo = vocabulary, memo_words, Memo(memo_words)
         self._special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
+        self._checked: set[str] = set()
+        self._odd: set[str] = set()
 
     def spans(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, first) of the parts that are encoded each by itself: words between ASCII white space."""
         return texts.words()
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.vocabulary.path)
+        whole.no_truncation()
+        whole.no_padding()
+        return whole
+
+    def odd(self, text: str) -> set[str]:
+        """The characters of a text that the library takes otherwise than the pattern and the normalisation here."""
+        chars = set(text)
+        for c in chars - self._checked:
+            self._checked.add(c)
+            if c > "\x7f" and not self._alike(f"a{c}{c}b"):
+                self._odd.add(c)
+        return chars & self._odd
+
+    def _alike(self, text: str) -> bool:
+        known = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        letters = byte_letters()
+        return [p for p, _ in known] == ["".join(letters[b] for b in p.encode()) for p in _PIECES.findall(normalised(text))]
+
     def encode_parts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids one part after the other, the number of each) of words without ASCII white space."""
         v = self.vocabulary
@@ -249,11 +280,26 @@ class WordCoder:
         lines[total - 1] = 10
         text = lines.tobytes().decode("utf-8", "replace")
         codes: list[int] = []
-        for part in self._special.split(text) if self._special and "<|" in text else [text]:
-            if part in v.special:
-                codes.append(index.setdefault(v.special[part], len(index)))
-            else:
-                codes += [index.setdefault(p, len(index)) for p in _PIECES.findall(normalised(part))]
+
+        def take(plain: str) -> None:
+            for part in self._special.split(plain) if self._special and "<|" in plain else [plain]:
+                if part in v.special:
+                    codes.append(index.setdefault(v.special[part], len(index)))
+                else:
+                    codes.extend(index.setdefault(p, len(index)) for p in _PIECES.findall(normalised(part)))
+
+        if odd := self.odd(text):
+            plain: list[str] = []
+            for word in text.split("\n")[:-1]:
+                if odd.isdisjoint(word):
+                    plain.append(word + "\n")
+                    continue
+                take("".join(plain))
+                plain = []
+                codes += [index.setdefault(i, len(index)) for i in self.library.encode(word, add_special_tokens=False).ids]
+                codes.append(0)
+            text = "".join(plain)
+        take(text)
         keys = list(index)
         words = [i for i, x in enumerate(keys) if i and isinstance(x, str)]
         ids, begin, count = merge(v, [keys[i].encode() for i in words])
@@ -273,7 +319,7 @@ class WordCoder:
         start, end, first = self.spans(texts)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        h = np.maximum(range_hash(prefix_hash(texts.data), start, end), np.uint64(1))
+        h = np.maximum(span_hashes(texts.data, start, end), np.uint64(1))
         memo, of = self.memo, self.memo.find(h)
         missing = np.flatnonzero(of < 0)
         if len(missing):
@@ -304,16 +350,14 @@ def coder(path: str, kind: Callable[[Vocabulary], WordCoder] = WordCoder) -> Wor
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ids array<int>; it replaces a column so named."""
     arrow_rows(docs.sparkSession)
-    kept = docs.drop("ids")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        for part, texts in slices(batches, text):
+        for part, texts in slices(batches):
             ids, first = c.encode(texts)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(first.astype(np.int32), ids)], names=[*part.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.ListArray.from_arrays(first.astype(np.int32), ids)], names=["row", "ids"])
 
-    return kept.mapInArrow(run, schema)
+    return map_texts(docs, text, "ids array<int>", run)
 
 
 def decode_strings(strings: list[bytes], ids: list[int]) -> bytes:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hairpin.llm.batches import Texts, arrow_rows, held_out, mix, prefix_hash, range_hash, slices
+from hairpin.llm.batches import Texts, arrow_rows, held_out, mix, slices, span_hashes
 from hairpin.plans.lineage import store
 
 FOLDS, FOLD = 10, 0
@@ -57,7 +57,7 @@ def tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, suffix class, first) of the words of each document, in order, without the end."""
     low = texts.lowered()
     start, end, first = low.words()
-    h = range_hash(prefix_hash(low.data), start, end)
+    h = span_hashes(low.data, start, end)
     h[h == END_HASH] = _U(1)
     last = low.data[end - 1].astype(np.int64)
     before = np.where(end - start > 1, low.data[np.maximum(end - 2, 0)], 0).astype(np.int64)

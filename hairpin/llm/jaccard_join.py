@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hairpin.llm.batches import Texts, arrow_rows, mix, prefix_hash, range_hash, slices
+from hairpin.llm.batches import Texts, arrow_rows, mix, slices, span_hashes
 from hairpin.operators.components import connected_components
 from hairpin.plans.lineage import cut, discard, store
 
@@ -51,7 +51,7 @@ def shingles(texts: Texts) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document."""
     low = texts.lowered()
     start, end, first = low.words()
-    h = range_hash(prefix_hash(low.data), start, end)
+    h = span_hashes(low.data, start, end)
     k = WORDS
     if len(h) >= k:
         whole = np.zeros(len(h) - k + 1, _U)

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hairpin.llm.batches import arrow_rows, held_out, slices
+from hairpin.llm.batches import arrow_rows, held_out, map_texts, slices
 
 #: Bytes of each language's dictionary, and of one training text that go into it at most.
 DICTIONARY_BYTES = 32 << 10
@@ -107,20 +107,18 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text")
     """``docs`` with lang_pred string, score double, margin double and accepted boolean; these replace columns so named."""
     arrow_rows(docs.sparkSession)
     names = ("lang_pred", "score", "margin", "accepted")
-    kept = docs.drop(*names)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, lang_pred string, score double, margin double, accepted boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(dictionaries)
-        for part, _ in slices(batches, text):
-            found = [encoder.predict(t) for t in part.column(text).to_pylist()]
+        for part, _ in slices(batches):
+            found = [encoder.predict(t) for t in part.column("text").to_pylist()]
             cols = list(zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_())],
-                names=[*part.schema.names, *names],
+                [part.column("row"), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_())],
+                names=["row", *names],
             )
 
-    return kept.mapInArrow(run, schema)
+    return map_texts(docs, text, "lang_pred string, score double, margin double, accepted boolean", run)
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hairpin.llm.batches import Texts, arrow_rows, held_out, mix, prefix_hash, range_hash, slices
+from hairpin.llm.batches import Texts, arrow_rows, held_out, map_texts, mix, slices, span_hashes
 
 BITS = 18
 FOLDS, FOLD = 4, 2
@@ -36,7 +36,7 @@ def features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, feature, value): rows first[i]:first[i + 1] are document i's distinct features; 0 is the bias."""
     low = texts.lowered()
     start, end, first = low.words()
-    h = range_hash(prefix_hash(low.data), start, end)
+    h = span_hashes(low.data, start, end)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     pair = mix(h[:-1] * _U(3) + h[1:])[doc[:-1] == doc[1:]] if len(h) else h
     pair_doc = doc[:-1][doc[:-1] == doc[1:]] if len(h) else doc
@@ -111,17 +111,16 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label") -> np.n
 def score(docs: DataFrame, w: np.ndarray, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score double and predicted int; these replace columns so named."""
     arrow_rows(docs.sparkSession)
-    kept, shared = docs.drop("score", "predicted"), docs.sparkSession.sparkContext.broadcast(w)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, score double, predicted int"
+    shared = docs.sparkSession.sparkContext.broadcast(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for part, texts in slices(batches, text):
+        for part, texts in slices(batches):
             first, feature, value = features(texts)
             p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[feature] * value, first[:-1]), -35, 35)))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=["row", "score", "predicted"])
 
-    return kept.mapInArrow(run, schema)
+    return map_texts(docs, text, "score double, predicted int", run)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -51,29 +51,33 @@ def _repeats(keyed: Column) -> Column:
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_stop_words (long) to ``docs``."""
     t = F.coalesce(F.col(text), F.lit(""))
-    w = F.col("q_words")
+    own = "q_"
+    while any(c.startswith(own) for c in docs.columns):
+        own = f"_{own}"
+    words, starts, keyed, kept_lines = (f"{own}{x}" for x in ("words", "windows", "keyed", "lines"))
+    w = F.col(words)
     windows = F.transform(
         F.sequence(F.lit(1), F.size(w) - 4),
         lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1), F.get(w, i + 2), F.get(w, i + 3)),
     )
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
     return (
-        docs.withColumn("q_words", _words(t))
-        .withColumn("q_windows", F.when(F.size(w) >= 5, windows).otherwise(F.array().cast("array<bigint>")))
-        .withColumn("q_keyed", F.when(F.size(F.array_distinct("q_windows")) < F.size("q_windows"), F.sort_array(F.transform("q_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-        .withColumn("q_lines", lines)
+        docs.withColumn(words, _words(t))
+        .withColumn(starts, F.when(F.size(w) >= 5, windows).otherwise(F.array().cast("array<bigint>")))
+        .withColumn(keyed, F.when(F.size(F.array_distinct(starts)) < F.size(starts), F.sort_array(F.transform(starts, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+        .withColumn(kept_lines, lines)
         .withColumns(
             {
-                "n_words": F.size("q_words").cast("long"),
+                "n_words": F.size(words).cast("long"),
                 "word_chars": F.length(F.translate(t, SPACE, "")).cast("long"),
                 "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-                "n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
-                "n_lines": F.size("q_lines").cast("long"),
-                "n_repeat_words": _repeats(F.col("q_keyed")).cast("long"),
+                "n_dup_lines": (F.size(kept_lines) - F.size(F.array_distinct(kept_lines))).cast("long"),
+                "n_lines": F.size(kept_lines).cast("long"),
+                "n_repeat_words": _repeats(F.col(keyed)).cast("long"),
                 "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long"),
             }
         )
-        .drop("q_words", "q_windows", "q_keyed", "q_lines")
+        .drop(words, starts, keyed, kept_lines)
     )
 
 

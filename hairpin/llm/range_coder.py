@@ -30,9 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hairpin.llm.batches import arrow_rows, slices
+from hairpin.llm.batches import arrow_rows, rows_per_batch, slices
 from hairpin.llm.bpe import coder
-from hairpin.plans.lineage import shared_folder
+from hairpin.plans.lineage import discard, shared_folder, store
 
 BLOCK = 2048
 #: Lanes of a segment; with BLOCK the ids that a task holds at once, but for one longer document.
@@ -318,7 +318,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id", te
 
 
 def read(spark, path: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document in the files, with its ids if asked for."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document in the files, with its ids if asked for. A segment is a large row: run this
+    with few rows a batch, see :func:`round_trip`."""
     table = spark.read.schema(_SCHEMA).parquet(path)
     sizes = table.select("part", "segment", "n_ids")
     # sums by part, then over parts, then over the segments of a part: no task gets all segments
@@ -343,13 +344,17 @@ def read(spark, path: str, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["part", "segment", "doc_id", "within", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
 
     extra = ["ids"] if with_ids else []
-    arrow_rows(spark, 1)
     found = table.mapInArrow(run, "part int, segment int, doc_id long, within long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
     return found.join(starts, ["part", "segment"]).select("doc_id", (F.col("at") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *extra)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """Writes the files, in the shared folder unless told where, and reads them back."""
-    path = path or f"{shared_folder(docs.sparkSession)}/token-ids-{uuid.uuid4().hex}"
-    write(docs, tokenizer, path, doc_id, text)
-    return read(docs.sparkSession, path).withColumnRenamed("doc_id", doc_id)
+    """Writes the files and reads them back; those in the shared folder, unless a path is given, are deleted then."""
+    spark = docs.sparkSession
+    at = path or f"{shared_folder(spark)}/hairpin-{uuid.uuid4().hex}"
+    write(docs, tokenizer, at, doc_id, text)
+    with rows_per_batch(spark, 1):
+        out = store(read(spark, at))
+    if not path:
+        discard(spark.read.parquet(at))
+    return out.withColumnRenamed("doc_id", doc_id)

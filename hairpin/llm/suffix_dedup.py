@@ -33,8 +33,9 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from hairpin.llm.batches import OTHER_BASE, Texts, arrow_rows, mix, prefix_hash, range_hash, slices
+from hairpin.llm.batches import OTHER_BASE, Texts, arrow_rows, mix, prefix_hash, quoted, range_hash, slices, span_hashes, with_fields
 from hairpin.plans.lineage import discard, store
 
 LENGTH = 200
@@ -83,7 +84,7 @@ def runs(texts: Texts) -> tuple[np.ndarray, ...]:
     ends = begins + count + LENGTH - 1
     whole = mix(range_hash(prefix, begins, ends) + lead.astype(_U))
     gram = range_hash(prefix, a, a + GRAM)
-    other = range_hash(prefix_hash(data, OTHER_BASE), begins, ends, OTHER_BASE)
+    other = span_hashes(data, begins, ends, OTHER_BASE)
     return owner, begins - offsets[owner], count, lead, gram, whole, other
 
 
@@ -367,10 +368,10 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as_text:
     names = ("n_bytes", "n_removed", "n_spans", "kept")
     columns = [c for c in docs.columns if c not in names]
     # the columns travel as one, so that none of them is in the way
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("ref"))
+    packed = docs.select(F.struct(*[F.col(quoted(c)).alias(c) for c in columns]).alias("row"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("ref"))
     found = spans(packed.select("ref", "text"))
     bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(found))
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, touched boolean, text string, ref long"
+    cut_row = with_fields(StructType([packed.schema["row"]]), f"n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
     def cut(part: pa.RecordBatch, texts: Texts, lists: list) -> list[pa.Array]:
         rows = []
@@ -401,10 +402,10 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", as_text:
         for part, texts in slices(batches):
             yield pa.RecordBatch.from_arrays([part.column("row"), *cut(part, texts, part.column("spans").to_pylist())], names=["row", *names])
 
-    settled = packed.mapInArrow(first, schema)
+    settled = packed.mapInArrow(first, with_fields(cut_row, "touched boolean, text string, ref long"))
     lists = found.groupBy("ref").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     touched = settled.where("touched").select("row", "text", "ref").join(lists, "ref", "left").select("row", "text", "spans")
-    touched = touched.mapInArrow(second, schema.partition(", touched")[0])
+    touched = touched.mapInArrow(second, cut_row)
     out = settled.where("NOT touched").select("row", *names).unionByName(touched)
     return out.select(*[F.col("row")[c].alias(c) for c in columns], *names)
 
