@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hairpin.llm import bm25_packing, jaccard_join, language_id, quality_classifier, suffix_dedup
+from hairpin.llm.batches import quoted
 from hairpin.llm.queries import BYTE_BPE, tokenizer_path
 from hairpin.plans.lineage import discard, store
 
@@ -26,7 +27,7 @@ KEEP_SCORE = 0.4
 
 def _carried(docs: DataFrame, *used: str) -> DataFrame:
     """The columns that an operator reads, and all columns as one that no operator looks into."""
-    return docs.select(*used, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried_row"))
+    return docs.select(*used, F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns]).alias("carried_row"))
 
 
 def _whole(carried: DataFrame, docs: DataFrame) -> DataFrame:
