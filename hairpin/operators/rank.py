@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hairpin.functions import geo, tags
+from hairpin.plans.lineage import discard, store
 
 
 def tier_histogram(rows: DataFrame, *keys: str) -> DataFrame:
@@ -126,3 +129,34 @@ def new_tiles(wanted: DataFrame, fetched: DataFrame) -> DataFrame:
 def status_counts(status: DataFrame) -> DataFrame:
     """(status, n): how many tiles are present, failed and missing."""
     return status.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def neighbours(roads: DataFrame, start_m: float = 1000.0, prefix: str | None = None) -> DataFrame:
+    """(id, other, away_m): for each entry (id, first, last) the one whose ends come nearest to its own, at any distance, the smallest id among
+    equals to the millimetre; of those whose id begins with ``prefix`` only, if given. An entry without others has no row.
+
+    Rounds with a radius that doubles: entries without a neighbour yet are copied to the cells around their ends, cells as wide as the
+    radius, and meet all entries there. Those that found one leave, so few entries look in large cells. Not across the date line.
+    """
+    named = roads if prefix is None else roads.where(F.col("id").startswith(prefix))
+    ends = store(named.select("id", F.explode(F.array("first", "last")).alias("p")).where("p IS NOT NULL"))
+    left, reach, rounds, used = ends, start_m, [], []
+    while not left.isEmpty() and reach < 2 * math.pi * geo.EARTH_M:
+        size = 1.5 * reach / 111000.0
+        band = lambda p: geo.cell(p.lat, size)  # noqa: B023, E731
+        column = lambda lon, b: geo.cell(lon * F.cos(F.radians(F.least((F.abs(b) + 2) * size, F.lit(89.0)))), size)  # noqa: B023, E731
+        near = lambda c: F.explode(F.sequence(c - 1, c + 1))
+        there = ends.select(F.col("id").alias("other"), F.col("p").alias("q"), band(F.col("p")).alias("i")).withColumn("j", column(F.col("q.lon"), F.col("i")))
+        probe = left.select("id", "p", near(band(F.col("p"))).alias("i")).select("id", "p", "i", near(column(F.col("p.lon"), F.col("i"))).alias("j"))
+        met = probe.join(there, ["i", "j"]).where("id <> other").withColumn("away_m", geo.haversine(F.col("p"), F.col("q"))).where(F.col("away_m") <= reach)
+        best = F.min_by(F.struct("other", "away_m"), F.struct(F.round("away_m", 3), "other"))
+        rounds.append(store(met.groupBy("id").agg(best.alias("b")).select("id", "b.*")))
+        left = store(left.join(rounds[-1], "id", "left_anti"))
+        used.append(left)
+        reach *= 2
+    out = rounds[0] if rounds else ends.select("id", F.col("id").alias("other"), F.lit(0.0).alias("away_m")).where(F.lit(False))
+    for more in rounds[1:]:
+        out = out.unionByName(more)
+    out = store(out)
+    discard(ends, *used, *rounds)
+    return out

@@ -407,6 +407,10 @@ TEXTS: dict[str, tuple] = {
         f"SELECT a.road AS a, b.road AS b, round(min({hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}), 2) AS away_m FROM rend a JOIN rend b ON a.road < b.road AND abs(a.lat - b.lat) < 0.05 WHERE {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 5000 GROUP BY a.road, b.road",
         ["rend"],
     ),
+    "nearest_roads": (
+        f"SELECT id, other, round(away, 2) AS away_m FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(away, 3), other) AS r FROM (SELECT a.road AS id, b.road AS other, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS away FROM rend a JOIN rend b ON a.road <> b.road)) WHERE r = 1",
+        ["rend"],
+    ),
     "tile_rings": (f"SELECT lat_idx, lon_idx, bool_or(way_id % 4 = 0) AS loaded, 5 AS n_points, round((lon_idx + 1) * {TILE}, 6) AS east, round((lat_idx + 1) * {TILE}, 6) AS north, true AS closed FROM wt GROUP BY lat_idx, lon_idx", ["wt"]),
     "region_order": ("SELECT 0 AS kind, way_id * 1000 + node_idx AS id FROM nodes UNION ALL SELECT 1, way_id FROM tag UNION ALL SELECT 2, way_id FROM tag WHERE way_id % 7 = 0", ["nodes", "tag"]),
     "stale_tiles": ("SELECT lat_idx, lon_idx, count(*) AS n_ways FROM ft GROUP BY lat_idx, lon_idx HAVING min(way_id) % 3 = 0 OR min(way_id) % 5 = 0", ["ft"]),

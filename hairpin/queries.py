@@ -483,6 +483,14 @@ def road_spacing(spark: SparkSession, d: str) -> DataFrame:
     return rank.spacing(ends, 5000.0).select("a", "b", _r("away_m", 2).alias("away_m"))
 
 
+def nearest_roads(spark: SparkSession, d: str) -> DataFrame:
+    """The road nearest to each, at any distance, by first and last nodes."""
+    n = adapter.nodes(spark, d)
+    at = lambda f: f(F.struct((F.col("lat7") / 1e7).alias("lat"), (F.col("lon7") / 1e7).alias("lon")), F.struct("way_id", "node_idx"))
+    ends = n.groupBy(F.col("road").alias("id")).agg(at(F.min_by).alias("first"), at(F.max_by).alias("last"))
+    return rank.neighbours(ends).select("id", "other", _r("away_m", 2).alias("away_m"))
+
+
 def tile_rings(spark: SparkSession, d: str) -> DataFrame:
     """The polygons, read back from their text."""
     f = rank.tile_rings(tile_status(spark, d), TILE)
@@ -608,7 +616,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     way_tiles, road_tiles, tile_status, new_tiles, locate_ways, way_speeds, name_scores, top_names, name_speeds, name_colours, route_faults, proximity_links, road_components, continuity, component_gaps,
     chained_ways, straight_splits, wobble_filter, tier_runs, tier_histogram, viewport_score, road_table, ranked_roads, top_roads, road_boxes, exported_ways, stage_report, group_detail, segment_features, road_features, road_kml, route_gpx,
     route_stats, nearest_ways, route_quality, route_choice, route_comparison, route_boxes, corridor_segments, ride_waypoints, sector_lobes, ride_chains, ride_stops, dense_stops, tile_features, rescored_tiles, unique_segments, refreshed_roads, tile_feed,
-    roads_in_box, overlay_roads, find_roads, pass_lines, ingest_count, tile_segments, road_spacing, tile_rings, region_order, stale_tiles, fresh_scores, kept_tiles, tiles_outside_box, loaded_tiles, status_counts,
+    roads_in_box, overlay_roads, find_roads, pass_lines, ingest_count, tile_segments, road_spacing, nearest_roads, tile_rings, region_order, stale_tiles, fresh_scores, kept_tiles, tiles_outside_box, loaded_tiles, status_counts,
     route_view, way_headings, circle_tiles, valid_points, route_durations, ride_cells, way_inspection, kml_entries, route_kml, leg_snaps,
 ]
 
