@@ -46,6 +46,14 @@ def group_keys(with_refs: bool = True):
     return F.array_distinct(F.filter(F.concat(name, parts) if with_refs else name, lambda x: x.isNotNull() & (x != "")))
 
 
+def one_each(ways: DataFrame) -> DataFrame:
+    """One row of each way, of several that of the lowest tile_key: the one that :func:`grouped` takes as well."""
+    if "tile_key" not in ways.columns:
+        return ways.dropDuplicates(["way_id"])
+    others = F.struct(*[c for c in ways.columns if c != "way_id"])
+    return ways.groupBy("way_id").agg(F.min_by(others, "tile_key").alias("_w")).select("way_id", "_w.*")
+
+
 def grouped(ways: DataFrame, with_refs: bool = True) -> DataFrame:
     """Each way once for each of its keys, as group_key; of several rows of a way that of the lowest tile_key, where there is such a column."""
     rows = ways.withColumn("group_key", F.explode(group_keys(with_refs)))

@@ -413,6 +413,10 @@ TEXTS: dict[str, tuple] = {
     ),
     "tile_rings": (f"SELECT lat_idx, lon_idx, bool_or(way_id % 4 = 0) AS loaded, 5 AS n_points, round((lon_idx + 1) * {TILE}, 6) AS east, round((lat_idx + 1) * {TILE}, 6) AS north, true AS closed FROM wt GROUP BY lat_idx, lon_idx", ["wt"]),
     "region_order": ("SELECT 0 AS kind, way_id * 1000 + node_idx AS id FROM nodes UNION ALL SELECT 1, way_id FROM tag UNION ALL SELECT 2, way_id FROM tag WHERE way_id % 7 = 0", ["nodes", "tag"]),
+    "region_files": (
+        "SELECT 'node' AS kind, way_id * 1000 + node_idx AS id, lat7 AS a, lon7 AS b, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS tag FROM nodes UNION ALL SELECT 'way', way_id, min(way_id * 1000 + node_idx), max(way_id * 1000 + node_idx), count(*), any_value(ref) FROM nodes JOIN tag USING (way_id) GROUP BY way_id UNION ALL SELECT 'relation', road, min(way_id), max(way_id), count(DISTINCT way_id), 'route & <more>' FROM nodes GROUP BY road",
+        ["nodes", "tag"],
+    ),
     "stale_tiles": ("SELECT lat_idx, lon_idx, count(*) AS n_ways FROM ft GROUP BY lat_idx, lon_idx HAVING min(way_id) % 3 = 0 OR min(way_id) % 5 = 0", ["ft"]),
     "fresh_scores": ("SELECT tag.way_id, round(s, 2) AS score FROM tag JOIN total USING (way_id) WHERE highway = 'primary' AND s > 100 AND way_id % 5 <> 0", ["tag", "total"]),
     "kept_tiles": ("SELECT lat_idx, lon_idx FROM ft JOIN orders ON o_orderkey + 1 = way_id GROUP BY lat_idx, lon_idx HAVING max(CAST(o_orderdate AS TIMESTAMP)) >= (SELECT max(CAST(o_orderdate AS TIMESTAMP)) FROM orders) - INTERVAL 90 DAY", ["ft"]),

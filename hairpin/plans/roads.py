@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hairpin.functions import tags
 from hairpin.operators import assemble, segments
-from hairpin.operators.ways import grouped, hard_filter
+from hairpin.operators.ways import grouped, hard_filter, one_each
 from hairpin.plans.lineage import cut
 
 
@@ -26,7 +26,7 @@ def chunks(ways: DataFrame, with_refs: bool = True) -> DataFrame:
 
 def with_segments(rows: DataFrame, ways: DataFrame) -> DataFrame:
     """``rows`` with the segments, class and speed of their ways: the one join that moves segments."""
-    own = segments.score_ways(hard_filter(ways).dropDuplicates(["way_id"])).select("way_id", "highway", "maxspeed", "segments")
+    own = segments.score_ways(one_each(hard_filter(ways))).select("way_id", "highway", "maxspeed", "segments")
     return rows.join(own, "way_id")
 
 

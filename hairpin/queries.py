@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from hairpin.functions import geo, tags
 from hairpin.operators import assemble, export, rank, rides, routes, segments, waypoints
 from hairpin.operators import ways as way_ops
 from hairpin.plans import adapter, reports, roads
-from hairpin.plans.lineage import cut, discard, store
+from hairpin.plans.lineage import cut, discard, shared_folder, store
 from hairpin.sources import osm, routing, tiles
 from hairpin.streaming import roads as road_stream
 from hairpin.streaming import tiles as tile_stream
@@ -506,6 +507,26 @@ def region_order(spark: SparkSession, d: str) -> DataFrame:
     return osm.in_order(n, w, w.where("id % 7 = 0")).select(_long("kind"), "id")
 
 
+def region_files(spark: SparkSession, d: str) -> DataFrame:
+    """A region written as OSM XML and read back: nodes with their place, ways with their nodes, each road as a relation of its ways."""
+    at, none = f"{shared_folder(spark)}/hairpin-{uuid.uuid4().hex}", F.create_map().cast("map<string,string>")
+    n = adapter.nodes(spark, d).withColumn("id", F.col("way_id") * 1000 + F.col("node_idx"))
+    tagged = lambda *names: F.map_filter(F.create_map(*[x for c in names for x in (F.lit(c), F.col(c))]), lambda k, v: v.isNotNull())
+    refs = n.groupBy("way_id").agg(F.array_sort(F.collect_list("id")).alias("node_ids"))
+    w = adapter.ways(spark, d).join(refs, "way_id").select(F.col("way_id").alias("id"), "node_ids", tagged("name", "ref", "highway").alias("tags"))
+    member = F.struct(F.lit("way").alias("type"), F.col("way_id").alias("id"), F.lit("").alias("role"))
+    r = n.select("road", "way_id").distinct().groupBy("road").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    osm.write_nodes(n.select("id", (F.col("lat7") / 1e7).alias("lat"), (F.col("lon7") / 1e7).alias("lon"), none.alias("tags")), f"{at}/nodes")
+    osm.write_ways(w, f"{at}/ways")
+    osm.write_relations(r.select(F.col("road").alias("id"), "members", F.create_map(F.lit("type"), F.lit("route & <more>")).alias("tags")), f"{at}/relations")
+    ends = lambda a: [F.get(a, F.lit(0)).cast("long").alias("a"), F.try_element_at(a, F.lit(-1)).cast("long").alias("b"), F.size(a).cast("long").alias("n")]
+    unit = lambda c: F.round(F.col(c) * 1e7).cast("long")
+    nodes = osm.read_nodes(spark, f"{at}/nodes").select(F.lit("node").alias("kind"), "id", unit("lat").alias("a"), unit("lon").alias("b"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("tag"))
+    ways = osm.read_ways(spark, f"{at}/ways").select(F.lit("way").alias("kind"), "id", *ends("node_ids"), F.col("tags")["ref"].alias("tag"))
+    found = osm.read_relations(spark, f"{at}/relations").withColumn("m", F.transform("members", lambda m: m.id))
+    return nodes.unionByName(ways).unionByName(found.select(F.lit("relation").alias("kind"), "id", *ends("m"), F.col("tags")["type"].alias("tag")))
+
+
 def stale_tiles(spark: SparkSession, d: str) -> DataFrame:
     """Tiles that a store lacks in their present form: one in three was never scored, one in five with other parameters."""
     t = _tile_rows(spark, d)
@@ -616,7 +637,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     way_tiles, road_tiles, tile_status, new_tiles, locate_ways, way_speeds, name_scores, top_names, name_speeds, name_colours, route_faults, proximity_links, road_components, continuity, component_gaps,
     chained_ways, straight_splits, wobble_filter, tier_runs, tier_histogram, viewport_score, road_table, ranked_roads, top_roads, road_boxes, exported_ways, stage_report, group_detail, segment_features, road_features, road_kml, route_gpx,
     route_stats, nearest_ways, route_quality, route_choice, route_comparison, route_boxes, corridor_segments, ride_waypoints, sector_lobes, ride_chains, ride_stops, dense_stops, tile_features, rescored_tiles, unique_segments, refreshed_roads, tile_feed,
-    roads_in_box, overlay_roads, find_roads, pass_lines, ingest_count, tile_segments, road_spacing, nearest_roads, tile_rings, region_order, stale_tiles, fresh_scores, kept_tiles, tiles_outside_box, loaded_tiles, status_counts,
+    roads_in_box, overlay_roads, find_roads, pass_lines, ingest_count, tile_segments, road_spacing, nearest_roads, tile_rings, region_order, region_files, stale_tiles, fresh_scores, kept_tiles, tiles_outside_box, loaded_tiles, status_counts,
     route_view, way_headings, circle_tiles, valid_points, route_durations, ride_cells, way_inspection, kml_entries, route_kml, leg_snaps,
 ]
 
