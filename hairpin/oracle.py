@@ -5,6 +5,8 @@ Shared parts are common table expressions that each text picks from PARTS.
 
 from __future__ import annotations
 
+import re
+
 from hairpin.functions import tags
 from hairpin.operators import export
 from hairpin.plans import adapter
@@ -80,7 +82,6 @@ def _split(base: str) -> str:
             SELECT *, coalesce(lag(tier = 0) OVER (PARTITION BY {by} ORDER BY idx) <> (tier = 0), true) AS first FROM {base}))))"""
 
 
-#: name -> (text, the parts that it needs)
 RADIUS_M, BUDGET_S, RIDE_MPS = 30000, 5400.0, 35.0 * 1609.34 / 3600.0
 OFF = adiff("axis", "bearing")
 
@@ -294,6 +295,17 @@ def _norm(c: str) -> str:
 _inside = lambda a, b: f"({a} BETWEEN {S} AND {N} AND {b} BETWEEN {W} AND {E})"
 
 #: name -> (text, the parts that it needs)
+# the same walks along the roads of rides, in the direction in which each is driven
+PARTS["rrnum"] = (
+    "SELECT w.request_id AS group_key, w.step AS sub_index, CASE WHEN reversed THEN n - 1 - i ELSE i END AS i, n, length, CASE WHEN reversed THEN lat1 ELSE lat END AS lat, CASE WHEN reversed THEN lon1 ELSE lon END AS lon, CASE WHEN reversed THEN lat ELSE lat1 END AS lat1, CASE WHEN reversed THEN lon ELSE lon1 END AS lon1 FROM ridewalk w JOIN rnum s ON s.group_key = w.group_key AND s.sub_index = w.sub_index",
+    ["ridewalk", "rnum"],
+)
+for _walk in ("duewalk", "dpt", "dwalk"):
+    _text, _needs = PARTS[_walk]
+    PARTS[f"r{_walk}"] = (re.sub(r"\b(rnum|duewalk|dpt|dwalk)\b", r"r\1", _text), [f"r{p}" for p in _needs])
+
+
+#: name -> (text, the parts that it needs, parts that stand in for others)
 TEXTS: dict[str, tuple] = {
     "way_assembly": ("SELECT tag.way_id, count(node_idx) AS n_nodes, arg_min(lat, node_idx) AS first_lat, arg_max(lon, node_idx) AS last_lon FROM tag LEFT JOIN n ON n.way_id = tag.way_id GROUP BY tag.way_id", ["tag", "n"]),
     "hard_filter": ("SELECT way_id, highway FROM kept", ["kept"]),
@@ -457,6 +469,7 @@ TEXTS: dict[str, tuple] = {
     "ride_waypoints": ("SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY bearing, group_key, sub_index) AS INTEGER) AS stop, group_key, CAST(sub_index AS INTEGER) AS sub_index, round(bearing, 3) AS bearing, round(away, 1) AS away_m FROM lot", ["lot"]),
     "sector_lobes": ("SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY back, CASE WHEN back THEN -away ELSE away END, group_key, sub_index) AS INTEGER) AS stop, group_key, CAST(sub_index AS INTEGER) AS sub_index, round(bearing, 3) AS bearing, round(away, 1) AS away_m FROM lobes", ["lobes"]),
     "ride_chains": ("SELECT request_id, step, group_key, sub_index, reversed, round(used, 1) AS used FROM ridewalk", ["ridewalk"]),
+    "ride_stops": ("SELECT group_key AS request_id, row_number() OVER (PARTITION BY group_key ORDER BY o) - 1 AS stop, round(lat, 7) AS lat, round(lon, 7) AS lon FROM rdwalk WHERE keep", ["rdwalk"]),
     "dense_stops": ("SELECT group_key, row_number() OVER (PARTITION BY group_key ORDER BY o) - 1 AS stop, round(lat, 7) AS lat, round(lon, 7) AS lon FROM dwalk WHERE keep", ["dwalk"]),
     "refreshed_roads": (
         "SELECT group_key, n_ways, round(s, 2) AS total_score, round(l, 2) AS total_length FROM road",
