@@ -1,6 +1,7 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary made of training texts. A text is encoded block by block with
+Each language has a zstandard raw-content dictionary made of passages of training texts, each of which has an equal
+share of its bytes. A text is encoded block by block with
 every dictionary; the language whose encoding is smallest wins. ``margin`` is how much larger the second smallest is,
 as a share of it, and a narrow margin rejects the document.
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from hairpin.llm.batches import arrow_rows, held_out, map_texts, slices
 
-#: Bytes of each language's dictionary, and of one training text that go into it at most.
+#: Bytes of each language's dictionary, and characters of one training text that go into it at most.
 DICTIONARY_BYTES = 32 << 10
 SHARE_CHARS = 1024
 #: Distinct training texts of a language in the bounded sample: those with the lowest hashes, or all.
@@ -43,6 +44,19 @@ def _plain(text: str) -> str:
     return _NOISE.sub(" ", text).strip().lower()
 
 
+def dictionary(passages: list[str]) -> bytes:
+    """Plain passages in DICTIONARY_BYTES, shared out equally; what a short one leaves goes to the longer ones. Cut between characters."""
+    plain = sorted((t.encode() for t in map(_plain, passages) if t), key=lambda t: (len(t), t))
+    room, kept = DICTIONARY_BYTES, []
+    for i, t in enumerate(plain):
+        t = t[: max(0, room // (len(plain) - i) - 1)].decode(errors="ignore").encode()
+        kept.append(t)
+        room -= len(t) + 1
+    raw = b" ".join(kept)
+    # the least size of a dictionary
+    return raw if len(raw) >= 8 else (raw + b" ") * 8
+
+
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Dictionaries of each language, the commonest first, from a bounded sample of ``docs``."""
     # a text without a letter has nothing to learn from
@@ -67,12 +81,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
             if len(texts) >= min(SAMPLE_TEXTS, distinct[k]):
                 found[k] = [t for _, t in texts]
         wanted *= 2
-    out = {}
-    for k in sorted(counts, key=lambda k: (-counts[k], k)):
-        raw = " ".join(t for t in map(_plain, found[k]) if t).encode()[-DICTIONARY_BYTES:]
-        # the least size of a dictionary
-        out[k] = raw if len(raw) >= 8 else (raw + b" ") * 8
-    return out
+    return {k: dictionary(found[k]) for k in sorted(counts, key=lambda k: (-counts[k], k))}
 
 
 class Encoder:

@@ -2,7 +2,8 @@
 
 A document is a sparse vector: its lower-cased words and word pairs hashed to 2^BITS features with weight
 sqrt(count), scaled to length one, and a bias. The updates follow one another, so one task makes them, over a sample of
-SAMPLE_ROWS labelled rows whatever the size of the corpus. Scores are sparse dot products with the weights (2^BITS
+some SAMPLE_ROWS different labelled texts, or of SAMPLE_BYTES of them, whatever the size of the corpus. Copies of a text
+count once, in the size of the sample too, so a table of few texts repeated often is learned from whole. Scores are sparse dot products with the weights (2^BITS
 float32, the bounded size that is sent to the executors) in every task.
 
 Defined results: a null or blank text has only the bias; very long texts count whole; repeated rows get equal scores; an empty
@@ -22,8 +23,11 @@ from hairpin.llm.batches import Texts, arrow_rows, held_out, map_texts, mix, sli
 
 BITS = 18
 FOLDS, FOLD = 4, 2
-#: Labelled rows that are expected in the bounded training sample, by a hash of the text; all of them where there are fewer.
+#: Different labelled texts that are expected in the bounded training sample, by a hash of the text; all of them where there are fewer.
 SAMPLE_ROWS = 12_000
+#: Bytes of text that are expected in it at most; one text counts as TEXT_BYTES at most, as it has no more than 2^BITS features.
+SAMPLE_BYTES = 64 << 20
+TEXT_BYTES = 1 << 20
 #: Updates that the learner makes at least, in 2 to 8 passes over the sample.
 UPDATES = 24_000
 #: FTRL-proximal: learning rate, its smoothing, and the two penalties.
@@ -73,15 +77,35 @@ def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2)).astype(np.float32)
 
 
+def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with its text (null: empty) under the name text, its hash h and its bytes n_bytes."""
+    docs = docs.withColumn("text", F.coalesce(F.col(text), F.lit("")))
+    return docs.withColumns({"h": F.xxhash64("text", F.lit(11)), "n_bytes": F.least(F.octet_length("text"), F.lit(TEXT_BYTES))})
+
+
 def train(labelled: DataFrame, text: str = "text", label: str = "label") -> np.ndarray:
     """Weights from rows of (text, label 0 or 1); rows with null labels don't count. 2^BITS numbers."""
-    spark = labelled.sparkSession
-    usable = labelled.where(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("double").alias("label"))
-    total = usable.select("label").count()
-    if not total:
+    return _train(keyed(labelled.select(F.col(text).alias("text"), F.col(label).cast("double").alias("label"))))
+
+
+def train_by_id(docs: DataFrame, known: DataFrame) -> np.ndarray:
+    """Weights from the texts of ``docs`` (doc_id, text) that ``known`` (doc_id, label) has labels for.
+
+    Texts are hashed before they meet their labels, so that only those of the sample are moved whole.
+    """
+    return _train(keyed(docs.select("doc_id", "text")).join(known.select("doc_id", F.col("label").cast("double").alias("label")), "doc_id"))
+
+
+def _train(rows: DataFrame) -> np.ndarray:
+    """Weights from rows of (text, h, n_bytes, label)."""
+    spark = rows.sparkSession
+    usable = rows.where(F.col("label").isNotNull())
+    # copies meet before the shuffle
+    size = usable.groupBy("h").agg(F.max("n_bytes").alias("n")).agg(F.count("*").alias("texts"), F.sum("n").alias("bytes")).first()
+    if not size["texts"]:
         return np.zeros(1 << BITS, np.float32)
-    h = F.xxhash64("text", F.lit(11))
-    sample = usable.where(F.pmod(h, F.lit(1 << 30)) <= F.lit(min(1.0, SAMPLE_ROWS / total) * (1 << 30)))
+    share = min(1.0, SAMPLE_ROWS / size["texts"], SAMPLE_BYTES / max(1, size["bytes"]))
+    sample = usable.where(F.pmod("h", F.lit(1 << 30)) <= F.lit(int(share * (1 << 30)))).select("text", "h", "label")
     arrow_rows(spark)
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +115,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "label") -> np.n
             yield pa.RecordBatch.from_arrays([part.column("h"), part.column("label"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["h", "label", "f", "x"])
 
     # copies of one text are one training row
-    rows = sample.withColumn("h", h).mapInArrow(compress, "h long, label double, f binary, x binary").groupBy("h", "label").agg(F.first("f").alias("f"), F.first("x").alias("x"))
+    rows = sample.mapInArrow(compress, "h long, label double, f binary, x binary").groupBy("h", "label").agg(F.first("f").alias("f"), F.first("x").alias("x"))
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by([("h", "ascending"), ("label", "ascending")])
@@ -127,5 +151,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learns from labelled rows outside the held-out fold; scores every row of ``docs`` from its text."""
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("label"))
     known = known.where(~held_out("doc_id", FOLDS, FOLD))
-    w = train(docs.select("doc_id", "text").join(known, "doc_id"))
+    w = train_by_id(docs, known)
     return score(docs.withColumn("held_out", held_out("doc_id", FOLDS, FOLD)), w)

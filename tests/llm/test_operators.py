@@ -459,6 +459,41 @@ def test_the_sample_is_the_texts_with_the_lowest_hashes(spark, monkeypatch, n):
     assert len(set(kept)) == len(kept) == 200
 
 
+def test_every_passage_of_the_sample_is_in_the_dictionary(spark):
+    """With the production constants: 200 texts of 3,000 characters, each with a letter of its own."""
+    own = [chr(0x4E00 + i) for i in range(200)]
+    df = spark.createDataFrame([(i, "zh", f"{c}{c} " * 1000) for i, c in enumerate(own)], "doc_id long, lang string, text string")
+    learned = language_id.train(df)["zh"]
+    assert len(learned) <= language_id.DICTIONARY_BYTES and all(learned.decode().count(c) >= 40 for c in own)
+    made = language_id.dictionary(["ab", "é" * 40_000, "x y " * 20_000])
+    assert 0 <= language_id.DICTIONARY_BYTES - len(made) < 4 and made.startswith(b"ab x y x") and made.decode().count("é") > 8_000
+
+
+def test_copies_leave_the_quality_sample_whole(spark):
+    """Few texts in very many copies are learned from whole; long texts count by their bytes."""
+    from pyspark.sql import functions as F
+
+    q = quality_classifier
+    many = spark.range(200_000).select(F.concat_ws(" ", F.lit("word"), F.concat(F.lit("w"), F.col("id") % 30)).alias("text"), (F.col("id") % 2).cast("int").alias("label"))
+    w = q.train(many)
+    assert np.count_nonzero(w) > 40
+    got = {r.text: r for r in q.score(many.distinct(), w).collect()}
+    assert len(got) == 30 and all((r.score > 0.5) == bool(r.label) for r in got.values())
+    assert (q.train(many.distinct()) == w).all()
+    docs = many.distinct().withColumn("doc_id", F.xxhash64("text"))
+    assert (q.train_by_id(docs.drop("label"), docs.select("doc_id", "label")) == w).all()
+
+
+def test_the_quality_sample_is_bounded_in_bytes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    q = quality_classifier
+    monkeypatch.setattr(q, "SAMPLE_BYTES", 100_000)
+    rows = spark.range(400).select(F.concat_ws(" ", F.concat(F.lit("t"), "id"), F.expr("repeat('x ', 1000)")).alias("text"), (F.col("id") % 2).alias("label"))
+    # each text has a word and a pair of its own
+    assert 2 * 20 < np.count_nonzero(q.train(rows)) < 2 * 100
+
+
 def test_quality_classifier(spark, empty):
     good, bad = _speech(3, ["an", "de", "ro"], 150), [t.replace(" ", " $$ zap ") for t in _speech(4, ["an", "de", "ro"], 150)]
     rows = [(i, t, "clash") for i, t in enumerate([*good, *bad, None, "", "  "])]
