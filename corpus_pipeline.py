@@ -38,7 +38,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("label"))
     known = known.where(~quality_classifier.held_out("doc_id", quality_classifier.FOLDS, quality_classifier.FOLD))
-    weights = quality_classifier.train(docs.select("doc_id", "text").join(known, "doc_id"))
+    weights = quality_classifier.train_by_id(docs, known)
     return _whole(quality_classifier.score(_carried(docs, "text"), weights, threshold=KEEP_SCORE).where("predicted = 1"), docs)
 
 
