@@ -283,6 +283,10 @@ PARTS: dict[str, tuple[str, list[str]]] = {
         ["legm", "near", "fault"],
     ),
     "adj": ("SELECT request_id, route_idx, dq, sp, tp, lb, score * (1 - 0.9 * dq) * (1 - 0.3 * sp) * (1 - 0.6 * tp) * (1 + 0.4 * lb) AS adj FROM rstat JOIN share USING (request_id, route_idx)", ["rstat", "share"]),
+    "rlegs": (
+        f"SELECT request_id, route_idx, count(*) AS n, greatest(1, CAST(ceil((count(*) - 1) / {adapter.LEG_STEPS}.0) AS BIGINT)) AS legs, CAST(sum(CAST(round(lat * 1e6) AS BIGINT)) AS BIGINT) AS lat_sum, CAST(sum(CAST(round(lon * 1e6) AS BIGINT)) AS BIGINT) AS lon_sum FROM rp GROUP BY request_id, route_idx",
+        ["rp"],
+    ),
     "dur": ("SELECT request_id, route_idx, count(*) * 30.0 AS duration FROM rp GROUP BY request_id, route_idx", ["rp"]),
     "wt": (f"SELECT DISTINCT way_id, CAST(floor(lat7 / 1e7 / {TILE}) AS BIGINT) AS lat_idx, CAST(floor(lon7 / 1e7 / {TILE}) AS BIGINT) AS lon_idx FROM nodes", ["nodes"]),
 }
@@ -433,6 +437,23 @@ TEXTS: dict[str, tuple] = {
     "fresh_scores": ("SELECT tag.way_id, round(s, 2) AS score FROM tag JOIN total USING (way_id) WHERE highway = 'primary' AND s > 100 AND way_id % 5 <> 0", ["tag", "total"]),
     "kept_tiles": ("SELECT lat_idx, lon_idx FROM ft JOIN orders ON o_orderkey + 1 = way_id GROUP BY lat_idx, lon_idx HAVING max(CAST(o_orderdate AS TIMESTAMP)) >= (SELECT max(CAST(o_orderdate AS TIMESTAMP)) FROM orders) - INTERVAL 90 DAY", ["ft"]),
     "tiles_outside_box": (f"SELECT lat_idx, lon_idx, count(*) AS n_ways FROM ft WHERE NOT (lat_idx BETWEEN floor({S} / {TILE}) AND floor({N} / {TILE}) AND lon_idx BETWEEN floor({W} / {TILE}) AND floor({E} / {TILE})) GROUP BY lat_idx, lon_idx", ["ft"]),
+    "trip_routes": ("SELECT request_id, route_idx, n AS n_points, lat_sum, lon_sum, CAST(30 * (n + legs - 1) AS DOUBLE) AS duration, CAST(50 * (n + legs - 1) AS DOUBLE) AS distance FROM rlegs", ["rlegs"]),
+    "coded_routes": (
+        "SELECT request_id, route_idx, count(*) AS n_points, CAST(sum(CAST(round(lat * 1e5) AS BIGINT)) AS BIGINT) AS lat_sum, CAST(sum(CAST(round(lon * 1e5) AS BIGINT)) AS BIGINT) AS lon_sum, CAST(30 * count(*) AS DOUBLE) AS duration, CAST(50 * count(*) AS DOUBLE) AS distance FROM rp WHERE request_id % 10 <> 3 GROUP BY request_id, route_idx",
+        ["rp"],
+    ),
+    "trip_stops": (
+        f"SELECT s.request_id, s.route_idx, stop, CASE WHEN stop = 0 THEN c_name END AS name, round(round(lat * 1e6) / 1e6, 6) AS lat, round(round(lon * 1e6) / 1e6, 6) AS lon FROM (SELECT *, unnest(range(0, legs + 1)) AS stop FROM rlegs) s JOIN rp ON rp.request_id = s.request_id AND rp.route_idx = s.route_idx AND pt_idx = least(stop * {adapter.LEG_STEPS}, n - 1) LEFT JOIN customer ON c_custkey = s.request_id",
+        ["rlegs", "rp"],
+    ),
+    "trip_turns": (
+        f"SELECT s.request_id, s.route_idx, pos, CASE WHEN pos % 2 = 0 THEN '{adapter.WORDING[:-1]}' ELSE 'Arrive' END AS name, CASE WHEN pos % 2 = 0 THEN '{adapter.WORDING} ' || CAST(pos // 2 AS VARCHAR) || ' (12 s, 0.4 km)' ELSE 'Arrive (0 s, 0.0 km)' END AS description, CASE WHEN pos % 2 = 0 THEN round(round(lat * 1e6) / 1e6, 6) ELSE 0.0 END AS lat, CASE WHEN pos % 2 = 0 THEN round(round(lon * 1e6) / 1e6, 6) ELSE 0.0 END AS lon FROM (SELECT *, unnest(range(0, 2 * legs)) AS pos FROM rlegs) s JOIN rp ON rp.request_id = s.request_id AND rp.route_idx = s.route_idx AND pt_idx = least(pos // 2 * {adapter.LEG_STEPS}, n - 1)",
+        ["rlegs", "rp"],
+    ),
+    "tile_table": (
+        f"SELECT lat_idx, lon_idx, count(*) FILTER (WHERE stays) AS n_ways, count(*) FILTER (WHERE stays AND new) AS n_new, CAST(coalesce(sum(nodes) FILTER (WHERE stays), 0) AS BIGINT) AS n_nodes FROM (SELECT ft.*, (lat_idx + lon_idx) % 3 = 0 AS new, NOT ((lat_idx + lon_idx) % 3 = 0 AND way_id % 4 = 0) AS stays, nodes FROM ft JOIN (SELECT way_id, count(*) AS nodes FROM n GROUP BY way_id) USING (way_id)) WHERE lat_idx BETWEEN floor({S} / {TILE}) AND floor({N} / {TILE}) AND lon_idx BETWEEN floor({W} / {TILE}) AND floor({E} / {TILE}) GROUP BY lat_idx, lon_idx",
+        ["ft", "n"],
+    ),
     "loaded_tiles": ("SELECT DISTINCT lat_idx, lon_idx FROM ft", ["ft"]),
     "status_counts": ("SELECT status, count(*) AS n FROM (SELECT lat_idx, lon_idx, CASE WHEN bool_or(way_id % 4 = 0) THEN 'present' WHEN bool_or(way_id % 4 = 1) THEN 'failed' ELSE 'missing' END AS status FROM wt GROUP BY lat_idx, lon_idx) GROUP BY status", ["wt"]),
     "way_headings": (

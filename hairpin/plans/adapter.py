@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hairpin.operators.routes import encode_polyline
 from hairpin.operators.ways import assemble_geometry
 
 NODES_SQL = """
@@ -97,3 +98,32 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = route_points(spark, sf_dir).groupBy("request_id", "route_idx").agg(F.array_sort(F.collect_list(F.struct("pt_idx", "lat", "lon"))).alias("n"))
     points = F.transform("n", lambda x: F.struct(x.lat.alias("lat"), x.lon.alias("lon")))
     return rows.select("request_id", "route_idx", points.alias("points"), (F.size("n") * 30.0).alias("duration"))
+
+
+#: Steps of a leg of a response, and what its first maneuver says before the leg's number: its 40th byte begins a character of two.
+LEG_STEPS = 100
+WORDING = "Turn right onto that winding road by Pr\u00e9"
+
+
+def trip_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, response): the routes as JSON of a routing service: a trip and its alternates, in legs with lines and maneuvers."""
+    r = routes(spark, sf_dir)
+    last = (F.greatest(F.ceil((F.size("points") - 1) / LEG_STEPS), F.lit(1)) - 1).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda j: F.slice("points", j * LEG_STEPS + 1, LEG_STEPS + 1))
+    legs = r.select("request_id", "route_idx", F.posexplode(pieces).alias("leg", "p"))
+    turn = F.struct(F.concat(F.lit(WORDING + " "), "leg").alias("instruction"), F.lit(12.0).alias("time"), F.lit(0.4).alias("length"), F.lit(0).alias("begin_shape_index"))
+    arrive = F.struct(F.lit("Arrive").alias("instruction"), F.lit(None).cast("double").alias("time"), F.lit(None).cast("double").alias("length"), F.lit(1 << 20).alias("begin_shape_index"))
+    summary = F.struct((F.size("p") * 30.0).alias("time"), (F.size("p") * 0.05).alias("length"))
+    one = F.struct("leg", encode_polyline("p", 1e6).alias("shape"), summary.alias("summary"), F.array(turn, arrive).alias("maneuvers"))
+    trips = legs.groupBy("request_id", "route_idx").agg(F.array_sort(F.collect_list(one)).alias("legs"))
+    found = trips.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("route_idx", F.struct("legs").alias("trip")))).alias("t"))
+    return found.select("request_id", F.to_json(F.struct(F.col("t")[0].trip.alias("trip"), F.slice("t", 2, 10).alias("alternates"))).alias("response"))
+
+
+def coded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in the dialect of whole lines and a code; one request in ten got none."""
+    r = routes(spark, sf_dir)
+    one = F.struct("route_idx", encode_polyline("points", 1e5).alias("geometry"), "duration", (F.size("points") * 50.0).alias("distance"))
+    found = r.groupBy("request_id").agg(F.array_sort(F.collect_list(one)).alias("routes"))
+    code = F.when(F.col("request_id") % 10 == 3, "NoRoute").otherwise("Ok")
+    return found.select("request_id", F.to_json(F.struct(code.alias("code"), "routes")).alias("response"))

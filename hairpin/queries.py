@@ -632,6 +632,51 @@ def leg_snaps(spark: SparkSession, d: str) -> DataFrame:
     return s.select("request_id", _long("route_idx"), _r("start_m", 2).alias("start_m"), _r("end_m", 2).alias("end_m"), "gap")
 
 
+# --- responses of routing services, and the table of tiles --------------------------------------------------------------
+
+
+def _line_sums(r: DataFrame, precision: float) -> DataFrame:
+    """Of each route the number of its points and the sums of their coordinates in whole units."""
+    total = lambda f: F.aggregate("points", F.lit(0).cast("long"), lambda s, p: s + F.round(p[f] * precision).cast("long"))
+    return r.select("request_id", _long("route_idx"), F.size("points").cast("long").alias("n_points"), total("lat").alias("lat_sum"), total("lon").alias("lon_sum"), _r("duration").alias("duration"), _r("distance").alias("distance"))
+
+
+def trip_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate routes read from JSON responses: lines decoded leg by leg and stitched, times and lengths summed."""
+    return _line_sums(routing.read_routes(adapter.trip_responses(spark, d)), 1e6)
+
+
+def coded_routes(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the other dialect; requests without a route give none."""
+    return _line_sums(routing.read_coded_routes(adapter.coded_responses(spark, d)), 1e5)
+
+
+def trip_stops(spark: SparkSession, d: str) -> DataFrame:
+    """Where the legs of the routes read begin and end; the start is named by its request."""
+    found = routing.read_routes(adapter.trip_responses(spark, d))
+    names = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("request_id"), F.lit(0).alias("stop"), F.col("c_name").alias("name"))
+    return routing.stops(found, names).select("request_id", _long("route_idx"), _long("stop"), "name", _r("lat", 6).alias("lat"), _r("lon", 6).alias("lon"))
+
+
+def trip_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The maneuvers of the routes read, each at its point, with names cut to 40 bytes."""
+    t = routing.turn_points(routing.read_routes(adapter.trip_responses(spark, d)))
+    return t.select("request_id", _long("route_idx"), _long("pos"), "name", "description", _r("lat", 6).alias("lat"), _r("lon", 6).alias("lon"))
+
+
+def tile_table(spark: SparkSession, d: str) -> DataFrame:
+    """All ways written as a table by tile; one tile in three replaced, with a quarter of its ways gone; then the tiles of a box read."""
+    at = f"{shared_folder(spark)}/hairpin-{uuid.uuid4().hex}"
+    w = adapter.ways(spark, d).join(_first(spark, d).select("way_id", "lat_idx", "lon_idx"), "way_id").select("way_id", "highway", "geometry", "lat_idx", "lon_idx")
+    tiles.write_ways(w, at)
+    third = w.where((F.col("lat_idx") + F.col("lon_idx")) % 3 == 0)
+    tiles.replace_tiles(third.where("way_id % 4 <> 0").withColumn("highway", F.lit("replaced")), at, third)
+    found = tiles.read_ways(spark, at, BOX, TILE).groupBy("lat_idx", "lon_idx").agg(
+        F.count("*").alias("n_ways"), F.count_if(F.col("highway") == "replaced").alias("n_new"), F.sum(F.size("geometry")).alias("n_nodes")
+    )
+    return tiles.read_tiles(spark, at, BOX, TILE).join(found, ["lat_idx", "lon_idx"], "left").na.fill(0)
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     way_assembly, hard_filter, drivable_ways, pipeline_counts, segment_scores, way_totals, way_ends, group_ways, name_groups, distinct_ways, merge_regions, find_ways, ways_in_box, ordered_ways,
     way_tiles, road_tiles, tile_status, new_tiles, locate_ways, way_speeds, name_scores, top_names, name_speeds, name_colours, route_faults, proximity_links, road_components, continuity, component_gaps,
@@ -639,6 +684,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     route_stats, nearest_ways, route_quality, route_choice, route_comparison, route_boxes, corridor_segments, ride_waypoints, sector_lobes, ride_chains, ride_stops, dense_stops, tile_features, rescored_tiles, unique_segments, refreshed_roads, tile_feed,
     roads_in_box, overlay_roads, find_roads, pass_lines, ingest_count, tile_segments, road_spacing, nearest_roads, tile_rings, region_order, region_files, stale_tiles, fresh_scores, kept_tiles, tiles_outside_box, loaded_tiles, status_counts,
     route_view, way_headings, circle_tiles, valid_points, route_durations, ride_cells, way_inspection, kml_entries, route_kml, leg_snaps,
+    trip_routes, coded_routes, trip_stops, trip_turns, tile_table,
 ]
 
 

@@ -72,8 +72,10 @@ def read_coded_routes(responses: DataFrame) -> DataFrame:
 
 def _cut_bytes(text, n: int):
     """The first ``n`` bytes of a text, without a character that they would part."""
-    cut = F.substring(F.encode(text, "UTF-8"), 1, n)
-    return F.when(F.octet_length(text) <= n, text).otherwise(F.regexp_replace(F.decode(cut, "UTF-8"), "\uFFFD+$", ""))
+    raw = F.encode(text, "UTF-8")
+    # a byte of 80 to BF goes on with the character before it, which has four bytes at most
+    whole = [F.when(~F.hex(F.substring(raw, k + 1, 1)).rlike("^[89AB]"), F.substring(raw, 1, k)) for k in range(n, n - 4, -1)]
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.coalesce(*whole).cast("string"))
 
 
 def turn_points(routes: DataFrame) -> DataFrame:
