@@ -169,6 +169,12 @@ PARTS: dict[str, tuple[str, list[str]]] = {
     "link": (f"SELECT DISTINCT p.group_key, p.way_id AS a, q.way_id AS b FROM pt p JOIN pt q ON p.group_key = q.group_key AND p.way_id < q.way_id AND abs(p.lat - q.lat) < 0.002 WHERE {hav('p.lat', 'p.lon', 'q.lat', 'q.lon')} <= 100", ["pt"]),
     "reach": ("SELECT group_key, a AS v, a AS u FROM link UNION SELECT group_key, b, b FROM link UNION SELECT r.group_key, r.v, CASE WHEN l.a = r.u THEN l.b ELSE l.a END FROM reach r JOIN link l ON l.group_key = r.group_key AND (l.a = r.u OR l.b = r.u)", ["link"]),
     "comp": ("SELECT ge.group_key, ge.way_id, coalesce(c, ge.way_id) AS component FROM ge LEFT JOIN (SELECT group_key, v, min(u) AS c FROM reach GROUP BY group_key, v) x ON x.group_key = ge.group_key AND x.v = ge.way_id", ["ge", "reach"]),
+    "away": (f"SELECT p.group_key, p.component AS x, q.component AS y, min(round({hav('p.lat', 'p.lon', 'q.lat', 'q.lon')}, 3)) AS gap_m FROM (SELECT pt.*, component FROM pt JOIN comp USING (group_key, way_id)) p JOIN (SELECT pt.*, component FROM pt JOIN comp USING (group_key, way_id)) q ON p.group_key = q.group_key AND p.component < q.component GROUP BY 1, 2, 3", ["pt", "comp"]),
+    "prim": (
+        "SELECT group_key, [min(x)] AS seen, CAST(NULL AS BIGINT) AS x, CAST(NULL AS BIGINT) AS y, CAST(NULL AS DOUBLE) AS gap_m FROM away GROUP BY group_key "
+        "UNION ALL SELECT group_key, list_append(seen, CASE WHEN list_contains(seen, e.x) THEN e.y ELSE e.x END), e.x, e.y, e.gap_m FROM (SELECT prim.group_key, any_value(prim.seen) AS seen, min({'gap_m': away.gap_m, 'x': away.x, 'y': away.y}) AS e FROM prim JOIN away ON prim.group_key = away.group_key AND list_contains(prim.seen, away.x) <> list_contains(prim.seen, away.y) GROUP BY prim.group_key)",
+        ["away"],
+    ),
     "gc": ("SELECT ge.*, component FROM ge JOIN comp USING (group_key, way_id)", ["ge", "comp"]),
     "touch": ("SELECT group_key, component, way_id, ow, a7 AS p, ao7 AS q, false AS back, entry AS enter FROM gc WHERE a7 IS NOT NULL UNION ALL SELECT group_key, component, way_id, ow, b7, bo7, true, back_entry FROM gc WHERE b7 IS NOT NULL", ["gc"]),
     "lone": ("SELECT group_key, component, arg_min(way_id, r) AS way_id, arg_min(back, r) AS back FROM (SELECT group_key, component, row(p, q) AS r, count(*) AS c, min(way_id) AS way_id, bool_or(back) AS back, bool_or(ow) AS ow FROM touch GROUP BY group_key, component, p, q) WHERE c = 1 AND NOT (back AND ow) GROUP BY group_key, component", ["touch"]),
@@ -383,6 +389,7 @@ TEXTS: dict[str, tuple] = {
         f"SELECT p.group_key, p.component AS x, q.component AS y, round(min({hav('p.lat', 'p.lon', 'q.lat', 'q.lon')}), 2) AS gap_m FROM (SELECT pt.*, component FROM pt JOIN comp USING (group_key, way_id)) p JOIN (SELECT pt.*, component FROM pt JOIN comp USING (group_key, way_id)) q ON p.group_key = q.group_key AND p.component < q.component GROUP BY 1, 2, 3",
         ["pt", "comp"],
     ),
+    "component_links": ("SELECT group_key, x, y, gap_m FROM prim WHERE x IS NOT NULL", ["prim"]),
     "straight_splits": (
         "SELECT road, piece, count(*) FILTER (WHERE NOT none) AS n, round(sum(CASE WHEN none THEN 0 ELSE length END), 2) AS length, round(sum(CASE WHEN none THEN 0 ELSE score END), 2) AS score FROM fsplit WHERE NOT long OR none GROUP BY road, piece",
         ["fsplit"],
@@ -530,7 +537,7 @@ def _sql(text: str, parts: list[str], other: dict[str, tuple[str, list[str]]] |
     if text.startswith("WITH "):
         text = text.removeprefix("WITH ")
         return f"WITH {', '.join(f'{p} AS ({known[p][0]})' for p in order)}, {text}"
-    return f"WITH {'RECURSIVE ' if {'reach', 'fwalk'} & {*order} else ''}{', '.join(f'{p} AS ({known[p][0]})' for p in order)} {text}"
+    return f"WITH {'RECURSIVE ' if {'reach', 'fwalk', 'prim'} & {*order} else ''}{', '.join(f'{p} AS ({known[p][0]})' for p in order)} {text}"
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hairpin.functions import geo, tags
-from hairpin.operators import assemble, export, rank, rides, routes, segments, waypoints
+from hairpin.operators import assemble, export, gaps, rank, rides, routes, segments, waypoints
 from hairpin.operators import ways as way_ops
 from hairpin.plans import adapter, reports, roads
 from hairpin.plans.lineage import cut, discard, shared_folder, store
@@ -204,6 +204,12 @@ def component_gaps(spark: SparkSession, d: str) -> DataFrame:
     return met.groupBy(F.col("a.group_key").alias("group_key"), F.col("a.component").alias("x"), F.col("b.component").alias("y")).agg(_r(F.min(geo.haversine(F.col("a.p"), F.col("b.p"))), 2).alias("gap_m"))
 
 
+def component_links(spark: SparkSession, d: str) -> DataFrame:
+    """The least links that would join the components of each name and ref."""
+    ends = cut(roads.group_ends(adapter.ways(spark, d)))
+    return gaps.spanning_links(assemble.components(ends, assemble.proximity_links(ends)))
+
+
 def chained_ways(spark: SparkSession, d: str) -> DataFrame:
     return roads.chunks(adapter.ways(spark, d)).select("group_key", "component", "way_id", F.col("pos").cast("long").alias("pos"), "reversed", "chunk")
 
@@ -679,7 +685,7 @@ def tile_table(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     way_assembly, hard_filter, drivable_ways, pipeline_counts, segment_scores, way_totals, way_ends, group_ways, name_groups, distinct_ways, merge_regions, find_ways, ways_in_box, ordered_ways,
-    way_tiles, road_tiles, tile_status, new_tiles, locate_ways, way_speeds, name_scores, top_names, name_speeds, name_colours, route_faults, proximity_links, road_components, continuity, component_gaps,
+    way_tiles, road_tiles, tile_status, new_tiles, locate_ways, way_speeds, name_scores, top_names, name_speeds, name_colours, route_faults, proximity_links, road_components, continuity, component_gaps, component_links,
     chained_ways, straight_splits, wobble_filter, tier_runs, tier_histogram, viewport_score, road_table, ranked_roads, top_roads, road_boxes, exported_ways, stage_report, group_detail, segment_features, road_features, road_kml, route_gpx,
     route_stats, nearest_ways, route_quality, route_choice, route_comparison, route_boxes, corridor_segments, ride_waypoints, sector_lobes, ride_chains, ride_stops, dense_stops, tile_features, rescored_tiles, unique_segments, refreshed_roads, tile_feed,
     roads_in_box, overlay_roads, find_roads, pass_lines, ingest_count, tile_segments, road_spacing, nearest_roads, tile_rings, region_order, region_files, stale_tiles, fresh_scores, kept_tiles, tiles_outside_box, loaded_tiles, status_counts,
