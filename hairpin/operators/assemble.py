@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hairpin.functions import geo, tags
+from hairpin.operators import stretches
 from hairpin.operators.components import connected_components
+from hairpin.operators.stretches import turn_of
 
 NEAR_M = 100.0
 STRAIGHT_M = 2414.0
 LOOK_AHEAD_M = 2400.0
 MIN_TURN = 20.0
+#: Components of more ways are ordered by their stretches.
+FOLDED_WAYS = 20000
 #: Degrees of latitude of a cell: a little more than NEAR_M.
 CELL = 0.001
 
@@ -47,10 +51,6 @@ def components(ends: DataFrame, links: DataFrame, key: str = "group_key") -> Dat
     return ends.join(named, [key, "way_id"], "left").withColumn("component", F.coalesce("_c", "way_id")).drop("_c")
 
 
-def _turn(a: float, b: float) -> float:
-    return abs((b - a + 180) % 360 - 180)
-
-
 def chain(ways: list[dict]) -> list[tuple[int, int, bool]]:
     """(way_id, pos, reversed) of the ways of one component, given in order of way_id.
 
@@ -77,7 +77,7 @@ def chain(ways: list[dict]) -> list[tuple[int, int, bool]]:
         for i, backwards in touching.get(end, []):
             if i in left and not (backwards and ways[i]["oneway"]):
                 enter = ways[i]["back_entry"] if backwards else ways[i]["entry"]
-                angle = _turn(heading, enter)
+                angle = turn_of(heading, enter)
                 if best is None or angle < best[0]:
                     best = (angle, i, backwards)
         if best is None:
@@ -87,27 +87,32 @@ def chain(ways: list[dict]) -> list[tuple[int, int, bool]]:
     return [(ways[i]["way_id"], pos, flip) for pos, (i, flip) in enumerate(out)]
 
 
-def ordered(ends: DataFrame, key: str = "group_key") -> DataFrame:
+def ordered(ends: DataFrame, key: str = "group_key", folded: int = FOLDED_WAYS) -> DataFrame:
     """``ends`` with pos and reversed: the place in its component's chain.
 
-    Python sees one small row for each way of a component with several; single ways never leave the JVM. Ends are matched on
-    coordinates in units of 1e-7 degrees.
+    Python sees one small row for each way of a component with several; single ways never leave the JVM. Components of more than
+    ``folded`` ways, read once to find them, are ordered by :mod:`hairpin.operators.stretches` instead, with the same result. Ends are
+    matched on coordinates in units of 1e-7 degrees.
     """
     sized = ends.withColumn("_n", F.count("*").over(Window.partitionBy(key, "component")))
-    unit = lambda p: F.when(F.col(p).isNotNull(), F.concat_ws(",", F.round(F.col(f"{p}.lat") * 1e7).cast("long"), F.round(F.col(f"{p}.lon") * 1e7).cast("long")))
-    thin = sized.where("_n > 1").select(key, "component", "way_id", (F.coalesce(F.col("oneway"), F.lit("")) == "yes").alias("oneway"), unit("first").alias("a"), unit("last").alias("b"), "entry", "exit", "back_entry", "back_exit")
+    unit = lambda p: F.when(F.col(p).isNotNull(), F.struct(F.round(F.col(f"{p}.lat") * 1e7).cast("long").alias("y"), F.round(F.col(f"{p}.lon") * 1e7).cast("long").alias("x")))
+    columns = [key, "component", "way_id", (F.coalesce(F.col("oneway"), F.lit("")) == "yes").alias("oneway"), unit("first").alias("a"), unit("last").alias("b"), "entry", "exit", "back_entry", "back_exit"]
+    thin = sized.where(f"_n > 1 AND _n <= {folded}").select(*columns)
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["way_id"])
         for r in rows:
             for c in "ab":
-                r[c] = tuple(map(int, r[c].split(","))) if r[c] is not None else None
+                r[c] = (r[c]["y"], r[c]["x"]) if r[c] is not None else None
         found = chain(rows)
         n = len(found)
         return pa.table({key: [rows[0][key]] * n, "way_id": [f[0] for f in found], "pos": pa.array([f[1] for f in found], pa.int32()), "reversed": [f[2] for f in found]})
 
     kind = ends.schema[key].dataType.simpleString()
     placed = thin.groupBy(key, "component").applyInArrow(run, f"{key} {kind}, way_id long, pos int, reversed boolean")
+    long = ends.groupBy(key, "component").agg(F.count("*").alias("_n")).where(F.col("_n") > folded).select(key, "component")
+    if not long.isEmpty():
+        placed = placed.unionByName(stretches.order(ends.join(long, [key, "component"], "left_semi").select(*columns), key))
     several = sized.where("_n > 1").join(placed, [key, "way_id"])
     return several.unionByName(sized.where("_n = 1").withColumns({"pos": F.lit(0), "reversed": F.lit(False)})).drop("_n")
 
