@@ -74,8 +74,8 @@ def kml_folders(roads: DataFrame, by_tier: bool = True) -> DataFrame:
     return roads.select("group_key", "sub_index", folder.alias("folder"))
 
 
-#: Colours of the tiers' lines, and those that raw ways take in turn; fixed values of the format (AABBGGRR).
-PALETTE = ["ff0000ff", "ff00a5ff", "ff00ffff", "ff00ff00", "ffffff00", "ffff0000", "ffff00ff", "ff800080", "ff008080", "ff808000", "ff000080", "ff008000"]
+#: The colours that raw ways take in turn (AABBGGRR).
+PALETTE = ["FF0000FF", "FFFF0000", "FF00FF00", "FF00FFFF", "FFFF00FF", "FFFFFF00", "FF0080FF", "FF800080", "FF008080", "FF80FF00", "FF0000A0", "FFA00000"]
 KML_HEAD = '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>'
 KML_FOOT = "</Document></kml>"
 
@@ -92,14 +92,16 @@ def kml_documents(folders: DataFrame, *keys: str) -> DataFrame:
 
 
 def raw_way_folders(ways: DataFrame) -> DataFrame:
-    """(way_id, seq, folder): each way with two nodes or more as a KML folder; colours go by the row number in its group (group_key)."""
-    rows = ways.where(F.size("geometry") >= 2)
+    """(group_key, way_id, seq, folder): each way with two nodes or more as a KML folder and placemark of its name; colours go by the row number
+    of a way in its group, by pos, counted with the ways that have no line."""
     seq = F.row_number().over(Window.partitionBy("group_key").orderBy("pos", "way_id")) - 1
     colour = F.element_at(F.array(*[F.lit(c) for c in PALETTE]), F.col("seq") % len(PALETTE) + 1)
-    text = F.format_string("Way %d | Highway: %s | Nodes: %d", "way_id", F.coalesce("highway", F.lit("")), F.size("geometry"))
-    mark = F.concat(F.lit("<Placemark><Style><LineStyle><color>"), colour, F.lit("</color><width>4</width></LineStyle></Style><LineString><coordinates>"), coordinates(F.col("geometry")), F.lit("</coordinates></LineString></Placemark>"))
-    folder = F.concat(F.lit("<Folder><name>way "), F.col("way_id").cast("string"), F.lit("</name><description>"), escaped(text), F.lit("</description>"), mark, F.lit("</Folder>"))
-    return rows.withColumn("seq", seq).select("group_key", "way_id", "seq", folder.alias("folder"))
+    tag = lambda c: F.coalesce(F.col(c), F.lit(""))
+    text = F.format_string("name=%s | ref=%s | highway=%s | nodes=%d", tag("name"), tag("ref"), tag("highway"), F.size("geometry"))
+    title = F.concat(F.lit("<name>Way "), F.col("way_id").cast("string"), F.lit("</name>"))
+    mark = F.concat(F.lit("<Placemark>"), title, F.lit("<Style><LineStyle><color>"), colour, F.lit("</color><width>4</width></LineStyle></Style><LineString><coordinates>"), coordinates(F.col("geometry")), F.lit("</coordinates></LineString></Placemark>"))
+    folder = F.concat(F.lit("<Folder>"), title, F.lit("<description>"), escaped(text), F.lit("</description>"), mark, F.lit("</Folder>"))
+    return ways.withColumn("seq", seq).where(F.size("geometry") >= 2).select("group_key", "way_id", "seq", folder.alias("folder"))
 
 
 def folder_entries(folders: DataFrame, prefix: str = "") -> DataFrame:

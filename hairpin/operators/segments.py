@@ -49,9 +49,9 @@ def way_ends(ways: DataFrame) -> DataFrame:
     return ways.withColumns({k: F.when(some, v) for k, v in values.items()})
 
 
-def way_totals(scored: DataFrame) -> DataFrame:
+def way_totals(scored: DataFrame, *keep: str) -> DataFrame:
     total = lambda f: F.aggregate("segments", F.lit(0.0), lambda s, x: s + x[f])
-    return scored.select("way_id", F.size("segments").cast("long").alias("n_segments"), total("score").alias("score"), total("length").alias("length"))
+    return scored.select("way_id", *keep, F.size("segments").cast("long").alias("n_segments"), total("score").alias("score"), total("length").alias("length"))
 
 
 def counts(ways: DataFrame) -> DataFrame:

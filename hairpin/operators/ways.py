@@ -46,12 +46,9 @@ def group_keys(with_refs: bool = True):
     return F.array_distinct(F.filter(F.concat(name, parts) if with_refs else name, lambda x: x.isNotNull() & (x != "")))
 
 
-def one_each(ways: DataFrame) -> DataFrame:
-    """One row of each way, of several that of the lowest tile_key: the one that :func:`grouped` takes as well."""
-    if "tile_key" not in ways.columns:
-        return ways.dropDuplicates(["way_id"])
-    others = F.struct(*[c for c in ways.columns if c != "way_id"])
-    return ways.groupBy("way_id").agg(F.min_by(others, "tile_key").alias("_w")).select("way_id", "_w.*")
+def copy_keys(ways: DataFrame) -> list[str]:
+    """What names a row of a way: its id and, where several tiles bring it, the tile."""
+    return ["way_id", *(["tile_key"] if "tile_key" in ways.columns else [])]
 
 
 def grouped(ways: DataFrame, with_refs: bool = True) -> DataFrame:
@@ -67,6 +64,12 @@ def in_box(ways: DataFrame, south: float, west: float, north: float, east: float
     return ways.where(F.exists("geometry", lambda p: p.lat.between(south, north) & p.lon.between(west, east)))
 
 
+def scored_in_box(scored: DataFrame, south: float, west: float, north: float, east: float) -> DataFrame:
+    """Scored ways of which a segment begins or ends in the box; a way without segments is in none. Asked of the geometry, whose points are
+    those ends, so that a filter ahead of the scoring doesn't work out the segments."""
+    return in_box(scored.where(F.size("geometry") >= 2), south, west, north, east)
+
+
 def find(ways: DataFrame, ref_part: str | None = None, name_part: str | None = None, exact: str | None = None, match: Column | None = None) -> DataFrame:
     """Ways whose ref or name contains a text, whose name or ref is one, or for which a condition of the caller's holds; case
     matters. All columns stay, so also the tile that a way was found in."""

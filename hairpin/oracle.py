@@ -333,6 +333,7 @@ TEXTS: dict[str, tuple] = {
     "merge_regions": ("SELECT way_id * 1000 + node_idx AS id, CASE WHEN lat7 < 400000000 THEN lat7 ELSE lat7 + 1 END AS lat7, lon7 FROM nodes", ["nodes"]),
     "find_ways": ("SELECT way_id, name, ref FROM tag WHERE contains(ref, 'R1') AND contains(name, 'Road 1')", ["tag"]),
     "ways_in_box": (f"SELECT DISTINCT way_id FROM n WHERE {_inside('lat', 'lon')}", ["n"]),
+    "scored_ways_in_box": (f"SELECT way_id, count(*) AS n_segments FROM seg GROUP BY way_id HAVING bool_or(({_inside('lat', 'lon')}) OR ({_inside('lat1', 'lon1')}))", ["seg"]),
     "ordered_ways": ("SELECT tag.way_id, coalesce(lat, 0.0) AS lat, coalesce(lon, 0.0) AS lon FROM tag LEFT JOIN n ON n.way_id = tag.way_id AND node_idx = 0", ["tag", "n"]),
     "way_tiles": ("SELECT way_id, lat_idx, lon_idx FROM wt", ["wt"]),
     "road_tiles": (
@@ -478,6 +479,13 @@ TEXTS: dict[str, tuple] = {
         [],
     ),
     "way_inspection": ("SELECT k.way_id, count(*) AS n_points FROM key JOIN kept k ON k.way_id = key.way_id JOIN n ON n.way_id = k.way_id WHERE group_key = 'R1' AND contains(ref, 'R1') GROUP BY k.way_id HAVING count(*) >= 2", ["key", "kept", "n"]),
+    "raw_way_kml": (
+        "SELECT group_key, way_id, seq, '<Folder><name>Way ' || way_id || '</name><description>name=' || group_key || ' | ref=' || coalesce(ref, '') || ' | highway=' || highway || ' | nodes=' || n || '</description><Placemark><name>Way ' || way_id || '</name><Style><LineStyle><color>' "
+        f"|| ({export.PALETTE!r})[seq % {len(export.PALETTE)} + 1] || '</color><width>4</width></LineStyle></Style><LineString><coordinates>' || line || '</coordinates></LineString></Placemark></Folder>' AS folder "
+        "FROM (SELECT t.name AS group_key, t.way_id, t.ref, t.highway, n, line, row_number() OVER (PARTITION BY t.name ORDER BY coalesce(lat7, 0), coalesce(lon7, 0), t.way_id) - 1 AS seq FROM tag t LEFT JOIN "
+        f"(SELECT way_id, count(*) AS n, arg_min(lat7, node_idx) AS lat7, arg_min(lon7, node_idx) AS lon7, string_agg({six('lon7')} || ',' || {six('lat7')} || ',0', ' ' ORDER BY node_idx) AS line FROM nodes GROUP BY way_id) g ON g.way_id = t.way_id WHERE t.name IS NOT NULL) WHERE n >= 2",
+        ["tag", "nodes"],
+    ),
     "kml_entries": (
         "SELECT name, string_agg(CAST(way_id AS VARCHAR), ',' ORDER BY way_id) AS way_ids, CAST(sum(n) AS BIGINT) + 1 AS n_points FROM (SELECT name, way_id, count(*) AS n FROM rseg WHERE name LIKE 'R1%' GROUP BY name, way_id) GROUP BY name",
         ["rseg"],

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hairpin.operators import assemble, segments
-from hairpin.operators.ways import grouped, hard_filter
+from hairpin.operators.ways import copy_keys, grouped, hard_filter
 from hairpin.plans import roads
 from hairpin.plans.lineage import cut
 
 
 def _totals(ways: DataFrame) -> DataFrame:
-    """(way_id, n, s, l): the segments, score and length of each way."""
-    t = segments.way_totals(segments.score_ways(ways.dropDuplicates(["way_id"])))
-    return t.select("way_id", F.col("n_segments").alias("n"), F.col("score").alias("s"), F.col("length").alias("l"))
+    """(way_id, n, s, l), with the tile where there is one: the segments, score and length of each copy of a way."""
+    keys = copy_keys(ways)
+    t = segments.way_totals(segments.score_ways(ways.dropDuplicates(keys)), *keys[1:])
+    return t.select(*keys, F.col("n_segments").alias("n"), F.col("score").alias("s"), F.col("length").alias("l"))
 
 
 def stage_report(ways: DataFrame, min_score: float, min_mph: float) -> DataFrame:
@@ -22,10 +23,11 @@ def stage_report(ways: DataFrame, min_score: float, min_mph: float) -> DataFrame
 
     Parts are components, chunks, pieces or roads. Scores before the scoring stage are 0. The last stage has the roads that are published.
     """
-    raw = grouped(ways).select("group_key", "way_id").join(_totals(ways), "way_id")
-    kept = grouped(hard_filter(ways)).select("group_key", "way_id").join(_totals(hard_filter(ways)), "way_id")
+    keys = copy_keys(ways)
+    raw = grouped(ways).select("group_key", *keys).join(_totals(ways), keys)
+    kept = grouped(hard_filter(ways)).select("group_key", *keys).join(_totals(hard_filter(ways)), keys)
     chunked = cut(roads.chunks(ways))
-    placed = chunked.select("group_key", "component", "chunk", "way_id").join(_totals(hard_filter(ways)), "way_id")
+    placed = chunked.select("group_key", "component", "chunk", *keys).join(_totals(hard_filter(ways)), keys)
     quiet = cut(assemble.without_wobbles(cut(assemble.flattened(roads.with_segments(chunked, ways)))))
     pieces = cut(assemble.split_straights(quiet))
     table = cut(assemble.penalised(assemble.build_roads(pieces)))
@@ -69,16 +71,16 @@ def group_detail(ways: DataFrame) -> DataFrame:
 def continuity(ways: DataFrame) -> DataFrame:
     """Per group: ways, nodes, length, components and the ways of the largest, whether there is one only, and its box."""
     ends = cut(roads.group_ends(ways))
-    found = assemble.components(ends, assemble.proximity_links(ends)).select("group_key", "way_id", "component")
+    found = assemble.components(ends, assemble.proximity_links(ends)).select("group_key", *copy_keys(ways), "component")
     g = F.col("geometry")
     bound = lambda f, c: f(F.transform(g, lambda p: p[c]))
-    own = segments.score_ways(hard_filter(ways).dropDuplicates(["way_id"]))
+    own = segments.score_ways(hard_filter(ways).dropDuplicates(copy_keys(ways)))
     own = own.select(
-        "way_id", F.size(g).alias("nodes"), F.aggregate("segments", F.lit(0.0), lambda s, x: s + x.length).alias("l"),
+        *copy_keys(ways), F.size(g).alias("nodes"), F.aggregate("segments", F.lit(0.0), lambda s, x: s + x.length).alias("l"),
         bound(F.array_min, "lat").alias("south"), bound(F.array_min, "lon").alias("west"), bound(F.array_max, "lat").alias("north"), bound(F.array_max, "lon").alias("east"),
     )
     sums = [F.sum("nodes").alias("nodes"), F.sum("l").alias("l"), F.min("south").alias("south"), F.min("west").alias("west"), F.max("north").alias("north"), F.max("east").alias("east")]
-    by = found.join(own, "way_id").groupBy("group_key", "component").agg(F.count("*").alias("n"), *sums)
+    by = found.join(own, copy_keys(ways)).groupBy("group_key", "component").agg(F.count("*").alias("n"), *sums)
     return by.groupBy("group_key").agg(
         F.sum("n").alias("n_ways"), F.sum("nodes").alias("n_nodes"), F.sum("l").alias("length"), F.count("*").alias("n_components"), F.max("n").alias("largest"), (F.count("*") == 1).alias("contiguous"),
         F.min("south").alias("south"), F.min("west").alias("west"), F.max("north").alias("north"), F.max("east").alias("east"),

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from hairpin.functions import tags
 from hairpin.operators import assemble, segments
-from hairpin.operators.ways import grouped, hard_filter, one_each
+from hairpin.operators.ways import copy_keys, grouped, hard_filter
 from hairpin.plans.lineage import cut
 
 
 def group_ends(ways: DataFrame, with_refs: bool = True) -> DataFrame:
     """Kept ways, once for each of their groups, with their ends: small rows, without geometry and segments."""
     ends = segments.way_ends(grouped(hard_filter(ways), with_refs))
-    return ends.select("group_key", "way_id", "oneway", "first", "last", "entry", "exit", "back_entry", "back_exit")
+    return ends.select("group_key", *copy_keys(ends), "oneway", "first", "last", "entry", "exit", "back_entry", "back_exit")
 
 
 def chunks(ways: DataFrame, with_refs: bool = True) -> DataFrame:
@@ -25,9 +25,10 @@ def chunks(ways: DataFrame, with_refs: bool = True) -> DataFrame:
 
 
 def with_segments(rows: DataFrame, ways: DataFrame) -> DataFrame:
-    """``rows`` with the segments, class and speed of their ways: the one join that moves segments."""
-    own = segments.score_ways(one_each(hard_filter(ways))).select("way_id", "highway", "maxspeed", "segments")
-    return rows.join(own, "way_id")
+    """``rows`` with the segments, class and speed of their ways, of the copy that their ends came from: the one join that moves segments."""
+    keys = copy_keys(ways)
+    own = segments.score_ways(hard_filter(ways).dropDuplicates(keys)).select(*keys, "highway", "maxspeed", "segments")
+    return rows.join(own, keys)
 
 
 def road_table(ways: DataFrame, with_refs: bool = True) -> DataFrame:

@@ -98,6 +98,10 @@ def ways_in_box(spark: SparkSession, d: str) -> DataFrame:
     return way_ops.in_box(adapter.ways(spark, d), *BOX).select("way_id")
 
 
+def scored_ways_in_box(spark: SparkSession, d: str) -> DataFrame:
+    return way_ops.scored_in_box(_scored(spark, d), *BOX).select("way_id", F.size("segments").cast("long").alias("n_segments"))
+
+
 def ordered_ways(spark: SparkSession, d: str) -> DataFrame:
     first = F.get("geometry", F.lit(0))
     return adapter.ways(spark, d).select("way_id", F.coalesce(first.lat, F.lit(0.0)).alias("lat"), F.coalesce(first.lon, F.lit(0.0)).alias("lon")).orderBy("lat", "lon", "way_id")
@@ -613,9 +617,16 @@ def way_inspection(spark: SparkSession, d: str) -> DataFrame:
     w = way_ops.find(adapter.ways(spark, d), ref_part="R1")
     w = way_ops.distinct_ways(w.withColumn("tile_key", F.lit("a"))).drop("tile_key")
     placed = roads.chunks(w).where("group_key = 'R1'").select("group_key", "component", "way_id", "pos")
-    rows = placed.join(w.select("way_id", "highway", "geometry"), "way_id").withColumn("group_key", F.concat_ws("/", "group_key", "component"))
+    rows = placed.join(w.select("way_id", "name", "ref", "highway", "geometry"), "way_id").withColumn("group_key", F.concat_ws("/", "group_key", "component"))
     f = export.folder_entries(export.raw_way_folders(rows))
-    return f.select(F.regexp_extract("name", "way ([0-9]+)", 1).cast("long").alias("way_id"), "n_points")
+    return f.select(F.regexp_extract("name", "Way ([0-9]+)", 1).cast("long").alias("way_id"), "n_points")
+
+
+def raw_way_kml(spark: SparkSession, d: str) -> DataFrame:
+    """The ways of each name from south to north as KML folders."""
+    start = F.get("geometry", F.lit(0))
+    w = adapter.ways(spark, d).where("name IS NOT NULL").withColumns({"group_key": F.col("name"), "pos": F.struct(F.coalesce(start.lat, F.lit(0.0)), F.coalesce(start.lon, F.lit(0.0)))})
+    return export.raw_way_folders(w).withColumn("seq", F.col("seq").cast("long"))
 
 
 def kml_entries(spark: SparkSession, d: str) -> DataFrame:
@@ -684,12 +695,12 @@ def tile_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    way_assembly, hard_filter, drivable_ways, pipeline_counts, segment_scores, way_totals, way_ends, group_ways, name_groups, distinct_ways, merge_regions, find_ways, ways_in_box, ordered_ways,
+    way_assembly, hard_filter, drivable_ways, pipeline_counts, segment_scores, way_totals, way_ends, group_ways, name_groups, distinct_ways, merge_regions, find_ways, ways_in_box, scored_ways_in_box, ordered_ways,
     way_tiles, road_tiles, tile_status, new_tiles, locate_ways, way_speeds, name_scores, top_names, name_speeds, name_colours, route_faults, proximity_links, road_components, continuity, component_gaps, component_links,
     chained_ways, straight_splits, wobble_filter, tier_runs, tier_histogram, viewport_score, road_table, ranked_roads, top_roads, road_boxes, exported_ways, stage_report, group_detail, segment_features, road_features, road_kml, route_gpx,
     route_stats, nearest_ways, route_quality, route_choice, route_comparison, route_boxes, corridor_segments, ride_waypoints, sector_lobes, ride_chains, ride_stops, dense_stops, tile_features, rescored_tiles, unique_segments, refreshed_roads, tile_feed,
     roads_in_box, overlay_roads, find_roads, pass_lines, ingest_count, tile_segments, road_spacing, nearest_roads, tile_rings, region_order, region_files, stale_tiles, fresh_scores, kept_tiles, tiles_outside_box, loaded_tiles, status_counts,
-    route_view, way_headings, circle_tiles, valid_points, route_durations, ride_cells, way_inspection, kml_entries, route_kml, leg_snaps,
+    route_view, way_headings, circle_tiles, valid_points, route_durations, ride_cells, way_inspection, raw_way_kml, kml_entries, route_kml, leg_snaps,
     trip_routes, coded_routes, trip_stops, trip_turns, tile_table,
 ]
 

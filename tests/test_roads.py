@@ -13,7 +13,7 @@ from hairpin.functions import geo, tags
 from hairpin.operators import assemble, export, routes, segments, waypoints
 from hairpin.operators import ways as way_ops
 from hairpin.operators.components import connected_components
-from hairpin.plans import adapter, roads
+from hairpin.plans import adapter, reports, roads
 from hairpin.sources import tiles
 
 TAGS = "name string, ref string, highway string, maxspeed string, oneway string, surface string, access string, motor_vehicle string"
@@ -314,6 +314,26 @@ def test_of_a_ways_rows_the_lowest_tile_wins(spark):
     assert [(r.tile_key, r.v) for r in way_ops.grouped(df).collect()] == [("a", 1)]
 
 
+def test_ends_and_segments_are_of_one_copy(spark):
+    old, new = arc(40.0, -72.0, 50, 180, 12), arc(40.0, -72.0, 200, 90, 30)
+    rows = [(*way(1, old, "Old name"), "b"), (*way(1, new, "New name"), "a"), (*way(2, old, "Both"), "b"), (*way(2, new, "Both"), "a"), (*way(1, old, "New name"), "c")]
+    df = spark.createDataFrame(rows, f"{WAY}, tile_key string")
+    for n in (1, 3):
+        table = roads.road_table(df.repartition(n)).collect()
+        assert {r.group_key: len(r.segments) for r in table} == {"Old name": 11, "New name": 29, "Both": 29}
+    totals = {(r.group_key, r.stage): r.n_segments for r in reports.stage_report(df, 0.0, 0.0).collect()}
+    assert all(totals[g, s] == n for g, n in (("Old name", 11), ("New name", 29)) for s in ("tile_cache", "scoring", "ordering", "deflection_filter"))
+    assert {r.group_key: r.n_nodes for r in reports.continuity(df).collect()} == {"Old name": 12, "New name": 30, "Both": 30}
+
+
+def test_raw_ways_keep_their_place_in_the_palette(spark):
+    lines = [way(k, [(40.0, -72.0)] if k == 2 else [(40.0, -72.0 + k), (40.1, -72.0)], "A & B" if k == 1 else None, ref="R1" if k == 3 else None) for k in range(1, 15)]
+    found = {r.way_id: r for r in export.raw_way_folders(spark.createDataFrame(lines, WAY).withColumns({"group_key": F.lit("g"), "pos": F.col("way_id")})).collect()}
+    assert 2 not in found and len(found) == 13
+    assert all(f"<color>{export.PALETTE[(k - 1) % 12]}</color>" in r.folder and r.seq == k - 1 for k, r in found.items())
+    assert "<name>Way 1</name><description>name=A &amp; B | ref= | highway=secondary | nodes=2</description>" in found[1].folder and "name= | ref=R1 |" in found[3].folder
+
+
 def test_kml_is_framed_and_read_back(spark):
     df = spark.createDataFrame([way(7, arc(40.0, -72.0, 50, 180, 8), "Pine & <Hill>"), way(8, [(41.0, -72.0), (41.001, -72.0)], "Oak")], WAY)
     table = roads.road_table(df)
