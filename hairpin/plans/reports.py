@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hairpin.operators import assemble, segments
 from hairpin.operators.ways import copy_keys, grouped, hard_filter
 from hairpin.plans import roads
-from hairpin.plans.lineage import cut
+from hairpin.plans.lineage import cut, store
 
 
 def _totals(ways: DataFrame) -> DataFrame:
@@ -23,6 +23,7 @@ def stage_report(ways: DataFrame, min_score: float, min_mph: float) -> DataFrame
 
     Parts are components, chunks, pieces or roads. Scores before the scoring stage are 0. The last stage has the roads that are published.
     """
+    ways = store(ways)
     keys = copy_keys(ways)
     raw = grouped(ways).select("group_key", *keys).join(_totals(ways), keys)
     kept = grouped(hard_filter(ways)).select("group_key", *keys).join(_totals(hard_filter(ways)), keys)
@@ -58,6 +59,7 @@ def stage_report(ways: DataFrame, min_score: float, min_mph: float) -> DataFrame
 def group_detail(ways: DataFrame) -> DataFrame:
     """(group_key, component, n_ways, n_chunks, n_pieces, score_before, score_after, zeroed): each component before and after the wobble
     filter; zeroed counts the segments that had a score."""
+    ways = store(ways)
     flat = assemble.flattened(roads.with_segments(roads.chunks(ways), ways))
     quiet = cut(assemble.without_wobbles(cut(flat)))
     pieces = assemble.split_straights(quiet).groupBy("group_key", "component").agg(F.countDistinct("chunk", "piece").alias("n_pieces"))
@@ -70,6 +72,7 @@ def group_detail(ways: DataFrame) -> DataFrame:
 
 def continuity(ways: DataFrame) -> DataFrame:
     """Per group: ways, nodes, length, components and the ways of the largest, whether there is one only, and its box."""
+    ways = store(ways)
     ends = cut(roads.group_ends(ways))
     found = assemble.components(ends, assemble.proximity_links(ends)).select("group_key", *copy_keys(ways), "component")
     g = F.col("geometry")
