@@ -27,9 +27,10 @@ def stage_report(ways: DataFrame, min_score: float, min_mph: float) -> DataFrame
     keys = copy_keys(ways)
     raw = grouped(ways).select("group_key", *keys).join(_totals(ways), keys)
     kept = grouped(hard_filter(ways)).select("group_key", *keys).join(_totals(hard_filter(ways)), keys)
-    chunked = cut(roads.chunks(ways))
+    own, distinct = roads.kept_ways(ways)
+    chunked = cut(roads.chunks(own, distinct=distinct))
     placed = chunked.select("group_key", "component", "chunk", *keys).join(_totals(hard_filter(ways)), keys)
-    quiet = cut(assemble.without_wobbles(cut(assemble.flattened(roads.with_segments(chunked, ways)))))
+    quiet = cut(assemble.without_wobbles(cut(assemble.flattened(roads.with_segments(chunked, own, distinct=True)))))
     pieces = cut(assemble.split_straights(quiet))
     table = cut(assemble.penalised(assemble.build_roads(pieces)))
     zero, one = F.lit(0.0), F.lit(1).cast("long")
@@ -59,9 +60,8 @@ def stage_report(ways: DataFrame, min_score: float, min_mph: float) -> DataFrame
 def group_detail(ways: DataFrame) -> DataFrame:
     """(group_key, component, n_ways, n_chunks, n_pieces, score_before, score_after, zeroed): each component before and after the wobble
     filter; zeroed counts the segments that had a score."""
-    ways = store(ways)
-    flat = assemble.flattened(roads.with_segments(roads.chunks(ways), ways))
-    quiet = cut(assemble.without_wobbles(cut(flat)))
+    kept, distinct = roads.kept_ways(ways)
+    quiet = store(assemble.without_wobbles(roads.flat_segments(kept, distinct)))
     pieces = assemble.split_straights(quiet).groupBy("group_key", "component").agg(F.countDistinct("chunk", "piece").alias("n_pieces"))
     before = quiet.groupBy("group_key", "component").agg(
         F.countDistinct("way_id").alias("n_ways"), F.countDistinct("chunk").alias("n_chunks"), F.sum("was_score").alias("score_before"), F.sum("score").alias("score_after"),
@@ -74,7 +74,7 @@ def continuity(ways: DataFrame) -> DataFrame:
     """Per group: ways, nodes, length, components and the ways of the largest, whether there is one only, and its box."""
     ways = store(ways)
     ends = cut(roads.group_ends(ways))
-    found = assemble.components(ends, assemble.proximity_links(ends)).select("group_key", *copy_keys(ways), "component")
+    found = assemble.near_components(ends).select("group_key", *copy_keys(ways), "component")
     g = F.col("geometry")
     bound = lambda f, c: f(F.transform(g, lambda p: p[c]))
     own = segments.score_ways(hard_filter(ways).dropDuplicates(copy_keys(ways)))
