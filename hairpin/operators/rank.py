@@ -43,7 +43,9 @@ def overlay(roads: DataFrame, min_score: float, min_mph: float = 0.0) -> DataFra
 
 
 def road_boxes(roads: DataFrame) -> DataFrame:
-    """Per road its box, ends and ways."""
+    """Per road its box, ends and ways; of a table with segments, or of one with sums."""
+    if "segments" not in roads.columns:
+        return roads.where("n_segments > 0").select("group_key", "sub_index", "way_ids", "south", "west", "north", "east", "first", "last")
     p = F.concat(F.transform("segments", lambda s: s.start), F.transform("segments", lambda s: s.end))
     bound = lambda f, c: f(F.transform(p, lambda x: x[c]))
     return roads.where(F.size("segments") > 0).select(
@@ -52,9 +54,13 @@ def road_boxes(roads: DataFrame) -> DataFrame:
     )
 
 
+def touches_box(start: Column, end: Column, south: float, west: float, north: float, east: float) -> Column:
+    """Whether a segment begins or ends in a box."""
+    return geo.in_box(start, south, west, north, east) | geo.in_box(end, south, west, north, east)
+
+
 def roads_in_box(roads: DataFrame, south: float, west: float, north: float, east: float) -> DataFrame:
-    inside = lambda p: p.lat.between(south, north) & p.lon.between(west, east)
-    return roads.where(F.exists("segments", lambda s: inside(s.start) | inside(s.end)))
+    return roads.where(F.exists("segments", lambda s: touches_box(s.start, s.end, south, west, north, east)))
 
 
 def find_roads(roads: DataFrame, name: str | None = None, way_id: int | None = None) -> DataFrame:

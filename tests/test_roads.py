@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hairpin import queries
 from hairpin.functions import geo, tags
-from hairpin.operators import assemble, export, routes, segments, waypoints
+from hairpin.operators import assemble, export, rank, routes, segments, waypoints
 from hairpin.operators import ways as way_ops
 from hairpin.operators.components import connected_components
 from hairpin.plans import adapter, reports, roads
@@ -353,3 +353,24 @@ def test_gpx_has_waypoints_before_the_track(spark):
     a, b = (r.document for r in export.gpx_documents(df, F.lit("N"), F.lit("D")).orderBy("request_id").collect())
     assert 'creator="hairpin"' in a and '<wpt lat="1.000000" lon="2.000000"><name>A&amp;B</name></wpt><trk><name>N</name><desc>D</desc>' in a and "<wpt" not in b
     assert "<coordinates>2.000000,1.000000,0 2.500000,1.500000,0</coordinates>" in export.route_kml(df, F.lit("N")).first().document
+
+
+def test_sums_of_roads_are_those_of_their_segments(spark):
+    """The table without segments says of each road what the one with them does, and holds none on the way."""
+    lines = [_winding(42.0 + 0.3 * k, -72.0, 24) for k in range(3)] + [[(43.0 + 0.01 * k, -72.0) for k in range(9)]]
+    df = spark.createDataFrame([way(k + 1, line, name="A" if k < 2 else f"N{k}") for k, line in enumerate(lines)], WAY)
+    box = (42.0, -72.5, 42.2, -71.5)
+    sums = roads.road_sums(df, inside=rank.touches_box(F.col("start"), F.col("end"), *box))
+    assert "segments" not in sums.columns and "collect_list(struct(idx" not in sums._jdf.queryExecution().analyzed().toString()
+    table = roads.road_table(df)
+    both = ["group_key", "sub_index", "way_ids", "highway_types", "way_speeds", "total_length", "total_score", "penalized_score", "penalty_factor"]
+    near = lambda rows: sorted(str([round(x, 6) if isinstance(x, float) else x for x in r][:4]) + str([round(x, 6) for x in r[5:]]) for r in rows)
+    assert near(sums.select(both).collect()) == near(table.select(both).collect())
+    assert sorted((r.group_key, r.sub_index, r.n_segments) for r in sums.collect()) == sorted((r.group_key, r.sub_index, len(r.segments)) for r in table.collect())
+    assert sorted(map(str, rank.road_boxes(sums).collect())) == sorted(map(str, rank.road_boxes(table).collect()))
+    keys = lambda t: sorted((r.group_key, r.sub_index) for r in t.collect())
+    assert keys(sums.where("inside")) == keys(rank.roads_in_box(table, *box))
+    assert 0 < sums.where("inside").count() < sums.count() and sums.where("n_segments = 0").count() == 1
+    # fewer fields of segments, the same roads
+    few = roads.road_table(df, fields=("start", "end"))
+    assert sorted(map(str, waypoints.midpoints(few).collect())) == sorted(map(str, waypoints.midpoints(table).collect()))
