@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from hairpin.llm.batches import Texts, arrow_rows, mix, slices, span_hashes
 from hairpin.operators.components import connected_components
-from hairpin.plans.lineage import cut, discard, store
+from hairpin.plans.lineage import cut, discard, in_tasks, store
 
 WORDS = 5
 #: The similarity, as a fraction.
@@ -42,6 +42,8 @@ VERIFY_COST = 20.0
 HEAVY = 50_000
 #: Postings of a bucket, expected.
 BUCKET_POSTINGS = 500_000
+#: Postings of a task, and pairs whose sets it holds against each other.
+POSTINGS_OF_TASK, PAIRS_OF_TASK = 50_000, 2_000
 #: Bits of the filter of classes that a verification reads.
 FILTER_BITS = 23
 _U = np.uint64
@@ -130,7 +132,7 @@ def _sketch(measured: DataFrame) -> np.ndarray:
             total += np.frombuffer(zstandard.decompress(blob), np.uint16)
         return pa.table({"part": table.column("part")[:1], "levels": pa.array([_levels(total).tobytes()], pa.binary())})
 
-    rows = measured.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(add, "part int, levels binary").collect()
+    rows = measured.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(add, "part int, levels binary").coalesce(SKETCH_PARTS).collect()
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in rows:
         out[r["part"] * (len(out) // SKETCH_PARTS) : (r["part"] + 1) * (len(out) // SKETCH_PARTS)] = np.frombuffer(r["levels"], np.uint8)
@@ -274,7 +276,7 @@ def _verified(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
                 good.append(DENOMINATOR * inter >= NUMERATOR * (len(p) + len(q) - inter))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+    return in_tasks(both.select("a", "b", "x", "y"), pairs.count(), PAIRS_OF_TASK).mapInArrow(judge, "a long, b long")
 
 
 def _with_matches(pairs: DataFrame, postings: DataFrame) -> DataFrame:
@@ -299,15 +301,17 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     total = rows.agg(F.sum("n")).first()[0] or 0
     levels = spark.sparkContext.broadcast(_sketch(measured))
     buckets = max(16, int(total * 0.22 / BUCKET_POSTINGS))
-    postings = store(_shared(_postings(docs, text, levels, total / (1 << SKETCH_BITS), buckets)))
+    postings = store(_shared(_postings(docs, text, levels, total / (1 << SKETCH_BITS), buckets)).coalesce(2 * buckets))
+    size = postings.count()
+    few = lambda df: in_tasks(df, size, POSTINGS_OF_TASK)
 
     # each class against the pivot that it shares most tokens with
     pivot = postings.groupBy("token").agg(F.min(F.struct("at", "sig", "n", "m")).alias("p"))
     star = postings.alias("x").join(pivot, "token").select("x.*", "p").where((F.col("sig") != F.col("p.sig")) & _may_link("x", "p"))
     sizes = F.first(F.struct("n", "m")).alias("x"), F.first(F.struct("p.n", "p.m")).alias("y")
     star = star.groupBy("sig", F.col("p.sig").alias("b")).agg(F.count("*").alias("c"), *sizes).groupBy("sig").agg(F.max(F.struct("c", "b", "x", "y")).alias("best"))
-    star = cut(star.select(F.col("sig").alias("a"), "best.b", "best.x", "best.y"))
-    linked = cut(_verified(docs, text, cut(_with_matches(star, postings))).unionByName(several))
+    star = cut(few(star.select(F.col("sig").alias("a"), "best.b", "best.x", "best.y")))
+    linked = cut(_verified(docs, text, cut(few(_with_matches(star, postings)))).unionByName(several))
     joined = connected_components(linked, "a", "b")
 
     # pairs of classes that aren't joined yet; first has the places of a class's first shared tokens, without m of which in
@@ -315,7 +319,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     of_class = Window.partitionBy("sig")
     known = postings.join(joined, F.col("sig") == F.col("id"), "left").select("token", "sig", "n", "m", "at", F.coalesce("component", "sig").alias("c"))
     known = known.withColumn("k", F.row_number().over(of_class.orderBy("at")))
-    known = store(known.withColumn("first", F.array(*[F.max(F.when(F.col("k") == j, F.col("at"))).over(of_class) for j in range(1, MOST_MATCHES + 1)])).drop("k"))
+    known = store(few(known.withColumn("first", F.array(*[F.max(F.when(F.col("k") == j, F.col("at"))).over(of_class) for j in range(1, MOST_MATCHES + 1)])).drop("k")))
     mixed = known.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("token")
     left = known.join(mixed, "token", "left_semi")
     x, y = left.alias("x"), left.alias("y")
@@ -323,7 +327,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     enough = lambda s: F.coalesce(F.get(f"{s}.first", m - 1) < F.col(f"{s}.n") - _need("x", "y") + m, F.lit(False))
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.sig") < F.col("y.sig")) & _may_link("x", "y") & enough("x") & enough("y"))
     pairs = cut(met.groupBy(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).agg(F.first(F.struct("x.n", "x.m")).alias("x"), F.first(F.struct("y.n", "y.m")).alias("y")))
-    more = _verified(docs, text, cut(_with_matches(pairs, left)))
+    more = _verified(docs, text, cut(few(_with_matches(pairs, left))))
     final = connected_components(linked.unionByName(more), "a", "b")
     discard(postings, known)
     levels.unpersist()
