@@ -79,3 +79,56 @@ def test_ends_are_taken_before_ways_are_grouped(spark):
     assert "geometry" not in planned(ends).split("Exchange")[0]
     assert sorted((r.group_key, r.n_segments) for r in ends.collect()) == [("Pass", 1), ("R1", 1), ("R2", 1)]
     assert sorted(r.group_key for r in roads.road_table(ways).collect()) == ["Pass", "R1", "R2"]
+
+
+def _tables_of_roads(spark, path):
+    """Orders and lines of a few roads, some without lines, one that turns on the spot."""
+    orders = [(10 * road + k, road, "1-URGENT") for road in range(1, 12) for k in range(6)]
+    lines = [(o, 37 * o + n, o % 5 + n, n, 10.0 + n, 1.0 * n) for o, _, _ in orders if o % 10 != 2 for n in range(1, 5)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_routes_are_those_of_the_sql_and_their_places_are_found_once(spark, tmp_path):
+    d = _tables_of_roads(spark, tmp_path)
+    want = {}
+    for r in adapter.route_points(spark, d).orderBy("request_id", "route_idx", "pt_idx").collect():
+        want.setdefault((r.request_id, r.route_idx), []).append((r.lat, r.lon))
+    found = adapter.routes(spark, d)
+    assert {(r.request_id, r.route_idx): [tuple(p) for p in r.points] for r in found.collect()} == want and len(want) == 33
+    assert all(r.duration == 30.0 * len(r.points) for r in found.collect())
+    plan = planned(adapter.routes(spark, d))
+    assert "Union" not in plan and plan.count("Exchange") <= 3
+
+
+def test_steps_are_the_segments_without_their_scores(spark, tmp_path):
+    ways = adapter.ways(spark, _tables_of_roads(spark, tmp_path))
+    found = segments.steps(ways)
+    want = segments.exploded(segments.score_ways(ways)).select("way_id", "seg_idx", "start", "end")
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+    assert "ASIN" not in planned(found).upper() and "ASIN" in planned(want).upper()
+
+
+def test_nearest_ways_copy_nodes_and_move_no_matches(spark):
+    """Against all pairs, over borders of cells and far to the north; of equals the lowest id."""
+    from hairpin.functions import geo
+    from hairpin.operators import routes
+
+    rng, probes, nodes = random.Random(8), [], []
+    for lat, lon in ((40.0, -80.0), (-0.0001, 0.0001), (84.9999, 19.9999)):
+        for i in range(60):
+            probes.append((len(probes), (lat + rng.uniform(-0.001, 0.001), lon + rng.uniform(-0.004, 0.004))))
+            nodes += [(w, lat + rng.uniform(-0.001, 0.001), lon + rng.uniform(-0.004, 0.004)) for w in (len(nodes), len(nodes) + 1)]
+    nodes += [(999, *probes[0][1]), (998, *probes[0][1])]
+    points = spark.createDataFrame(probes, f"leg long, mid {POINT}")
+    side = spark.createDataFrame(nodes, "way_id long, lat double, lon double")
+    met = points.crossJoin(side).withColumn("d", geo.haversine(F.col("mid"), F.struct("lat", "lon"))).where(F.col("d") <= routes.MATCH_M)
+    want = {r.leg: r.way_id for r in met.groupBy("leg").agg(F.min_by("way_id", F.struct("d", "way_id")).alias("way_id")).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = routes.nearest_way(points, side, ["leg"])
+        assert {r.leg: r.way_id for r in found.collect()} == want and want[0] == 998 and len(want) > 40
+        assert planned(found).split("Initial Plan")[-1].count("Exchange") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
