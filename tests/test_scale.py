@@ -132,3 +132,15 @@ def test_nearest_ways_copy_nodes_and_move_no_matches(spark):
         assert planned(found).split("Initial Plan")[-1].count("Exchange") == 2
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_region_files_find_places_once(spark, tmp_path, monkeypatch):
+    """Ways are named from the orders alone: no geometry is put together for them."""
+    from hairpin import queries
+
+    d = _tables_of_roads(spark, tmp_path)
+    n = adapter.nodes(spark, d)
+    nodes, ways = n.count(), n.select("way_id").distinct().count()
+    monkeypatch.setattr(adapter, "ways", None)
+    found = queries.region_files(spark, d)
+    assert {r.kind: r["count"] for r in found.groupBy("kind").count().collect()} == {"node": nodes, "way": ways, "relation": 11}
