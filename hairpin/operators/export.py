@@ -21,12 +21,16 @@ def escaped(text: Column) -> Column:
 
 def segment_features(roads: DataFrame, ways: DataFrame) -> DataFrame:
     """(way_id, feature): a LineString for each segment of each road, with its way's class and speed where it has them."""
-    rows = roads.select(display_name().alias("road_name"), F.explode_outer("segments").alias("s")).where("s IS NOT NULL").withColumn("way_id", F.col("s.way_id"))
-    known = ways.select("way_id", F.nullif("highway", F.lit("")).alias("highway"), F.nullif("maxspeed", F.lit("")).alias("maxspeed"))
-    rows = rows.join(known, "way_id", "left")
-    shape = F.struct(F.lit("LineString").alias("type"), F.array(_pair(F.col("s.start")), _pair(F.col("s.end"))).alias("coordinates"))
-    properties = F.struct("road_name", F.col("s.tier").alias("tier"), F.col("s.score").alias("score"), "way_id", "highway", "maxspeed")
-    return rows.select("way_id", F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), properties.alias("properties"))).alias("feature"))
+    rows = roads.select("group_key", "sub_index", F.explode_outer("segments").alias("s")).where("s IS NOT NULL").select("group_key", "sub_index", "s.*")
+    return numbered_features(rows.join(ways.select("way_id", "highway", "maxspeed"), "way_id", "left"))
+
+
+def numbered_features(segments: DataFrame) -> DataFrame:
+    """The same of segments (group_key, sub_index, way_id, highway, maxspeed, start, end, tier, score) that no road holds: a projection."""
+    tag = lambda c: F.nullif(c, F.lit("")).alias(c)
+    shape = F.struct(F.lit("LineString").alias("type"), F.array(_pair(F.col("start")), _pair(F.col("end"))).alias("coordinates"))
+    properties = F.struct(display_name().alias("road_name"), "tier", "score", "way_id", tag("highway"), tag("maxspeed"))
+    return segments.select("way_id", F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), properties.alias("properties"))).alias("feature"))
 
 
 def road_features(roads: DataFrame) -> DataFrame:
@@ -60,16 +64,22 @@ def _runs(segments: Column) -> Column:
     return F.aggregate(segments, empty, lambda s, x: F.when(F.coalesce(last(s).tier == x.tier, F.lit(False)), longer(s, x)).otherwise(F.concat(s, F.array(fresh(x)))))
 
 
+def line() -> Column:
+    """The points of a road of segments, in order."""
+    s = F.col("segments")
+    return F.when(F.size(s) > 0, F.concat(F.array(F.get(s, F.lit(0)).start), F.transform(s, lambda x: x.end))).otherwise(F.array().cast("array<struct<lat:double,lon:double>>"))
+
+
 def kml_folders(roads: DataFrame, by_tier: bool = True) -> DataFrame:
-    """(group_key, sub_index, folder): each road as a KML folder, its runs in the colour of their tier or all in one by its score."""
+    """(group_key, sub_index, folder): each road as a KML folder, its runs in the colour of their tier or all in one by its score. For the latter a road
+    may have its :func:`line` instead of segments."""
     mark = lambda style, points: F.concat(F.lit("<Placemark>"), style, F.lit("<LineString><coordinates>"), coordinates(points), F.lit("</coordinates></LineString></Placemark>"))
     if by_tier:
         marks = F.array_join(F.transform(_runs(F.col("segments")), lambda r: mark(F.concat(F.lit("<styleUrl>#tier"), r.tier.cast("string"), F.lit("</styleUrl>")), r.points)), "")
     else:
         colour = tags.colour_kml(tags.colour_level(F.col("total_score")))
         style = F.concat(F.lit("<Style><LineStyle><color>"), colour, F.lit("</color><width>4</width></LineStyle></Style>"))
-        line = F.when(F.size("segments") > 0, F.concat(F.array(F.get("segments", F.lit(0)).start), F.transform("segments", lambda s: s.end))).otherwise(F.array().cast("array<struct<lat:double,lon:double>>"))
-        marks = mark(style, line)
+        marks = mark(style, F.col("line") if "line" in roads.columns else line())
     folder = F.concat(F.lit("<Folder><name>"), escaped(display_name()), F.lit("</name><description>"), escaped(description()), F.lit("</description>"), marks, F.lit("</Folder>"))
     return roads.select("group_key", "sub_index", folder.alias("folder"))
 

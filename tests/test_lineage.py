@@ -26,3 +26,21 @@ def test_the_setting_is_restored_when_a_write_fails(spark):
     with pytest.raises(Exception):  # noqa: B017
         lineage.store(spark.range(5).select(F.raise_error(F.lit("no")).alias("x")))
     assert spark.conf.get(lineage.CLEANUP) == before
+
+
+def test_what_is_stored_in_a_scratch_goes_but_what_is_kept(spark):
+    from pathlib import Path
+
+    there = lambda df: Path(df.inputFiles()[0].removeprefix("file:").rpartition("/")[0].replace("///", "/")).exists()
+    outside = lineage.store(spark.range(3))
+    with lineage.scratch(spark) as keep:
+        own = lineage.store(spark.range(5))
+        with lineage.scratch(spark) as keep_inner:
+            inner, passed = lineage.store(spark.range(6)), keep_inner(spark.range(7))
+        assert not there(inner) and there(passed) and there(own)
+        kept = keep(own.where("id > 1"))
+    assert not there(own) and not there(passed) and there(kept) and there(outside) and kept.count() == 3
+    with pytest.raises(ZeroDivisionError), lineage.scratch(spark):
+        own = lineage.store(spark.range(5))
+        1 / 0  # noqa: B018
+    assert not there(own)

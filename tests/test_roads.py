@@ -3,6 +3,7 @@
 import math
 import random
 from hashlib import sha256
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -377,3 +378,51 @@ def test_sums_of_roads_are_those_of_their_segments(spark):
     # places of roads without their segments, which don't come where roads are counted
     placed = roads.road_table(df, fields=("start", "end"), **waypoints.places())
     assert "segments" not in placed.columns and sorted(map(str, waypoints.midpoints(placed).collect())) == sorted(map(str, waypoints.midpoints(table).collect()))
+
+
+def _mixed():
+    """A straight road, one with straights at both ends and between, one with a gap, and one of a single point."""
+    straight = lambda lat, lon, n=6: [(lat + 0.01 * i, lon) for i in range(n)]
+    bends = [arc(40.3 + 0.2 * k, -72.0, 50, 180, 10) for k in range(3)]
+    parts = [straight(40.0, -73.0), straight(40.35, -72.0), bends[0], straight(40.9, -72.0)]
+    rows = [way(1, parts[0], "X"), way(2, bends[0], "X"), way(3, parts[0] + bends[0] + [(40.36, -72.0), (40.39, -72.0)] + bends[1] + straight(40.6, -72.0), "Y"), way(4, bends[2], "Y"), way(5, [(40.0, -72.0)], "Z")]
+    return [*rows, way(6, bends[1], None, ref="R1; R2"), way(7, bends[1], "X", ref="R1")]
+
+
+def test_numbered_segments_are_those_of_the_roads(spark):
+    df = spark.createDataFrame(_mixed(), WAY)
+    table = roads.road_table(df)
+    want = table.select("group_key", "sub_index", F.inline("segments")).select("group_key", "sub_index", "idx", "way_id", "start", "end", "tier", "length", "score")
+    found = roads.numbered_segments(df)
+    assert sorted(map(repr, found.select(want.columns).collect())) == sorted(map(repr, want.collect())) and table.agg(F.max("sub_index")).first()[0] == 2
+    # the same features, of segments that were never an array
+    features = export.numbered_features(found)
+    assert sorted(map(tuple, features.collect())) == sorted(map(tuple, export.segment_features(table, df).collect()))
+    assert "collect_list(struct(idx" not in features._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stages_are_summed_by_way_and_keep_no_table(spark):
+    from hairpin.plans.lineage import shared_folder
+
+    df = spark.createDataFrame(_mixed(), WAY)
+    folder = Path(shared_folder(spark).removeprefix("file://").removeprefix("file:"))
+    before = {p.name for p in folder.glob("hairpin-*")}
+    report = reports.stage_report(df, 0.0, 0.0)
+    assert len({p.name for p in folder.glob("hairpin-*")} - before) == 1
+    found = {(r.group_key, r.stage): r for r in report.collect()}
+    for r in roads.road_table(df).groupBy("group_key").agg(F.count("*").alias("n"), F.sum(F.size("segments")).alias("s"), F.sum("total_length").alias("l"), F.sum("total_score").alias("t")).collect():
+        stage = found[r.group_key, "straight_gap_split"]
+        assert (stage.n_parts, stage.n_segments) == (r.n, r.s) and stage.length == pytest.approx(r.l) and stage.score == pytest.approx(r.t)
+        assert found[r.group_key, "penalties"].n_parts == r.n and found[r.group_key, "penalties"].n_segments == r.s
+    quiet = found["Y", "deflection_filter"]
+    assert (quiet.n_ways, quiet.n_segments, quiet.length) == (2, found["Y", "ordering"].n_segments, pytest.approx(found["Y", "ordering"].length))
+
+
+def test_a_line_stands_for_a_roads_segments(spark):
+    df = spark.createDataFrame(_mixed(), WAY)
+    small = roads.road_table(df, fields=("start", "end"), line=export.line(), stops=waypoints.road_stops(F.col("segments")))
+    assert "segments" not in small.columns
+    whole = roads.road_table(df)
+    assert sorted(map(tuple, export.kml_folders(small, by_tier=False).collect())) == sorted(map(tuple, export.kml_folders(whole, by_tier=False).collect()))
+    stops = [waypoints.dense(t.withColumnRenamed("sub_index", "step"), "group_key") for t in (small, whole)]
+    assert sorted(map(tuple, stops[0].collect())) == sorted(map(tuple, stops[1].collect()))
